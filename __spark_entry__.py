@@ -25,8 +25,8 @@ from cueweave.operators.sentences import (  # noqa: E402
 from cueweave.plans import incremental, transform  # noqa: E402
 from cueweave.schemas import BASIC, SOCIAL, STANDARD  # noqa: E402
 from cueweave.sources.derived import transcripts_from_documents  # noqa: E402
-from cueweave.sources.files import choose_names, file_name, media_catalog  # noqa: E402
-from cueweave.sources.tables import with_punctuation_tokens, words_from_turns  # noqa: E402
+from cueweave.sources.files import choose_names, file_name, media_catalog, spread  # noqa: E402
+from cueweave.sources.tables import has_oversize, with_punctuation_tokens, words_from_turns  # noqa: E402
 from oracle import sql  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(_table(spark, sf_dir, "documents"))
+
+
+def _oversize(spark: SparkSession, sf_dir: str) -> bool:
+    return has_oversize(_table(spark, sf_dir, "conversations"), "conv_id", "text")
+
+
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of the conversations."""
     turns = _table(spark, sf_dir, "conversations")
@@ -45,27 +53,27 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of the documents, one recording each."""
-    documents = _table(spark, sf_dir, "documents")
+    documents = _documents(spark, sf_dir)
     return words_from_turns(documents, "doc_id", None, "source", "text", prefix="doc-")
 
 
 def _transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transcripts_from_documents(_table(spark, sf_dir, "documents"))
+    return transcripts_from_documents(_documents(spark, sf_dir))
 
 
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return words_to_sentences(_words(spark, sf_dir))
+    return words_to_sentences(_words(spark, sf_dir), oversize=_oversize(spark, sf_dir))
 
 
 def _cues(spark: SparkSession, sf_dir: str, profile=STANDARD, pauses: bool = False) -> DataFrame:
-    return words_to_cues(_words(spark, sf_dir), profile, pauses)
+    return words_to_cues(_words(spark, sf_dir), profile, pauses, oversize=_oversize(spark, sf_dir))
 
 
 def _seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document texts, each followed by an Uzbek phrase, since the tables hold none."""
     phrases = F.array(*[F.lit(p) for p in sql.PHRASES])
     phrase = F.element_at(phrases, (F.col("doc_id") % len(sql.PHRASES)).cast("int") + 1)
-    return _table(spark, sf_dir, "documents").select("doc_id", F.concat("text", phrase).alias("text"))
+    return _documents(spark, sf_dir).select("doc_id", F.concat("text", phrase).alias("text"))
 
 
 def _cyrillic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,29 +108,33 @@ def q_speaker_remap(spark, d):
 
 def q_remapped_sentences(spark, d):
     words = _words(spark, d)
-    return speakers.remap_speakers(words_to_sentences(words), speakers.speaker_remap(words))
+    return speakers.remap_speakers(_sentences(spark, d), speakers.speaker_remap(words))
 
 
 def q_sentences_punctuated(spark, d):
-    return words_to_sentences(with_punctuation_tokens(_words(spark, d)))
+    return words_to_sentences(with_punctuation_tokens(_words(spark, d)), oversize=_oversize(spark, d))
 
 
 def q_sentences_timing(spark, d):
-    return words_to_sentences(_words(spark, d), timing=True)
+    return words_to_sentences(_words(spark, d), timing=True, oversize=_oversize(spark, d))
 
 
 def q_sentences_markers(spark, d):
     """Own marker set and limits, over words and punctuation tokens."""
     words = with_punctuation_tokens(_words(spark, d))
-    return words_to_sentences(words, True, 0.7, 1.5, sql.OWN_MARKERS)
+    return words_to_sentences(
+        words, True, 0.7, 1.5, sql.OWN_MARKERS, oversize=_oversize(spark, d)
+    )
 
 
 def q_sentences_pauses(spark, d):
-    return words_to_sentences(_words(spark, d), timing=True, pause_detection=True)
+    return words_to_sentences(
+        _words(spark, d), timing=True, pause_detection=True, oversize=_oversize(spark, d)
+    )
 
 
 def q_text_sentences(spark, d):
-    documents = _table(spark, d, "documents")
+    documents = _documents(spark, d)
     return texts_to_sentences(documents, key="doc_id").select("doc_id", "sent_no", "text")
 
 
@@ -158,7 +170,7 @@ def q_cue_tokens(spark, d):
 def _runs(profile):
     def query(spark, d):
         tokens = word_ops.cue_tokens(_words(spark, d), pause_detection=True)
-        return cue_runs(tokens, profile).select("transcript_id", "idx", "breaks", "run")
+        return cue_runs(tokens, profile, oversize=_oversize(spark, d)).select("transcript_id", "idx", "breaks", "run")
 
     return query
 
@@ -168,7 +180,8 @@ def _cue_query(profile, pauses=False):
 
 
 def q_document_cues(spark, d):
-    return words_to_cues(_document_words(spark, d), STANDARD)
+    big = has_oversize(_documents(spark, d), "doc_id", "text")
+    return words_to_cues(_document_words(spark, d), STANDARD, oversize=big)
 
 
 def q_wrap_lines(spark, d):
@@ -230,7 +243,7 @@ def q_srt_files_to_cyrillic(spark, d):
 
 
 def q_tidy_spaces(spark, d):
-    return _table(spark, d, "documents").select("doc_id", text.tidy_spaces(F.col("text")).alias("text"))
+    return _documents(spark, d).select("doc_id", text.tidy_spaces(F.col("text")).alias("text"))
 
 
 def q_to_cyrillic(spark, d):
@@ -327,11 +340,11 @@ def q_sentence_files(spark, d):
 
 
 def q_output_totals(spark, d):
-    words = _words(spark, d)
+    words, big = _words(spark, d), _oversize(spark, d)
     return transform.output_totals(
-        cues=words_to_cues(words, STANDARD),
-        social_cues=words_to_cues(words, SOCIAL),
-        sentences=words_to_sentences(words),
+        cues=words_to_cues(words, STANDARD, oversize=big),
+        social_cues=words_to_cues(words, SOCIAL, oversize=big),
+        sentences=words_to_sentences(words, oversize=big),
     )
 
 

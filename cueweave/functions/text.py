@@ -6,10 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values.
-# White space as the string library of the input format defines it; Java's \s
-# lacks U+001C..U+001F, so the class is spelled out.
-SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-NOT_SPACE_OR_STOP = SPACE.replace("[", "[^", 1).replace("]", ",.;:!?…]")
+# White space as the string library of the input format defines it; Java's \s lacks
+# some.  Three ranges first, so that a letter is turned down after three comparisons.
+SPACE = (
+    r"[\t-\x20\x85-\xa0\u1680-\u3000&&[^\x0e-\x1b\x86-\x9f\u1681-\u1fff\u200b-\u2027"
+    r"\u202a-\u202e\u2030-\u205e\u2060-\u2fff]]"
+)
+# Neither white space nor a punctuation mark: all else, in the same order of tests.
+NOT_SPACE_OR_STOP = rf"(?!{SPACE})[^,.;:!?…]"
 ELLIPSIS = "…"
 STOPS = (".", "!", "?", ELLIPSIS)
 SOFT_STOPS = (",", ";", ":")
@@ -48,30 +52,31 @@ _W = r"[\p{L}\p{N}_]"
 EDGE = rf"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
 _SUFFIX = r"([a-z‘’]*)"
 
-# Fixed values: (pattern, replacement), applied in this order, letter case ignored.
+# Fixed values: (word, what may follow it, replacement), applied in this order, letter
+# case ignored, whole words only.
 COMMON_WORDS = (
-    (rf"{EDGE}manga{EDGE}", "menga"),
-    (rf"{EDGE}man{EDGE}", "men"),
-    (rf"{EDGE}misofir{EDGE}", "musofir"),
-    (rf"{EDGE}bir birimiz{EDGE}", "bir-birimiz"),
-    (rf"{EDGE}bir biriga{EDGE}", "bir-biriga"),
-    (rf"{EDGE}bir birini{EDGE}", "bir-birini"),
-    (rf"{EDGE}bir bir{EDGE}", "bir-bir"),
-    (rf"{EDGE}ota onam{_SUFFIX}{EDGE}", "ota-onam$1"),
+    ("manga", "", "menga"),
+    ("man", "", "men"),
+    ("misofir", "", "musofir"),
+    ("bir birimiz", "", "bir-birimiz"),
+    ("bir biriga", "", "bir-biriga"),
+    ("bir birini", "", "bir-birini"),
+    ("bir bir", "", "bir-bir"),
+    ("ota onam", _SUFFIX, "ota-onam$1"),
 )
 PROPER_NOUNS = (
-    (rf"{EDGE}iso{SPACE}+masih{EDGE}", "Iso Masih"),
-    (rf"{EDGE}injil{EDGE}", "Injil"),
-    (rf"{EDGE}tavrot{EDGE}", "Tavrot"),
-    (rf"{EDGE}zabur{EDGE}", "Zabur"),
-    (rf"{EDGE}iso{EDGE}", "Iso"),
-    (rf"{EDGE}masih{EDGE}", "Masih"),
-    (rf"{EDGE}rossiya{_SUFFIX}{EDGE}", "Rossiya$1"),
-    (rf"{EDGE}novosibirsk{_SUFFIX}{EDGE}", "Novosibirsk$1"),
-    (rf"{EDGE}farg{APOSTROPHES}ona{_SUFFIX}{EDGE}", "Farg‘ona$1"),
-    (rf"{EDGE}o{APOSTROPHES}zbekiston{_SUFFIX}{EDGE}", "O‘zbekiston$1"),
-    (rf"{EDGE}qur{APOSTROPHES}on{EDGE}", "Qur’on"),
-    (rf"{EDGE}xudo{_SUFFIX}{EDGE}", "Xudo$1"),
+    ("iso", rf"{SPACE}+masih", "Iso Masih"),
+    ("injil", "", "Injil"),
+    ("tavrot", "", "Tavrot"),
+    ("zabur", "", "Zabur"),
+    ("iso", "", "Iso"),
+    ("masih", "", "Masih"),
+    ("rossiya", _SUFFIX, "Rossiya$1"),
+    ("novosibirsk", _SUFFIX, "Novosibirsk$1"),
+    (f"farg{APOSTROPHES}ona", _SUFFIX, "Farg‘ona$1"),
+    (f"o{APOSTROPHES}zbekiston", _SUFFIX, "O‘zbekiston$1"),
+    (f"qur{APOSTROPHES}on", "", "Qur’on"),
+    ("xudo", _SUFFIX, "Xudo$1"),
 )
 
 # Marks sentence starts between two passes; a code point that never encodes text.
@@ -139,9 +144,12 @@ def repair_apostrophes(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?<=[A-Za-z]){APOSTROPHES}(?=[A-Za-z])", "’")
 
 
-def _rewrite(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
-    for pattern, replacement in rules:
-        text = F.regexp_replace(text, f"(?iu){pattern}", replacement)
+def _rewrite(text: Column, rules: tuple[tuple[str, str, str], ...]) -> Column:
+    # The word is tried first and its left edge looked at afterwards: most positions
+    # then fail on one character.
+    for word, rest, replacement in rules:
+        pattern = f"(?iu){word}(?<!{_W}{word}){rest}{EDGE}"
+        text = F.regexp_replace(text, pattern, replacement)
     return text
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cueweave.functions.text import strip_space
+from cueweave.operators.arrays import unnest
 
 
 def _named(value: Column) -> Column:
@@ -19,9 +20,8 @@ def attachments(
 
     Items without an extension or content are left out.
     """
-    items = transcripts.select(
-        "transcript_id", "stem", F.posexplode("additional_formats").alias("pos", "_item")
-    ).select("transcript_id", "stem", "pos", "_item.*")
+    keys = ["transcript_id", "stem"]
+    items = unnest(transcripts, keys, "additional_formats", "_item", "pos").select(*keys, "pos", "_item.*")
     requested = _named(F.col("requested_format"))
     extension = F.regexp_replace(_named(F.col("file_extension")), r"^\.+", "")
     kept = items.withColumns(

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cueweave.functions.text import strip_space
+from cueweave.operators.arrays import unnest
 from cueweave.operators.ordered import KEY, materialize, scan
 from cueweave.schemas import Limits
 
@@ -151,7 +152,7 @@ def _cues(segments: Column) -> Column:
 
 
 def _emit(packed: DataFrame) -> DataFrame:
-    cue = packed.select(KEY, F.explode(_cues(F.col("_segments"))).alias("_cue"))
+    cue = unnest(packed, [KEY], _cues(F.col("_segments")), "_cue")
     return cue.select(KEY, "_cue.*").filter(F.col("text") != "")
 
 
@@ -283,18 +284,12 @@ def _entries(chunks: DataFrame, packer: Packer, fan_in: int) -> DataFrame:
     trips = legs.groupBy(KEY, "run").agg(
         F.array_sort(F.collect_list(F.struct("leg", across.alias("route")))).alias("trip")
     )
-    leg_entries = trips.select(
-        KEY, "run", F.posexplode(_entry_chain(F.col("trip"), _place(F.col("run"), F.lit(False)))).alias("leg", "leg_entry")
-    )
-    return (
-        legs.join(leg_entries, [KEY, "run", "leg"])
-        .select(
-            KEY,
-            "run",
-            "leg",
-            F.posexplode(_entry_chain(F.col("hops"), F.col("leg_entry"))).alias("at", "entry"),
-        )
-        .select(KEY, "run", (F.col("leg") * fan_in + F.col("at")).alias("chunk"), "entry")
+    whole_trip = _entry_chain(F.col("trip"), _place(F.col("run"), F.lit(False)))
+    leg_entries = unnest(trips, [KEY, "run"], whole_trip, "leg_entry", "leg")
+    within = _entry_chain(F.col("hops"), F.col("leg_entry"))
+    joined = legs.join(leg_entries, [KEY, "run", "leg"])
+    return unnest(joined, [KEY, "run", "leg"], within, "entry", "at").select(
+        KEY, "run", (F.col("leg") * fan_in + F.col("at")).alias("chunk"), "entry"
     )
 
 

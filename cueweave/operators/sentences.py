@@ -13,6 +13,7 @@ from cueweave.functions.text import (
     strip_space,
     tidy_spaces,
 )
+from cueweave.operators.arrays import unnest
 from cueweave.operators.ordered import KEY, by_size, scan
 from cueweave.schemas import DEFAULT_LIMITS, Limits
 
@@ -114,7 +115,7 @@ def words_to_sentences(
 
 def texts_to_sentences(texts: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     """``key, sent_no, text, speaker`` (NULL) from plain texts; narrow, one row at a time."""
-    parts = texts.select(key, F.posexplode(split_sentences(F.col(text))).alias("_at", "text"))
+    parts = unnest(texts, [key], split_sentences(F.col(text)), "text", "_at")
     return parts.select(
         key,
         (F.col("_at") + 1).cast("bigint").alias("sent_no"),

@@ -11,6 +11,7 @@ from cueweave.functions.script import to_cyrillic, to_latin
 from cueweave.functions.subtitles import LINE_ENDS, subtitle_line_to_cyrillic, wrap_two_lines
 from cueweave.functions.text import clean_text, tidy_spaces
 from cueweave.functions.timecode import srt_time_range
+from cueweave.operators.arrays import unnest
 from cueweave.operators.ordered import KEY
 from cueweave.schemas import LINE_CHARS
 
@@ -106,7 +107,7 @@ def text_lines(files: DataFrame, text: str, *keys: str) -> DataFrame:
     trimmed = F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(
         lines
     )
-    exploded = files.select(*keys, F.posexplode(trimmed).alias("_at", "line"))
+    exploded = unnest(files, list(keys), trimmed, "line", "_at")
     return exploded.select(*keys, (F.col("_at") + 1).cast("bigint").alias("line_no"), "line")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cueweave.functions.pauses import PAUSE_SECONDS, with_pauses
+from cueweave.operators.arrays import unnest
 
 WORD_COLUMNS = (
     "transcript_id",
@@ -65,11 +66,9 @@ def words_from_transcripts(transcripts: DataFrame, segments_as_words: bool = Fal
             ),
         )
         words = F.when(F.size(words) > 0, words).otherwise(as_words)
-    exploded = transcripts.select("transcript_id", words.alias("_words")).select(
-        "transcript_id",
-        F.size("_words").cast("bigint").alias("n_words"),
-        F.posexplode("_words").alias("idx", "_word"),
-    )
+    listed = transcripts.select("transcript_id", words.alias("_words"))
+    size = F.size("_words").cast("bigint").alias("n_words")
+    exploded = unnest(listed, ["transcript_id", size], "_words", "_word", "idx")
     word = F.col("_word")
     start, end = _timed(word)
 

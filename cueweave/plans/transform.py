@@ -1,4 +1,9 @@
-"""Transcripts to subtitles, sentence texts, cleaned transcripts."""
+"""Transcripts to subtitles, sentence texts, cleaned transcripts.
+
+A transcript row holds its recording whole, so one task has had room for it already
+and the recording is worked on whole.  Tables of words have no such bound: use the
+operators directly, which cut oversize recordings into blocks.
+"""
 
 from __future__ import annotations
 
@@ -66,7 +71,7 @@ def subtitles(
     transcripts: DataFrame, clean: bool = False, script: str = "latin", pause_detection: bool = False
 ) -> DataFrame:
     """Standard subtitle file of every transcript."""
-    cues = words_to_cues(_words(transcripts, clean), STANDARD, pause_detection)
+    cues = words_to_cues(_words(transcripts, clean), STANDARD, pause_detection, oversize=False)
     return subtitle_files(standard_blocks(cues, output_text(clean, script)), transcripts)
 
 
@@ -74,7 +79,7 @@ def numbered_subtitles(
     transcripts: DataFrame, clean: bool = False, pause_detection: bool = False
 ) -> DataFrame:
     """The same timing with cue numbers for text."""
-    cues = words_to_cues(_words(transcripts, clean), STANDARD, pause_detection)
+    cues = words_to_cues(_words(transcripts, clean), STANDARD, pause_detection, oversize=False)
     return subtitle_files(numbered_blocks(cues), transcripts)
 
 
@@ -85,7 +90,7 @@ def social_subtitles(
     pause_detection: bool = False,
 ) -> DataFrame:
     """Single-line subtitle files, one per transcript and script variant."""
-    cues = words_to_cues(_words(transcripts, clean), SOCIAL, pause_detection)
+    cues = words_to_cues(_words(transcripts, clean), SOCIAL, pause_detection, oversize=False)
     every = transcripts.select(KEY, F.explode(F.array(*[F.lit(v) for v in variants])).alias("variant"))
     return subtitle_files(social_variants(cues, variants, clean), every)
 
@@ -93,7 +98,7 @@ def social_subtitles(
 def basic_subtitles(transcripts: DataFrame, pause_detection: bool = False) -> DataFrame:
     """Plain subtitle file of every transcript; segments stand in for missing words."""
     words = words_from_transcripts(transcripts, segments_as_words=True)
-    return subtitle_files(basic_blocks(words_to_cues(words, BASIC, pause_detection)), transcripts)
+    return subtitle_files(basic_blocks(words_to_cues(words, BASIC, pause_detection, oversize=False)), transcripts)
 
 
 def sentences(
@@ -108,7 +113,12 @@ def sentences(
     source = clean_transcripts(transcripts) if clean else transcripts
     words = words_from_transcripts(source)
     spoken = words_to_sentences(
-        words, clean or pause_detection, gap_seconds, hard_gap_seconds, None, pause_detection
+        words,
+        clean or pause_detection,
+        gap_seconds,
+        hard_gap_seconds,
+        pause_detection=pause_detection,
+        oversize=False,
     )
     named = remap_speakers(spoken, speaker_remap(words))
     found = named.unionByName(segments_to_sentences(source))

@@ -120,6 +120,15 @@ def resolve(spark: SparkSession, path: str, glob: str | None = None) -> tuple[st
     return parent, None, pattern
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of an input stored in fewer splits than there are cores.
+
+    Larger inputs, which have splits enough, pass as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def not_empty(df: DataFrame, what: str, path: str) -> DataFrame:
     """Fail early when a path selects nothing."""
     if df.isEmpty():

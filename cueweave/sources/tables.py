@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cueweave.operators.arrays import unnest
 from cueweave.operators.ordered import KEY, scan
 from cueweave.operators.words import WORD_COLUMNS
-from cueweave.schemas import Limits
+from cueweave.schemas import DEFAULT_LIMITS, Limits
 
 _TURN_BLOCKS = Limits(block_rows=1_024)
 
@@ -32,6 +33,18 @@ def _stretch_ms(token: Column, idx: Column) -> Column:
     )
 
 
+def _tokens(text: str) -> Column:
+    return F.filter(F.split(F.col(text), r"[ \t\r\n]+"), lambda t: t != "")
+
+
+def has_oversize(
+    turns: DataFrame, recording: str, text: str, limits: Limits = DEFAULT_LIMITS
+) -> bool:
+    """Whether any recording has more words than one task may hold; counts only."""
+    sizes = turns.groupBy(recording).agg(F.sum(F.size(_tokens(text))).alias("_n"))
+    return not sizes.filter(F.col("_n") > limits.recording_words).isEmpty()
+
+
 def words_from_turns(
     turns: DataFrame, recording: str, turn: str | None, speaker: str, text: str, prefix: str = ""
 ) -> DataFrame:
@@ -41,13 +54,12 @@ def words_from_turns(
     first, then across turns in blocks, and only then within a turn, so a recording
     with very many turns never gathers in one task.  ``turn=None``: one turn each.
     """
-    tokens = F.filter(F.split(F.col(text), r"[ \t\r\n]+"), lambda t: t != "")
     base = turns.select(
         F.concat(F.lit(prefix), F.col(recording).cast("string")).alias(KEY),
         F.col(recording).cast("bigint").alias("_key"),
         (F.lit(0) if turn is None else F.col(turn)).cast("bigint").alias("_turn"),
         F.col(speaker).alias("speaker"),
-        tokens.alias("_tokens"),
+        _tokens(text).alias("_tokens"),
     ).withColumn("_n", F.size("_tokens").cast("bigint"))
 
     if turn is None:
@@ -59,24 +71,15 @@ def words_from_turns(
         )
         placed = summed.withColumn("_before", F.col("_so_far") - F.col("_n")).join(totals, KEY)
 
-    def timed(token: Column, pos: Column) -> Column:
-        idx = F.col("_before") + pos
-        mix = F.col("_key") * 7 + F.col("_turn") * 13 + pos * 29
-        stretch = _stretch_ms(token, idx)
-        return F.struct(
-            token.alias("text"),
-            idx.alias("idx"),
-            _pause_ms(mix).alias("pause"),
-            stretch.alias("stretch"),
-            (60 + 35 * F.length(token) + stretch).alias("spoken"),
-        )
+    def step_ms(token: Column, pos: Column) -> Column:
+        spoken = 60 + 35 * F.length(token) + _stretch_ms(token, F.col("_before") + pos)
+        return spoken + _pause_ms(F.col("_key") * 7 + F.col("_turn") * 13 + pos * 29)
 
-    placed = placed.withColumn("_timed", F.transform("_tokens", timed))
     if turn is None:
         placed = placed.withColumn("_ms_before", F.lit(0).cast("bigint"))
     else:
         ms = F.aggregate(
-            "_timed", F.lit(0).cast("bigint"), lambda total, t: total + t["pause"] + t["spoken"]
+            F.transform("_tokens", step_ms), F.lit(0).cast("bigint"), lambda total, step: total + step
         )
         placed = scan(
             placed.withColumn("_ms", ms),
@@ -86,10 +89,17 @@ def words_from_turns(
             cut_lineage=False,
         ).withColumn("_ms_before", F.col("_ms_so_far") - F.col("_ms"))
 
-    words = placed.select(
-        KEY, "n_words", "_turn", "speaker", "_ms_before", F.explode("_timed").alias("_word")
-    ).select(KEY, "n_words", "_turn", "speaker", "_ms_before", "_word.*")
-    in_turn = Window.partitionBy(KEY, "_turn").orderBy("idx")
+    keep = [KEY, "n_words", "_key", "_turn", "speaker", "_before", "_ms_before"]
+    words = unnest(placed, keep, "_tokens", "text", "_pos").withColumn(
+        "idx", F.col("_before") + F.col("_pos")
+    )
+    words = words.withColumns(
+        {
+            "pause": _pause_ms(F.col("_key") * 7 + F.col("_turn") * 13 + F.col("_pos") * 29),
+            "stretch": _stretch_ms(F.col("text"), F.col("idx")),
+        }
+    ).withColumn("spoken", 60 + 35 * F.length("text") + F.col("stretch"))
+    in_turn = Window.partitionBy(KEY, "_turn").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     end_ms = F.col("_ms_before") + F.sum(F.col("pause") + F.col("spoken")).over(in_turn)
     timed_words = words.withColumn("_end_ms", end_ms).withColumn(
         "_start_ms", F.col("_end_ms") - F.col("spoken")
@@ -148,8 +158,5 @@ def with_punctuation_tokens(words: DataFrame) -> DataFrame:
         "end",
     )
     both = F.when(marked, F.array(word, mark)).otherwise(F.array(word))
-    return (
-        words.select(KEY, "n_words", "speaker", "characters", F.explode(both).alias("_token"))
-        .select(KEY, "n_words", "speaker", "characters", "_token.*")
-        .select(*WORD_COLUMNS)
-    )
+    keep = [KEY, "n_words", "speaker", "characters"]
+    return unnest(words, keep, both, "_token").select(*keep, "_token.*").select(*WORD_COLUMNS)
