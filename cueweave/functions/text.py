@@ -84,8 +84,9 @@ _MARK = "\ufdd0"
 
 
 def strip_space(text: Column) -> Column:
-    """Remove white space at both ends."""
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
+    """Remove white space at both ends, from the few texts that have any there."""
+    stripped = F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.when(text.rlike(rf"^{SPACE}|{SPACE}\z"), stripped).otherwise(text)
 
 
 def tidy_spaces(text: Column) -> Column:

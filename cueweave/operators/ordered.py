@@ -44,6 +44,8 @@ def by_size(
     Whether oversize recordings exist is asked once, reading ``n_words`` only; pass
     ``oversize`` when it is known.
     """
+    if oversize is False:
+        return job(words, None)
     is_big = F.col("n_words") > limits.recording_words
     big = words.filter(is_big)
     if oversize is None:

@@ -31,7 +31,7 @@ def sentence_tokens(words: DataFrame, pause_detection: bool = False) -> DataFram
         "idx",
         (F.col("type") == "word").alias("is_word"),
         "text",
-        "speaker",
+        F.nullif("speaker", F.lit("")).alias("speaker"),
         F.coalesce("start", F.lit(0.0)).alias("start"),
         F.col("speech_end").alias("end"),
         (F.col("pause_gap") >= PAUSE_SECONDS).alias("pause_after"),

@@ -29,8 +29,9 @@ WORD_COLUMNS = (
 
 def seconds(value: Column) -> Column:
     """A time given as number or numeric text; NULL when it is neither."""
-    typed_suffix = value.cast("string").rlike(r"[0-9.][dDfF]\s*$")
-    return F.when(~typed_suffix, value.try_cast("double"))
+    text = value.cast("string")
+    typed = F.right(text, F.lit(1)).isin("d", "D", "f", "F") & ~F.lower(text).endswith("inf")
+    return F.when(~typed, text.try_cast("double"))
 
 
 def speaker_of(speaker_id: Column, speaker: Column) -> Column:

@@ -13,9 +13,8 @@ from cueweave.sources.files import choose_names, decoded, not_empty, resolve
 def read_subtitles(spark: SparkSession, path: str, glob: str = "*_latin.srt") -> DataFrame:
     """``file_id, file_name, cyrillic_name, srt_text``, one row per file."""
     folder, wanted, pattern = resolve(spark, path, glob)
-    source = spark.read.option("wholetext", True)
-    source = source.option("pathGlobFilter", wanted) if wanted else source
-    named = source.text(folder).select(
+    source = spark.read.option("pathGlobFilter", wanted) if wanted else spark.read
+    named = source.text(folder, wholetext=True).select(
         decoded(F.col("_metadata.file_path")).alias("file_id"),
         decoded(F.col("_metadata.file_name")).alias("file_name"),
         F.col("value").alias("srt_text"),

@@ -22,29 +22,34 @@ def read_transcripts(
     also comes as a VARIANT column ``raw``, fields unknown to the schema included.
     """
     folder, wanted, pattern = resolve(spark, path, glob)
-    name = decoded(F.col("_metadata.file_name"))
-    if keep_raw:
-        source = spark.read.option("wholetext", True)
-        source = source.option("pathGlobFilter", wanted) if wanted else source
-        files = source.text(folder)
-        document = F.from_json("value", READ_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt_record"})
-        read = files.select(
-            F.col("_metadata.file_path").alias("_path"),
-            name.alias("_name"),
-            document.alias("_document"),
-            F.try_parse_json("value").alias("raw"),
-        ).select("_path", "_name", "_document.*", "raw")
-    else:
-        source = spark.read.schema(READ_SCHEMA).option("multiLine", True)
-        source = source.option("pathGlobFilter", wanted) if wanted else source
-        files = source.json(folder)
-        read = files.select(F.col("_metadata.file_path").alias("_path"), name.alias("_name"), "*")
-    chosen = not_empty(choose_names(read, F.col("_name"), (".json",), pattern), "JSON", path)
-    return chosen.select(
-        decoded(F.col("_path")).alias(KEY),
-        stem(F.col("_name")).alias("stem"),
-        *[f.name for f in READ_SCHEMA.fields],
-        *(["raw"] if keep_raw else []),
+    source = spark.read.option("pathGlobFilter", wanted) if wanted else spark.read
+    read = parsed(source.text(folder, wholetext=True))
+    chosen = not_empty(choose_names(read, F.col("file_name"), (".json",), pattern), "JSON", path)
+    return chosen.drop("file_name") if keep_raw else chosen.drop("file_name", "raw")
+
+
+def parsed(files: DataFrame) -> DataFrame:
+    """Transcripts from whole file texts (``value``); the same on a stream.
+
+    A document that cannot be parsed keeps its text in ``_corrupt_record``.  Fields
+    that nothing reads are not parsed.
+    """
+    options = {"columnNameOfCorruptRecord": "_corrupt_record"}
+    named = files.select(
+        decoded(F.col("_metadata.file_path")).alias(KEY),
+        decoded(F.col("_metadata.file_name")).alias("file_name"),
+        "value",
+        F.from_json("value", READ_SCHEMA, options).alias("_document"),
+    )
+    unread = F.col("_document").isNull() | (F.trim("value") == "")
+    corrupt = F.when(unread, F.col("value")).otherwise(F.col("_document._corrupt_record"))
+    return named.select(
+        KEY,
+        "file_name",
+        stem(F.col("file_name")).alias("stem"),
+        *[F.col("_document")[f.name].alias(f.name) for f in PAYLOAD.fields],
+        corrupt.alias("_corrupt_record"),
+        F.try_parse_json("value").alias("raw"),
     )
 
 

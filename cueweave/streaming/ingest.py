@@ -5,28 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from cueweave.operators.ordered import KEY
-from cueweave.sources.files import decoded, stem
-from cueweave.sources.transcripts import READ_SCHEMA, quarantine, readable
+from cueweave.sources.transcripts import parsed, quarantine, readable
 
 
 def stream_transcripts(spark: SparkSession, folder: str, glob: str = "*.json") -> DataFrame:
     """New transcript files of a folder, shaped as ``read_transcripts`` gives them."""
-    files = (
-        spark.readStream.schema(READ_SCHEMA)
-        .option("multiLine", True)
-        .option("pathGlobFilter", glob)
-        .json(folder)
-    )
-    name = decoded(F.col("_metadata.file_name"))
-    return files.select(
-        decoded(F.col("_metadata.file_path")).alias(KEY),
-        stem(name).alias("stem"),
-        *[f.name for f in READ_SCHEMA.fields],
-    )
+    files = spark.readStream.option("pathGlobFilter", glob).text(folder, wholetext=True)
+    return parsed(files).drop("file_name", "raw")
 
 
 def run_incrementally(
