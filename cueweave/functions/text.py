@@ -84,19 +84,28 @@ _MARK = "\ufdd0"
 
 
 def strip_space(text: Column) -> Column:
-    """Remove white space at both ends, from the few texts that have any there."""
-    stripped = F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
-    return F.when(text.rlike(rf"^{SPACE}|{SPACE}\z"), stripped).otherwise(text)
+    """Remove white space at both ends."""
+    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
 
 
 def tidy_spaces(text: Column) -> Column:
-    """One space between words, none at the ends, none before a punctuation mark.
-
-    Most tokens hold no white space at all, so they skip the rewriting.
-    """
+    """One space between words, none at the ends, none before a punctuation mark."""
     collapsed = F.trim(F.regexp_replace(text, rf"{SPACE}+", " "))
-    tidied = F.regexp_replace(collapsed, rf" +({GLUED_CLASS})", "$1")
-    return F.when(text.rlike(SPACE), tidied).otherwise(text)
+    return F.regexp_replace(collapsed, rf" +({GLUED_CLASS})", "$1")
+
+
+# Most tokens hold no white space at all and skip the rewriting.  These two read their
+# argument more than once, so they are for stored columns, not for nested expressions.
+
+
+def strip_token(text: Column) -> Column:
+    """``strip_space`` for a column of single tokens."""
+    return F.when(text.rlike(SPACE), strip_space(text)).otherwise(text)
+
+
+def tidy_token(text: Column) -> Column:
+    """``tidy_spaces`` for a column of single tokens."""
+    return F.when(text.rlike(SPACE), tidy_spaces(text)).otherwise(text)
 
 
 def ends_with_stop(text: Column) -> Column:

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from cueweave.functions.text import (
     ends_with_soft_stop,
     ends_with_stop,
-    strip_space,
+    strip_token,
     takes_space,
-    tidy_spaces,
+    tidy_token,
 )
 from cueweave.operators.ordered import KEY, by_size, scan
 from cueweave.operators.packing import Packer, pack
@@ -62,7 +62,7 @@ def _with_runs(tokens: DataFrame, profile: CueProfile, limits: Limits | None) ->
     The flag's owner differs: the token before (basic), the same but never the
     recording's first token (standard), the last token not ending a sentence (social).
     """
-    hard = ends_with_stop(strip_space(F.col("text")))
+    hard = ends_with_stop(strip_token(F.col("text")))
     tokens = tokens.withColumn("_hard", hard) if profile is SOCIAL else tokens
     flag_counts = ~F.col("_hard") if profile is SOCIAL else None
     previous = {
@@ -95,7 +95,7 @@ def cue_runs(
 
 def _items(tokens: DataFrame, profile: CueProfile) -> DataFrame:
     raw = profile is BASIC
-    piece = F.col("text") if raw else tidy_spaces(F.col("text"))
+    piece = F.col("text") if raw else tidy_token(F.col("text"))
     with_piece = tokens.select(KEY, F.col("idx").alias("ord"), "run", "start", "end", piece.alias("piece"))
     piece = F.col("piece")
     return with_piece.withColumns(

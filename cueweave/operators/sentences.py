@@ -11,6 +11,7 @@ from cueweave.functions.text import (
     opening_marker,
     split_sentences,
     strip_space,
+    strip_token,
     tidy_spaces,
 )
 from cueweave.operators.arrays import unnest
@@ -22,7 +23,7 @@ def sentence_tokens(words: DataFrame, pause_detection: bool = False) -> DataFram
     """Words and punctuation with text, trimmed, as sentences are made of them."""
     kept = (
         words.filter(F.col("type").isin("word", "punctuation"))
-        .withColumn("text", strip_space(F.col("text")))
+        .withColumn("text", strip_token(F.col("text")))
         .filter(F.col("text") != "")
     )
     return with_pauses(kept, pause_detection).select(

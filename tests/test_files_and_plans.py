@@ -95,7 +95,7 @@ def test_unknown_fields_survive_in_raw(spark, corpus):
 
 def test_bad_files_are_set_aside(spark, corpus):
     (corpus / "bad.json").write_text('{"words": [', encoding="utf-8")
-    (corpus / "empty.json").write_text("", encoding="utf-8")
+    (corpus / "empty.json").write_text("\n", encoding="utf-8")
     df = read_transcripts(spark, str(corpus))
     assert readable(df).count() == 3
     assert sorted((r.stem, r.reason) for r in quarantine(df).collect()) == [
