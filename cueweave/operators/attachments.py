@@ -55,12 +55,18 @@ def attachments(
 def last_per_path(items: DataFrame) -> DataFrame:
     """What remains when items are written one after the other: the last per path.
 
-    Order is by transcript, then position.  Only keys meet in the aggregation; the
-    contents join back afterwards.
+    Order is by transcript, then position.  Paths written more than once are found on
+    keys alone.  They are few, so Spark can send them to the contents rather than
+    move the contents.
     """
-    last = items.groupBy("out_path").agg(F.max(F.struct("transcript_id", "pos")).alias("_last"))
-    last = last.select("out_path", "_last.*")
-    return items.join(last, ["out_path", "transcript_id", "pos"], "left_semi")
+    clashes = (
+        items.groupBy("out_path")
+        .agg(F.count(F.lit(1)).alias("_n"), F.max(F.struct("transcript_id", "pos")).alias("_last"))
+        .filter("_n > 1")
+        .select("out_path", "_last")
+    )
+    kept = F.col("_last").isNull() | (F.struct("transcript_id", "pos") == F.col("_last"))
+    return items.join(clashes, "out_path", "left").filter(kept).select(*items.columns)
 
 
 def supplied_formats(items: DataFrame) -> DataFrame:

@@ -62,6 +62,7 @@ def scan(
     latest: dict[str, Pick] | None = None,
     following: dict[str, Column] | None = None,
     running: dict[str, Column] | None = None,
+    total: dict[str, Column] | None = None,
     limits: Limits | None = None,
     cut_lineage: bool = True,
 ) -> DataFrame:
@@ -71,20 +72,26 @@ def scan(
     latest    the same, the row itself included
     following value of the next row
     running   sum up to and including the row
+    total     sum over the whole recording
 
     A blocked scan reads its input twice, so it is checkpointed first; leave
     ``cut_lineage`` out for inputs that are cheap to read again.
     """
     previous, latest = previous or {}, latest or {}
-    following, running = following or {}, running or {}
+    following, running, total = following or {}, running or {}, total or {}
     if limits is None:
         rows = Window.partitionBy(KEY).orderBy(order)
-        return df.select("*", *_inside(rows, previous, latest, following, running))
+        everything = Window.partitionBy(KEY)
+        return df.select(
+            "*",
+            *_inside(rows, previous, latest, following, running),
+            *[F.sum(value).over(everything).alias(name) for name, value in total.items()],
+        )
 
     block = F.floor(F.col(order) / limits.block_rows)
     df = df.withColumn("_block", block)
     df = materialize(df) if cut_lineage else df
-    carry = _carry(df, order, previous | latest, following, running)
+    carry = _carry(df, order, previous | latest, following, running, total)
     rows = Window.partitionBy(KEY, "_block").orderBy(order)
     seen = df.select("*", *_inside(rows, previous, latest, following, running, tag="_in_"))
     joined = seen.join(carry, [KEY, "_block"])
@@ -98,6 +105,7 @@ def scan(
             for n in names
         ],
         *[(F.col(f"_in_{n}") + F.col(f"_far_{n}")).alias(n) for n in running],
+        *total,
     )
 
 
@@ -129,7 +137,7 @@ def _inside(rows, previous, latest, following, running, tag: str | None = None)
     return [c.alias(tag + n) for n, c in (found | sums).items()]
 
 
-def _carry(df: DataFrame, order: str, backward, following, running) -> DataFrame:
+def _carry(df: DataFrame, order: str, backward, following, running, total) -> DataFrame:
     """One row per block: last counted values and sums before it, first value after it."""
     summary = df.groupBy(KEY, "_block").agg(
         F.count(F.lit(1)).alias("_rows"),
@@ -138,7 +146,7 @@ def _carry(df: DataFrame, order: str, backward, following, running) -> DataFrame
             for n, p in backward.items()
         ],
         *[F.min_by(_boxed((v, None)), F.col(order)).alias(n) for n, v in following.items()],
-        *[F.sum(v).alias(n) for n, v in running.items()],
+        *[F.sum(v).alias(n) for n, v in (running | total).items()],
     )
     blocks = Window.partitionBy(KEY).orderBy("_block")
     earlier = blocks.rowsBetween(Window.unboundedPreceding, -1)
@@ -148,4 +156,5 @@ def _carry(df: DataFrame, order: str, backward, following, running) -> DataFrame
         *[F.last(n, ignorenulls=True).over(earlier).alias(f"_far_{n}") for n in backward],
         *[F.lead(n).over(blocks).alias(f"_far_{n}") for n in following],
         *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_far_{n}") for n in running],
+        *[F.sum(n).over(Window.partitionBy(KEY)).alias(n) for n in total],
     )

@@ -6,6 +6,7 @@ expression for the file name.
 
 from __future__ import annotations
 
+import mimetypes
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +25,7 @@ MEDIA_SUFFIXES = (
     ".wma",
     ".webm",
 )
-MIME_TYPES = (
+MIME_FALLBACKS = (
     (".wav", "audio/wav"),
     (".mp3", "audio/mpeg"),
     (".flac", "audio/flac"),
@@ -72,9 +73,13 @@ def choose_names(
 
 
 def mime_type(name: Column) -> Column:
-    """MIME type by suffix, ``application/octet-stream`` for an unknown one."""
+    """MIME type by suffix: the standard one, else a fallback, else ``octet-stream``.
+
+    The standard table is the driver's, so that all executors agree.
+    """
     found = F.lit(OTHER_MIME)
-    for ending, mime in MIME_TYPES:
+    for ending, fallback in MIME_FALLBACKS:
+        mime = mimetypes.guess_type(f"x{ending}")[0] or fallback
         found = F.when(F.lower(suffix(name)) == ending, mime).otherwise(found)
     return found
 

@@ -65,11 +65,14 @@ def words_from_turns(
     if turn is None:
         placed = base.withColumns({"_before": F.lit(0).cast("bigint"), "n_words": F.col("_n")})
     else:
-        totals = base.groupBy(KEY).agg(F.sum("_n").alias("n_words"))
-        summed = scan(
-            base, "_turn", running={"_so_far": F.col("_n")}, limits=_TURN_BLOCKS, cut_lineage=False
-        )
-        placed = summed.withColumn("_before", F.col("_so_far") - F.col("_n")).join(totals, KEY)
+        placed = scan(
+            base,
+            "_turn",
+            running={"_so_far": F.col("_n")},
+            total={"n_words": F.col("_n")},
+            limits=_TURN_BLOCKS,
+            cut_lineage=False,
+        ).withColumn("_before", F.col("_so_far") - F.col("_n"))
 
     def step_ms(token: Column, pos: Column) -> Column:
         spoken = 60 + 35 * F.length(token) + _stretch_ms(token, F.col("_before") + pos)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import mimetypes
+
 PHRASES = (
     " man manga misofir bo'lib keldim, iso masih va xudo o'zbekiston haqida gapirdi ",
     " ota onamlar ROSSIYADA,novosibirskda. keyin  Keyin Shunda man ketdim ! bir birimiz",
@@ -648,12 +650,17 @@ SELECT transcript_id, stem FROM docs
 WHERE 'srt/' || stem || '.srt' NOT IN (SELECT out_path FROM items)
    OR 'txt/' || stem || '.txt' NOT IN (SELECT out_path FROM items)""")
     media = "('.wav', '.mp3', '.flac', '.m4a', '.aac', '.ogg', '.opus', '.mp4', '.wma', '.webm')"
+    kinds = {
+        ".wav": "audio/wav", ".mp3": "audio/mpeg", ".flac": "audio/flac", ".m4a": "audio/mp4", ".aac": "audio/aac",
+        ".ogg": "audio/ogg", ".opus": "audio/opus", ".mp4": "audio/mp4", ".wma": "audio/x-ms-wma", ".webm": "audio/webm",
+    }
+    mimes = " ".join(
+        f"WHEN {q(ending)} THEN {q(mimetypes.guess_type('x' + ending)[0] or kind)}"
+        for ending, kind in kinds.items()
+    )
     found["media_catalog"] = with_(LISTING, select=f"""
 SELECT page_id, path, file_name, left(file_name, length(file_name) - length(suffix)) AS stem,
-       CASE lower(suffix) WHEN '.wav' THEN 'audio/wav' WHEN '.mp3' THEN 'audio/mpeg' WHEN '.flac' THEN 'audio/flac'
-         WHEN '.m4a' THEN 'audio/mp4' WHEN '.aac' THEN 'audio/aac' WHEN '.ogg' THEN 'audio/ogg'
-         WHEN '.opus' THEN 'audio/opus' WHEN '.mp4' THEN 'audio/mp4' WHEN '.wma' THEN 'audio/x-ms-wma'
-         ELSE 'audio/webm' END AS mime_type
+       CASE lower(suffix) {mimes} END AS mime_type
 FROM suffixed WHERE lower(suffix) IN {media}""")
     found["path_regex"] = with_(LISTING, select="""
 SELECT page_id, path, file_name FROM suffixed
@@ -690,6 +697,12 @@ FROM all_sentences GROUP BY ALL""")
     t_words = "words AS (SELECT * FROM t_words)"
     found["transcript_subtitles"] = with_(TRANSCRIPTS, t_words, standard, wrapped, FILES, select="""
 SELECT transcript_id, coalesce(part_no, 0) AS part_no, coalesce(srt_text, '') AS srt_text
+FROM docs LEFT JOIN parts USING (transcript_id)""", recursive=True)
+    cleaned = f"changed AS (SELECT transcript_id, cue_no, {cyrillic(clean('text'))} AS text FROM cues)"
+    found["transcript_subtitles_clean"] = with_(
+        TRANSCRIPTS, f"words AS (SELECT * REPLACE ({token('text')} AS text) FROM t_words)", standard, cleaned,
+        wrap_cte("changed", "transcript_id, cue_no"), FILES, select="""
+SELECT transcript_id, coalesce(part_no, 0) AS part_no, coalesce(srt_text, '') AS srt_text
 FROM docs LEFT JOIN parts USING (transcript_id)""", recursive=True)
     found["basic_subtitles"] = with_(
         TRANSCRIPTS, ITEMS.replace("items AS (\n  SELECT *, CASE", "files AS (\n  SELECT *, CASE").replace("FROM items", "FROM files"),
