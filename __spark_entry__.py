@@ -230,7 +230,7 @@ def q_subtitle_lines(spark, d):
 
 
 def q_srt_to_cyrillic(spark, d):
-    lines = srt.text_lines(_table(spark, d, "pages"), "html", "page_id")
+    lines = srt.text_lines(spread(_table(spark, d, "pages")), "html", "page_id")
     return srt.lines_to_cyrillic(lines)
 
 

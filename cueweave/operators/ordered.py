@@ -24,11 +24,16 @@ Pick = tuple[Column, Column | None]  # value, and which rows count (None: all)
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the session's checkpoint folder."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="cueweave-"))
+    """Cut lineage with a reliable checkpoint in the session's checkpoint folder.
+
+    Only a local session may do without a configured folder.
+    """
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cueweave-"))
     return df.checkpoint(eager=True)
 
 
