@@ -29,6 +29,18 @@ from cueweave.sources.files import choose_names, file_name, media_catalog, sprea
 from cueweave.sources.tables import has_oversize, with_punctuation_tokens, words_from_turns  # noqa: E402
 from oracle import sql  # noqa: E402
 
+try:  # the training-data operators are optional
+    import corpus_pipeline
+    from cueweave.llm import queries as llm
+except ModuleNotFoundError as error:
+    if error.name not in ("corpus_pipeline", "cueweave.llm", "cueweave.llm.queries"):
+        raise
+    corpus_pipeline = llm = None
+except ImportError as error:  # an emptied folder still counts as a package
+    if error.name != "cueweave.llm":
+        raise
+    corpus_pipeline = llm = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 PROFILES = {"standard": STANDARD, "social": SOCIAL, "basic": BASIC}
 
@@ -375,12 +387,19 @@ def queries() -> dict[str, Query]:
         found[f"cue_runs_{name}"] = _runs(profile)
         found[f"cues_{name}"] = _cue_query(profile)
         found[f"cues_{name}_pauses"] = _cue_query(profile, pauses=True)
+    if llm:
+        found |= llm.queries() | {"pipeline": corpus_pipeline.run}
     return found
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can state."""
-    return sql.statements()
+    found = sql.statements()
+    if llm:
+        found |= llm.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
 
 
 def entry(spark: SparkSession) -> DataFrame:
