@@ -4,18 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cueweave.llm import langid, mixing, packing, pii, simhash
+from cueweave.llm import langid, mixing, packing, pii, simhash, sketch, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Fixed values of the query.
+URL_RULES = "block net/, allow example.net/en/, block example.com/de/, allow org/fr/"
+
+
+def op1_redirect_equivalence(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict for every page."""
+    return urls.judge(_table(spark, folder, "pages"), urls.rules_of(URL_RULES))
+
+
 def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Documents in sequences of 2048 tokens."""
     return packing.pack(_table(spark, folder, "documents"))
 
 
+def op3_scaled_sketch(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of documents and of their edits."""
+    return sketch.compare_with_next(_table(spark, folder, "documents"))
+
+
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate groups of documents within 4 bits."""
     return simhash.near_duplicates(_table(spark, folder, "documents").select("doc_id", "text"))
