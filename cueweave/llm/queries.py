@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cueweave.llm import langid, mixing, packing, pii, simhash, sketch, urls
+from cueweave.llm import egojoin, langid, mixing, packing, pii, simhash, sketch, suffix, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -40,11 +40,21 @@ def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.hide(_table(spark, folder, "documents"))
 
 
+def op7_grid_order_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate vectors of equal label: links, groups, and who stays."""
+    return egojoin.linked(_table(spark, folder, "embeddings"))
+
+
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Words taken of every document for a mix by source weights."""
     return mixing.taken(_table(spark, folder, "documents"))
 
 
+def op9_interval_expansion(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents without the 50-byte stretches that earlier documents hold."""
+    return suffix.remove_repeats(_table(spark, folder, "documents")).drop("kept")
+
+
 def op10_langid(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document."""
     return langid.predict(_table(spark, folder, "documents"))
