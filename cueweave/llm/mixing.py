@@ -117,8 +117,13 @@ def _blocks(spark, quotas: list[int], shard_blocks: int, seed: int) -> DataFrame
     return spread.mapInPandas(deal, "source_no int, block bigint, shard bigint")
 
 
+def _sized(docs: DataFrame) -> DataFrame:
+    given = [c for c in ("_row", "doc_id", "source") if c in docs.columns]
+    return docs.select(*given, word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_tie"))
+
+
 def mix(
-    docs: DataFrame,
+    rows: DataFrame,
     weights: tuple[float, ...] = WEIGHTS,
     share: float = 1.5,
     ceiling: float = 2.0,
@@ -126,17 +131,12 @@ def mix(
     shard_blocks: int = 8,
     seed: int = 7,
 ) -> tuple[DataFrame, DataFrame]:
-    """Plan a mix of ``docs`` (doc_id, text, source, ...).
+    """Plan a mix of ``rows``: stored, with _row, doc_id, source, size (words) and _tie (a hash of the text).
 
-    Returns the numbered rows (``_row``, size, source_size, target beside the given
-    columns but the text) and the pieces of the mix: ``_row``, first_word, words, shard,
-    position (order inside the shard).  ``ceiling`` bounds how often a document repeats.
+    Returns the rows with source_size and target, and the pieces of the mix: ``_row``, turn,
+    first_word, words, shard, position (order inside the shard).  ``ceiling`` bounds how often a document repeats.
     """
-    spark = docs.sparkSession
-    rows = docs.select(
-        "_row", "doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_tie")
-    )
-    rows = stored(rows)
+    spark = rows.sparkSession
     totals = rows.groupBy("source").agg(F.sum("size").alias("n")).collect()  # one row per weighted source
     plan = allocate([(r.source, int(r.n)) for r in totals], weights, share, ceiling)
     takes = [min(int(t + 0.5), int(ceiling * n)) for _, n, t in plan]
@@ -171,7 +171,7 @@ def mix(
 
 def taken(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken (words, repeats counted)."""
-    rows, pieces = mix(numbered(docs.select("doc_id", "source", "text")), **options)
+    rows, pieces = mix(numbered(_sized(docs)), **options)
     words = pieces.groupBy("_row").agg(F.sum("words").alias("taken"))
     return rows.join(words, "_row", "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken")
@@ -187,7 +187,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     out by shard and shuffled inside.
     """
     full = numbered(docs)
-    _, pieces = mix(full, **options)
+    _, pieces = mix(stored(_sized(full)), **options)
     home = F.struct("first_word", "shard", "position")
     rows = pieces.groupBy("_row", "turn").agg(F.sum("words").alias("_words"), F.min(home).alias("_home"))
     joined = full.join(rows, "_row")

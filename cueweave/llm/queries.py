@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cueweave.llm import egojoin, langid, mixing, packing, pii, simhash, sketch, suffix, urls
+from cueweave.llm import egojoin, langid, mixing, packing, pii, simhash, sketch, suffix, toolcalls, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,6 +30,12 @@ def op3_scaled_sketch(spark: SparkSession, folder: str) -> DataFrame:
     return sketch.compare_with_next(_table(spark, folder, "documents"))
 
 
+def op4_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """Tool calls drawn from the conversations, linked, ordered and checked."""
+    calls, results = toolcalls.from_conversations(_table(spark, folder, "conversations"))
+    return toolcalls.link(calls, results, toolcalls.TOOLS)
+
+
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate groups of documents within 4 bits."""
     return simhash.near_duplicates(_table(spark, folder, "documents").select("doc_id", "text"))
