@@ -51,17 +51,23 @@ def word_count(text: Column) -> Column:
 
 
 def running_totals(
-    df: DataFrame, groups: list[str], order: list[str], value: str, name: str, buckets: int = 1024
+    df: DataFrame,
+    groups: list[str],
+    order: list[str],
+    value: str,
+    name: str,
+    ties: tuple[str, ...] = (),
+    buckets: int = 1024,
 ) -> DataFrame:
     """Add ``name``: the sum of ``value`` over earlier rows of the group, in hashed order.
 
-    Rows go by a hash of ``order`` to buckets, each summed in a task of its own; what
+    ``ties`` order rows that are equal in ``order``; they have no say otherwise.  Rows go by a hash of ``order`` to buckets, each summed in a task of its own; what
     precedes a bucket comes from a table of one row per group and bucket.  No group,
     however hot, gathers in one task.
     """
     mixed = df.withColumn("_hash", F.xxhash64(*order)).withColumn("_bucket", F.pmod("_hash", F.lit(buckets)))
     keys = [*groups, "_bucket"]
-    inside = Window.partitionBy(*keys).orderBy("_hash", *order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys).orderBy("_hash", *order, *ties).rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = (
         mixed.groupBy(*keys)

@@ -149,7 +149,7 @@ def mix(
         F.broadcast(sources).alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))
     )  # as many rows as there are weights
     known = known.select("r.*", *[f"s.{c}" for c in sources.columns if c != "source"])
-    lined = running_totals(known, ["source_no"], ["doc_id", "_tie", "_row"], "size", "begin")
+    lined = running_totals(known, ["source_no"], ["doc_id", "_tie"], "size", "begin", ("_row",))
 
     # A document lies at begin, begin + source_size, ... up to what the source gives.
     turn = F.explode(F.sequence(F.lit(0), F.ceil(F.col("take") / F.col("source_size")) - 1))
@@ -164,7 +164,7 @@ def mix(
         (a - F.col("lo")).alias("first_word"), (b - a).alias("words"),
     )
     dealt = cut.join(_blocks(spark, quotas, shard_blocks, seed), ["source_no", "block"])
-    position = F.xxhash64(F.lit(seed), "shard", "doc_id", "_tie", "turn", "block", "_row")
+    position = F.xxhash64(F.lit(seed), "shard", "doc_id", "_tie", "turn", "block")
     pieces = dealt.select("_row", "turn", "first_word", "words", "shard", position.alias("position"))
     return known.drop("_tie", "source_no", "take"), pieces
 

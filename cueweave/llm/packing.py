@@ -202,7 +202,7 @@ def pack(docs: DataFrame, window: int = 2048, grid: int = 8, vocabulary: str | N
 
     # Whole windows: one sequence each.
     whole = rows.select("_row", "doc_id", "doc_tokens", "full_crc32").filter(F.size("full_crc32") > 0)
-    base = running_totals(narrow.select("_row", "doc_id", "n_full").filter("n_full > 0"), [], ["doc_id", "_row"], "n_full", "base")
+    base = running_totals(narrow.select("_row", "doc_id", "n_full").filter("n_full > 0"), [], ["doc_id"], "n_full", "base", ("_row",))
     full = (
         whole.join(base.select("_row", "base"), "_row")
         .select("doc_id", "doc_tokens", "base", F.posexplode("full_crc32").alias("at", "ids_crc32"))
@@ -219,7 +219,7 @@ def pack(docs: DataFrame, window: int = 2048, grid: int = 8, vocabulary: str | N
 
     # Rests that a combination takes: ranks in the class, then sequences.
     rests = narrow.filter("rest > 0").withColumn("one", F.lit(1).cast("bigint"))
-    ranked = running_totals(rests, ["class"], ["doc_id", "_row"], "one", "rank")
+    ranked = running_totals(rests, ["class"], ["doc_id"], "one", "rank", ("_row",))
     ranges: dict[int, list] = {}
     for kind, lo, hi, sequence, place in _slots(patterns, counts):
         ranges.setdefault(kind, []).append((lo, hi, sequence, place))
@@ -250,7 +250,7 @@ def pack(docs: DataFrame, window: int = 2048, grid: int = 8, vocabulary: str | N
     # The others and what was cut off, end to end.
     over = seated.filter("kept < rest").select("_row", "doc_id", F.col("kept").alias("from"), (F.col("rest") - F.col("kept")).alias("n"))
     others = found.filter("seq is null").select("_row", "doc_id", F.lit(0).cast("bigint").alias("from"), F.col("rest").alias("n"))
-    line = running_totals(others.union(over), [], ["doc_id", "_row", "from"], "n", "at")
+    line = running_totals(others.union(over), [], ["doc_id", "from"], "n", "at", ("_row",))
     total = narrow.agg(F.sum("rest")).first()[0] or 0
     total -= n_mixed * window  # mixed sequences are exactly full
     line = line.select("*", F.explode(_cells(total, window)).alias("cell"))
