@@ -181,12 +181,13 @@ def taken(docs: DataFrame, **options) -> DataFrame:
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: rows shaped like ``docs``, once for each time a document is taken.
 
-    A document that is taken in part (the last of a source's line) is cut after its
-    words; where a block border cuts a document, its pieces join again.  A text that is cut
-    keeps its words with single spaces between them.  Output is laid
-    out by shard and shuffled inside.
+    ``docs`` is read twice and its rows are known by their place, so it must be a stored
+    table or one that gives the same partitions again.  A document that is taken in part
+    (the last of a source's line) is cut after its words; where a block border cuts a
+    document, its pieces join again.  A text that is cut keeps its words with single spaces
+    between them.  Output is laid out by shard and shuffled inside.
     """
-    full = numbered(docs)
+    full = docs.withColumn("_row", F.monotonically_increasing_id())
     _, pieces = mix(stored(_sized(full)), **options)
     home = F.struct("first_word", "shard", "position")
     rows = pieces.groupBy("_row", "turn").agg(F.sum("words").alias("_words"), F.min(home).alias("_home"))
