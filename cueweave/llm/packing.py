@@ -28,9 +28,10 @@ import base64
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,25 +75,31 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """A batch in parts, so that only a part is held as Python objects."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def tokens(docs: DataFrame, window: int, vocabulary: str | None = None) -> DataFrame:
     """_row, doc_id, doc_tokens, full_crc32 (of each whole window), rest (ids, two bytes each)."""
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary or vocabulary_path())
-        for frame in frames:
-            rows = []
-            for text in frame["text"]:
-                ids = encoder.ids(text)
+        for batch in chain.from_iterable(_slices(b) for b in batches):
+            count, crcs, rests = [], [], []
+            for text in batch["text"]:
+                ids = encoder.ids(text.as_py())
                 n = len(ids) - len(ids) % window
-                crcs = [zlib.crc32(ids[a : a + window].astype("<u4").tobytes()) for a in range(0, n, window)]
-                rows.append((len(ids), crcs, ids[n:].astype("<u2").tobytes()))
-            count, crcs, rest = zip(*rows, strict=True) if rows else ((), (), ())
-            out = frame[["_row", "doc_id"]].copy()
-            out["doc_tokens"], out["full_crc32"], out["rest"] = count, list(crcs), list(rest)
-            yield out
+                count.append(len(ids))
+                crcs.append([zlib.crc32(ids[a : a + window].astype("<u4").tobytes()) for a in range(0, n, window)])
+                rests.append(ids[n:].astype("<u2").tobytes())
+            made = [pa.array(count, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(rests, pa.binary())]
+            names = ["_row", "doc_id", "doc_tokens", "full_crc32", "rest"]
+            yield pa.RecordBatch.from_arrays([batch["_row"], batch["doc_id"], *made], names=names)
 
     given = docs.select("_row", "doc_id", "text")
-    return given.mapInPandas(
+    return given.mapInArrow(
         work, "_row bigint, doc_id bigint, doc_tokens bigint, full_crc32 array<bigint>, rest binary"
     )
 
@@ -289,20 +296,21 @@ def _with_crc(rows: DataFrame, pieces: DataFrame, window: int) -> DataFrame:
     grouped = pieces.groupBy("_row").agg(F.collect_list(F.struct("from", "length", "sequence_id", "offset")).alias("pieces"))
     joined = rows.select("_row", "doc_id", "doc_tokens", "rest").join(grouped, "_row").drop("_row")
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chain.from_iterable(_slices(b) for b in batches):
             out = []
-            for doc_id, n, rest, parts in frame.itertuples(index=False, name=None):
+            columns = (batch[c].to_pylist() for c in ("doc_id", "doc_tokens", "rest", "pieces"))
+            for doc_id, n, rest, parts in zip(*columns, strict=True):
                 ids = np.frombuffer(rest, dtype="<u2").astype("<u4")
-                for at, length, sequence, offset in (p.values() if isinstance(p, dict) else p for p in parts):
-                    crc = zlib.crc32(ids[at : at + length].tobytes())
-                    out.append((doc_id, n - len(ids) + at, length, crc, n, sequence, offset))
+                for p in parts:
+                    at = p["from"]
+                    crc = zlib.crc32(ids[at : at + p["length"]].tobytes())
+                    out.append((doc_id, n - len(ids) + at, p["length"], crc, n, p["sequence_id"], p["offset"]))
+            columns = list(zip(*out, strict=True)) or [()] * 7
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-            done = pd.DataFrame(out, columns=names)
-            done["doc_id"] = done["doc_id"].astype("Int64")
-            yield done
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
-    return joined.mapInPandas(
+    return joined.mapInArrow(
         work,
         "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
     )
