@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -175,7 +177,7 @@ def capitalize_names(text: Column) -> Column:
 
 def break_before_markers(text: Column, markers: tuple[str, ...] | None = None) -> Column:
     """End the sentence before a capitalized discourse marker."""
-    names = "|".join(SENTENCE_MARKERS if markers is None else markers)
+    names = "|".join(re.escape(m) for m in (SENTENCE_MARKERS if markers is None else markers))
     if not names:
         return F.regexp_replace(text, rf"\.{SPACE}*\.", ".")
     out = F.regexp_replace(text, rf"(?<!{STOP_CLASS}){SPACE}+({names}){EDGE}", ". $1")

@@ -20,7 +20,7 @@ from cueweave.functions.text import (
 from cueweave.operators.ordered import KEY, by_size, scan
 from cueweave.operators.packing import Packer, pack
 from cueweave.operators.words import cue_tokens
-from cueweave.schemas import BASIC, DEFAULT_LIMITS, SOCIAL, STANDARD, CueProfile, Limits
+from cueweave.schemas import DEFAULT_LIMITS, STANDARD, CueProfile, Limits
 
 TOKEN_COLUMNS = (KEY, "n_words", "idx", "text", "start", "end", "pause_after")
 
@@ -63,23 +63,23 @@ def _with_runs(tokens: DataFrame, profile: CueProfile, limits: Limits | None) ->
     recording's first token (standard), the last token not ending a sentence (social).
     """
     hard = ends_with_stop(strip_token(F.col("text")))
-    tokens = tokens.withColumn("_hard", hard) if profile is SOCIAL else tokens
-    flag_counts = ~F.col("_hard") if profile is SOCIAL else None
+    tokens = tokens.withColumn("_hard", hard) if profile.breaks_at_stops else tokens
+    flag_counts = ~F.col("_hard") if profile.breaks_at_stops else None
     previous = {
         "_end_before": (F.col("end"), None),
         "_pause_before": (F.col("pause_after"), flag_counts),
     }
-    if profile is SOCIAL:
+    if profile.breaks_at_stops:
         previous["_hard_before"] = (F.col("_hard"), None)
     seen = scan(
         tokens, "idx", previous=previous, running={"_nth": F.lit(1)}, limits=limits
     )
     gap = F.col("start") - F.col("_end_before")
     flagged = F.coalesce("_pause_before", F.lit(False))
-    if profile is STANDARD:
+    if not profile.first_pause_counts:
         flagged = flagged & (F.col("_nth") > 2)
     breaks = (gap > profile.gap_seconds) | (flagged & (gap >= profile.pause_gap_seconds))
-    if profile is SOCIAL:
+    if profile.breaks_at_stops:
         breaks = breaks | F.col("_hard_before")
     seen = seen.withColumn("breaks", F.coalesce(breaks, F.lit(True))).drop(*previous, "_nth", "_hard")
     return scan(seen, "idx", latest={"run": (F.col("idx"), F.col("breaks"))}, limits=limits)
@@ -94,7 +94,7 @@ def cue_runs(
 
 
 def _items(tokens: DataFrame, profile: CueProfile) -> DataFrame:
-    raw = profile is BASIC
+    raw = not profile.tidied
     piece = F.col("text") if raw else tidy_token(F.col("text"))
     with_piece = tokens.select(KEY, F.col("idx").alias("ord"), "run", "start", "end", piece.alias("piece"))
     piece = F.col("piece")
@@ -160,7 +160,7 @@ def _build(tokens: DataFrame, profile: CueProfile, limits: Limits | None) -> Dat
     cues = pack(_items(_with_runs(tokens, profile, limits), profile), _packer(profile), limits)
     if profile.min_seconds is not None:
         cues = _merged(cues, profile, limits)
-    if profile is STANDARD:
+    if profile.balanced:
         cues = _balanced(cues, profile, limits)
     numbered = scan(cues, "ord", running={"cue_no": F.lit(1)}, limits=limits)
     return numbered.select(KEY, F.col("cue_no").cast("bigint"), "start", "end", "text")

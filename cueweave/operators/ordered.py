@@ -51,7 +51,7 @@ def by_size(
     """
     if oversize is False:
         return job(words, None)
-    is_big = F.col("n_words") > limits.recording_words
+    is_big = F.coalesce(F.col("n_words") > limits.recording_words, F.lit(False))
     big = words.filter(is_big)
     if oversize is None:
         oversize = not big.select(KEY).isEmpty()

@@ -40,8 +40,14 @@ def speaker_of(speaker_id: Column, speaker: Column) -> Column:
 
 
 def _timed(part: Column) -> tuple[Column, Column]:
-    start = seconds(part["start"])
-    return start, F.coalesce(seconds(part["end"]), start, F.lit(0.0))
+    """Start and end; a missing start is 0, an unreadable time makes the end 0 too.
+
+    An unreadable start stays NULL: no cue can hold the word.
+    """
+    start, end = seconds(part["start"]), seconds(part["end"])
+    begun = F.when(part["start"].isNull(), F.lit(0.0)).otherwise(start)
+    unreadable = begun.isNull() | (part["end"].isNotNull() & end.isNull())
+    return begun, F.when(unreadable, F.coalesce(begun, F.lit(0.0))).otherwise(F.coalesce(end, begun))
 
 
 def words_from_transcripts(transcripts: DataFrame, segments_as_words: bool = False) -> DataFrame:

@@ -60,6 +60,10 @@ class CueProfile:
     soft_chars: int | None = None
     soft_words: int | None = None
     soft_seconds: float | None = None
+    tidied: bool = True  # spacing of the text is put right
+    breaks_at_stops: bool = False  # a cue never goes on after a sentence end
+    first_pause_counts: bool = True  # a pause after the first token may start a cue
+    balanced: bool = False  # no cue of one word where the cue before can spare one
 
 
 # Fixed values.
@@ -70,6 +74,8 @@ STANDARD = CueProfile(
     gap_seconds=0.9,
     min_seconds=1.0,
     sentence_chars=28,
+    first_pause_counts=False,
+    balanced=True,
 )
 SOCIAL = CueProfile(
     name="social",
@@ -81,8 +87,9 @@ SOCIAL = CueProfile(
     soft_chars=20,
     soft_words=5,
     soft_seconds=0.9,
+    breaks_at_stops=True,
 )
-BASIC = CueProfile(name="basic", max_chars=84, max_seconds=5.5, gap_seconds=0.9)
+BASIC = CueProfile(name="basic", max_chars=84, max_seconds=5.5, gap_seconds=0.9, tidied=False)
 LINE_CHARS = 42
 
 

@@ -32,7 +32,7 @@ def transcripts_from_documents(documents: DataFrame) -> DataFrame:
             F.when(closing, "punctuation").otherwise("word").alias("type"),
             token.alias("text"),
             text_seconds(start).alias("start"),
-            text_seconds(start + 60 + 30 * F.least(F.length(token), F.lit(12))).alias("end"),
+            text_seconds(start + 60 + 30 * F.length(token)).alias("end"),
             F.when(by_id, name).alias("speaker_id"),
             F.when(~by_id, name).alias("speaker"),
             F.lit(None).cast("array<struct<text:string,start:string,end:string>>").alias("characters"),
@@ -53,22 +53,21 @@ def transcripts_from_documents(documents: DataFrame) -> DataFrame:
             F.lit(encoded).alias("is_base64_encoded"),
         )
 
-    opening = F.left("text", F.lit(40))
     items = F.filter(
         F.array(
-            attachment("SRT", ".srt", F.when(key % 4 == 0, opening), False),
+            attachment("SRT", ".srt", F.when(key % 4 == 0, F.col("text")), False),
             attachment("txt", None, F.when(key % 5 != 0, F.col("text")), False),
-            attachment("segmented_json", "json", opening, False),
+            attachment("segmented_json", "json", F.col("text"), False),
             attachment("docx", "docx", F.base64(F.encode("text", "UTF-8")), True),
-            attachment("html", "json", F.when(key % 2 == 0, opening), False),
-            attachment(None, "TXT", F.when(key % 7 == 0, opening), False),
-            attachment(None, None, opening, False),
+            attachment("html", "json", F.when(key % 2 == 0, F.col("text")), False),
+            attachment(None, "TXT", F.when(key % 7 == 0, F.col("text")), False),
+            attachment(None, None, F.col("text"), False),
         ),
         lambda item: item["content"].isNotNull(),
     )
     return documents.select(
         F.concat(F.lit("doc-"), key.cast("string")).alias(KEY),
-        F.concat("source", F.lit(" "), F.lpad(key.cast("string"), 9, "0")).alias("stem"),
+        F.concat("source", F.lit(" "), F.format_string("%09d", key)).alias("stem"),
         F.col("text"),
         F.when(key % 3 != 0, F.transform(tokens, word)).alias("words"),
         F.when(key % 3 == 0, F.transform(lines, segment)).alias("segments"),

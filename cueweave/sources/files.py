@@ -112,7 +112,12 @@ def resolve(spark: SparkSession, path: str, glob: str | None = None) -> tuple[st
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     files = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if files.exists(hadoop_path):
-        return path, None if files.getFileStatus(hadoop_path).isFile() else glob, None
+        if files.getFileStatus(hadoop_path).isFile():
+            return path, None, None
+        hidden = files.globStatus(jvm.org.apache.hadoop.fs.Path(hadoop_path, "[._]*.{json,JSON}"))
+        if hidden:  # Spark passes such names over in silence
+            raise ValueError(f"{path} holds names that Spark does not read, such as {hidden[0].getPath().getName()}")
+        return path, glob, None
     parent, _, pattern = path.rpartition("/")
     if not parent or not files.exists(jvm.org.apache.hadoop.fs.Path(parent)):
         raise FileNotFoundError(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import mimetypes
 
 PHRASES = (
-    " man manga misofir bo'lib keldim, iso masih va xudo o'zbekiston haqida gapirdi ",
+    " manga kitob bergan man edim, xudo haqida iso aytgan so'z o'zbekiston uchun ",
     " ota onamlar ROSSIYADA,novosibirskda. keyin  Keyin Shunda man ketdim ! bir birimiz",
     "\n\n qur'on va INJIL .tavrot\u00a0zabur; farg'onada SHaHaR choy yo'l yulduz yana yetti e-e NG Ng bir bir ",
     " Xudoga iso Masih… erta ertalab Ertaga G'alaba o\u02bbg\u02bcil Manga Demak 3.14 bir biriga bir birini",
@@ -417,7 +417,7 @@ SEEDED = f"seeded AS (SELECT doc_id, text || {pick(PHRASES, 'doc_id')} AS text F
 
 TRANSCRIPTS = """
 docs AS (
-  SELECT doc_id, 'doc-' || doc_id AS transcript_id, source || ' ' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS stem, text,
+  SELECT doc_id, 'doc-' || doc_id AS transcript_id, source || ' ' || printf('%09d', doc_id) AS stem, text,
          list_filter(string_split_regex(text, '[ \\t\\r\\n]+'), lambda t: t <> '') AS toks,
          list_filter(string_split(text, chr(10)), lambda l: trim(l, ' ') <> '') AS lines
   FROM documents),
@@ -429,7 +429,7 @@ t_words AS (
   SELECT transcript_id, CAST(n_words AS BIGINT) AS n_words, CAST(idx AS BIGINT) AS idx,
          CASE WHEN regexp_matches(text, '^[.,;:!?]+$') THEN 'punctuation' ELSE 'word' END AS type, text,
          CAST(ms AS DOUBLE) / 1000.0e0 AS "start",
-         CAST(ms + 60 + 30 * least(length(text), 12) AS DOUBLE) / 1000.0e0 AS "end",
+         CAST(ms + 60 + 30 * length(text) AS DOUBLE) / 1000.0e0 AS "end",
          's' || ((idx // 14) % 3) AS speaker
   FROM doc_ms),
 doc_segments AS (
@@ -456,13 +456,13 @@ segment_sentences AS (
 ITEMS = """
 raw_items AS (
   SELECT transcript_id, stem, list_filter([
-      {'rf': 'SRT', 'fe': '.srt', 'c': CASE WHEN doc_id % 4 = 0 THEN left(text, 40) END},
+      {'rf': 'SRT', 'fe': '.srt', 'c': CASE WHEN doc_id % 4 = 0 THEN text END},
       {'rf': 'txt', 'fe': NULL, 'c': CASE WHEN doc_id % 5 <> 0 THEN text END},
-      {'rf': 'segmented_json', 'fe': 'json', 'c': left(text, 40)},
+      {'rf': 'segmented_json', 'fe': 'json', 'c': text},
       {'rf': 'docx', 'fe': 'docx', 'c': text},
-      {'rf': 'html', 'fe': 'json', 'c': CASE WHEN doc_id % 2 = 0 THEN left(text, 40) END},
-      {'rf': NULL, 'fe': 'TXT', 'c': CASE WHEN doc_id % 7 = 0 THEN left(text, 40) END},
-      {'rf': NULL, 'fe': NULL, 'c': left(text, 40)}], lambda i: i.c IS NOT NULL) AS items
+      {'rf': 'html', 'fe': 'json', 'c': CASE WHEN doc_id % 2 = 0 THEN text END},
+      {'rf': NULL, 'fe': 'TXT', 'c': CASE WHEN doc_id % 7 = 0 THEN text END},
+      {'rf': NULL, 'fe': NULL, 'c': text}], lambda i: i.c IS NOT NULL) AS items
   FROM docs),
 item_rows AS (
   SELECT transcript_id, stem, generate_subscripts(items, 1) - 1 AS pos, unnest(items) AS item FROM raw_items),

@@ -34,18 +34,18 @@ def word(text, start, end, **more):
 
 
 SPOKEN = {
-    "text": "man manga boraman keyin iso masih haqida gapiraman",
+    "text": "man manga yozdim keyin xudo haqida kitob oldim",
     "language": "uzb",
     "words": [
         word("man", 0.0, 0.2, speaker="x"),
         word("manga", 0.25, 0.4, speaker="x"),
-        word("boraman", 0.45, 0.9, speaker="x"),
+        word("yozdim", 0.45, 0.9, speaker="x"),
         word("keyin", 2.0, 2.2, speaker="y"),
-        word("iso", 2.25, 2.4, speaker="y"),
-        word("masih", "2.45", "2.7", speaker_id="y"),
+        word("xudo", 2.25, 2.4, speaker="y"),
+        word("haqida", "2.45", "2.7", speaker_id="y"),
         {"type": "spacing", "text": " ", "start": 2.7, "end": 2.75},
-        word("haqida", 2.75, 3.0),
-        word("gapiraman", 3.05, 3.5),
+        word("kitob", 2.75, 3.0),
+        word("oldim", 3.05, 3.5),
     ],
     "additional_formats": [
         {"requested_format": "srt", "file_extension": ".SRT", "content": "first", "is_base64_encoded": False},
@@ -58,7 +58,7 @@ SPOKEN = {
     ],
 }
 SEGMENTS = {"segments": [{"text": " Bir ikki. ", "start": 0, "end": 2.5}, {"text": "Uch", "start": 3.6, "end": 4}]}
-NAMES = ["2025-06 Gulchihra 1 Shock.json", "2025-06 Gulchihra 2 Surgery.json", "2025-06 Gulchihra 3 Bible.json"]
+NAMES = ["Radio suhbat 1 tong.json", "Radio suhbat 2 tush.json", "Radio suhbat 3 kech.json"]
 
 
 @pytest.fixture()
@@ -76,7 +76,7 @@ def test_path_selection(spark, corpus):
         return [r.stem for r in read_transcripts(spark, str(path), **more).orderBy("transcript_id").collect()]
 
     assert stems(corpus) == [n[:-5] for n in NAMES]
-    assert stems(f"{corpus}/^2025-06 Gulchihra [12] .*[.]json$") == [n[:-5] for n in NAMES[:2]]
+    assert stems(f"{corpus}/^Radio suhbat [12] .*[.]json$") == [n[:-5] for n in NAMES[:2]]
     assert stems(corpus / NAMES[2]) == [NAMES[2][:-5]]
     assert stems(corpus, glob="*1*.json") == [NAMES[0][:-5]]
     for path in (f"{corpus}/missing", f"{corpus}/^none.*$", f"{corpus}/away/x.json", f"{corpus}/notes.txt"):
@@ -129,18 +129,18 @@ def test_unreadable_times(spark):
     rows = [(*r[:3], [tuple(w.get(f) for f in fields) for w in r[3]], *r[4:]) for r in rows]
     words = words_from_transcripts(spark.createDataFrame(rows, schema))
     assert [(r.text, r.start, r.end) for r in words.orderBy("idx").collect()] == [
-        ("x", None, 1.0), ("y", 1.0, 1.0), ("z", None, 0.0), ("v", None, 2.0),
+        ("x", None, 0.0), ("y", 1.0, 1.0), ("z", 0.0, 0.0), ("v", None, 0.0),
     ]
-    assert sorted(r.text for r in untimed_words(words).collect()) == ["v", "x", "z"]
-    assert [r.text for r in cue_tokens(words).collect()] == ["y"]
+    assert sorted(r.text for r in untimed_words(words).collect()) == ["v", "x"]
+    assert [r.text for r in cue_tokens(words).orderBy("idx").collect()] == ["y", "z"]
 
 
 def test_standard_subtitles(spark, corpus):
     df = read_transcripts(spark, str(corpus))
     files = {r.transcript_id.rsplit("/", 1)[-1]: r.srt_text for r in transform.subtitles(df, script="source").collect()}
     assert files[NAMES[0]] == (
-        "1\n00:00:00,000 --> 00:00:00,900\nman manga boraman\n\n"
-        "2\n00:00:02,000 --> 00:00:03,500\nkeyin iso masih haqida gapiraman\n"
+        "1\n00:00:00,000 --> 00:00:00,900\nman manga yozdim\n\n"
+        "2\n00:00:02,000 --> 00:00:03,500\nkeyin xudo haqida kitob oldim\n"
     )
     assert files[NAMES[1]] == files[NAMES[2]] == ""
     numbered = transform.numbered_subtitles(df).filter("srt_text <> ''").collect()
@@ -155,23 +155,23 @@ def test_clean_flow(spark, corpus):
     df = read_transcripts(spark, str(corpus))
     cleaned = {r.out_name: json.loads(r.json) for r in transform.clean_json(df).collect()}
     payload = cleaned[NAMES[0][:-5] + "_uz_clean.json"]
-    assert payload["text"].startswith("Men menga boraman") and "Iso Masih" in payload["text"]
+    assert payload["text"].startswith("Men menga yozdim") and "Xudo haqida" in payload["text"]
     assert [w["text"] for w in payload["words"]][:2] == ["men", "menga"]
     assert payload["words"][0]["start"] == "0.0"
     found = transform.sentences(df, clean=True)
     texts = {r.transcript_id.rsplit("/", 1)[-1]: r.txt for r in transform.sentence_files(found).collect()}
-    assert texts == {NAMES[0]: "Men menga boraman\nKeyin Iso Masih haqida gapiraman\n", NAMES[1]: "Bir ikki.\nUch\n"}
+    assert texts == {NAMES[0]: "Men menga yozdim\nKeyin Xudo haqida kitob oldim\n", NAMES[1]: "Bir ikki.\nUch\n"}
     speakers = {r.speaker for r in found.collect()}
     assert speakers == {"speaker_0", "speaker_1", None}
     lines = [r.line for r in transform.combined_lines(found).collect()]
-    assert lines == ["Men menga boraman", "Keyin Iso Masih haqida gapiraman", "Bir ikki.", "Uch"]
+    assert lines == ["Men menga yozdim", "Keyin Xudo haqida kitob oldim", "Bir ikki.", "Uch"]
     assert json.loads((corpus / NAMES[0]).read_text()) == SPOKEN
 
 
 def test_social_variants(spark, corpus):
     df = read_transcripts(spark, f"{corpus}/{NAMES[0]}")
     got = {r.variant: r.srt_text for r in transform.social_subtitles(df).collect()}
-    assert "ман манга бораман" in got["cyrillic"] and "man manga boraman" in got["latin"] == got["raw"]
+    assert "ман манга ёздим" in got["cyrillic"] and "man manga yozdim" in got["latin"] == got["raw"]
 
 
 def test_file_parts_join_to_the_file(spark, corpus):

@@ -58,7 +58,7 @@ def test_timecodes(spark):
 
 def test_to_latin(spark):
     pairs = {
-        "Скорый келяпти, виу-виу деб нимаси уж эшитилганда.": "Skoriy kelyapti, viu-viu deb nimasi uj eshitilganda.",
+        "Дўстим бугун келади, биз уни кутамиз.": "Do‘stim bugun keladi, biz uni kutamiz.",
         "Ер еее оеЕ ШЕ ъе": "Yer yeyeye oyeYe ShE 'ye",
         "Ўғил Ҳаёт Щука Қ ь": "O‘g‘il Hayot Shuka Q '",
     }
@@ -86,12 +86,12 @@ def test_script_modes(spark):
 
 
 def test_subtitle_lines(spark):
-    lines = ["1", " ", "00:00:01,000 --> 00:00:02,500", "²", "<i>Salom</i> do'st", "<b>Skoriy</b> kelyapti",
+    lines = ["1", " ", "00:00:01,000 --> 00:00:02,500", "²", "<i>Salom</i> do'st", "<b>Bahor</b> keldi",
              "er<u>er", "a < b > e", "x <"]
     got = applied(spark, subtitle_line_to_cyrillic, lines)
     assert got == lines[:4] + [
         "<i>Салом</i> дўст",
-        "<b>Скорий</b> келяпти",
+        "<b>Баҳор</b> келди",
         "эр<u>эр",
         "а < b > э",
         "х <",
@@ -120,9 +120,9 @@ def test_wrapping(spark):
 
 
 def test_clean_up(spark):
-    text = "man manga misofir bo'lib keldim, iso masih va xudo o'zbekiston haqida gapirdi"
+    text = "manga kitob bergan man edim, xudo haqida iso aytgan so'z o'zbekiston uchun"
     assert applied(spark, clean_text, [text, "bo'lib", "3.14 ,x", "a.  b\n c! é? ё"]) == [
-        "Men menga musofir bo’lib keldim, Iso Masih va Xudo O‘zbekiston haqida gapirdi",
+        "Menga kitob bergan men edim, Xudo haqida Iso aytgan so’z O‘zbekiston uchun",
         "Bo’lib",
         "3. 14, x",
         "A. B\nC! é? Ё",
@@ -149,12 +149,12 @@ def spelled(text, base, *times):
     return [(c, base + a, base + b) for c, (a, b) in zip(text, times)]
 
 
-NARSA = spelled("narsa", 460, (0.19, 0.32), (0.32, 0.34), (0.34, 0.499), (0.50, 0.54), (0.54, 1.80))
-OVOZI = spelled("ovozi", 462, (0.28, 0.36), (0.36, 0.38), (0.38, 0.60), (0.60, 0.61), (0.61, 0.82))
-QILADIGAN = spelled(
-    "qiladigan,", 411, (0.42, 0.46), (0.46, 0.50), (0.50, 0.56), (0.56, 0.62), (0.62, 0.68),
-    (0.68, 0.74), (0.74, 0.84), (0.84, 0.96), (0.96, 2.0), (2.0, 2.0),
-)
+# Four letters of a tenth of a second; the last one goes on for a second more.
+TOSHA = spelled("tosha", 20, (0.0, 0.1), (0.1, 0.2), (0.2, 0.3), (0.3, 0.4), (0.4, 1.5))
+# Even letters: nothing is hidden.
+DARYO = spelled("daryo", 22, (0.0, 0.1), (0.1, 0.2), (0.2, 0.3), (0.3, 0.4), (0.4, 0.6))
+# The mark at the end is not spoken; the letter before it holds the pause.
+OQDI = spelled("oqdi,", 10, (0.0, 0.125), (0.125, 0.25), (0.25, 0.375), (0.375, 1.5), (1.5, 1.5))
 
 
 def word_rows(spark, *rows):
@@ -168,45 +168,50 @@ def word_rows(spark, *rows):
 def test_stretched_characters(spark):
     df = word_rows(
         spark,
-        ("narsa", 460.19, 461.80, NARSA),
-        ("ovozi", 462.28, 462.82, OVOZI),
-        ("qiladigan,", 411.42, 413.0, QILADIGAN),
+        ("tosha", 20.0, 21.5, TOSHA),
+        ("daryo", 22.0, 22.6, DARYO),
+        ("oqdi,", 10.0, 11.5, OQDI),
         ("yo'q", 1.0, 2.0, None),
         ("ha", 1.0, 2.0, [("h", 1.0, 1.1), ("a", 1.1, 2.0)]),
     )
     got = {r.text: (r.speech_end, r.pause_gap) for r in with_pauses(df).collect()}
-    assert got["narsa"][0] == pytest.approx(460.73875, abs=1e-9)
-    assert got["narsa"][1] == pytest.approx(461.80 - 460.73875, abs=1e-9)
-    assert got["ovozi"] == (462.82, 0.0)
-    assert 412.0 < got["qiladigan,"][0] < 412.40
+    # Twice the median letter (0.1 s) is kept of the last one: it ends at 20.4 + 0.2.
+    assert got["tosha"] == (pytest.approx(20.6), pytest.approx(0.9))
+    assert got["daryo"] == (22.6, 0.0)
+    assert got["oqdi,"] == (10.375 + 0.25, 11.5 - 10.625)
     assert got["yo'q"] == got["ha"] == (2.0, 0.0)
     off = {r.text: (r.speech_end, r.pause_gap) for r in with_pauses(df, False).collect()}
-    assert off["narsa"] == (461.80, 0.0)
+    assert off["tosha"] == (21.5, 0.0)
 
 
 def test_detected_pauses_split_cues_and_sentences(spark):
     four = word_rows(
         spark,
-        ("ibodat", 410.88, 411.38, None),
-        ("qiladigan,", 411.42, 413.00, QILADIGAN),
-        ("kalom", 413.04, 413.47, None),
-        ("o'qiydikan,", 413.56, 414.16, None),
+        ("suv", 9.5, 9.9, None),
+        ("oqdi,", 10.0, 11.5, OQDI),
+        ("kun", 11.54, 12.0, None),
+        ("botdi", 12.1, 12.7, None),
     )
     assert words_to_cues(four, STANDARD).count() == 1
     assert [c.text for c in words_to_cues(four, STANDARD, True).orderBy("cue_no").collect()] == [
-        "ibodat qiladigan,",
-        "kalom o'qiydikan,",
+        "suv oqdi,",
+        "kun botdi",
     ]
     social = words_to_cues(four, SOCIAL, True).orderBy("cue_no").collect()
-    assert social[0].end < 413.0 and social[0].end < social[1].start
+    assert social[0].end < 11.5 and social[0].end < social[1].start
     five = word_rows(
         spark,
-        ("manga", 459.20, 459.48, None),
-        ("tegingan", 459.58, 460.18, None),
-        ("narsa", 460.19, 461.80, NARSA),
-        ("uning", 461.86, 462.19, None),
-        ("ovozi", 462.28, 462.82, OVOZI),
+        ("qir", 19.0, 19.4, None),
+        ("oshib", 19.5, 19.9, None),
+        ("tosha", 20.0, 21.5, TOSHA),
+        ("keng", 21.56, 21.9, None),
+        ("daryo", 22.0, 22.6, DARYO),
     )
     assert words_to_sentences(five, timing=True).count() == 1
     split = words_to_sentences(five, timing=True, pause_detection=True).orderBy("sent_no").collect()
-    assert [s.text for s in split] == ["manga tegingan narsa", "uning ovozi"]
+    assert [s.text for s in split] == ["qir oshib tosha", "keng daryo"]
+
+
+def test_own_markers_are_plain_text(spark):
+    got = applied(spark, lambda c: break_before_markers(c, ("A.B", "C")), ["x AxB y", "x A.B y", "x C y"])
+    assert got == ["x AxB y", "x. A.B y", "x. C y"]
