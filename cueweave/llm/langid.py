@@ -23,11 +23,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cueweave.llm.common import slices
+
 ORDER = 4
 SAMPLE = 800  # training rows a language, at most (in expectation)
 CHUNK = 1 << 17  # code points scored at a time
@@ -270,25 +273,27 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     packed = cloudpickle.dumps(model)
     shared = docs.sparkSession.sparkContext.broadcast(packed)  # bounded by the training sample
 
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(cloudpickle.loads(shared.value))
-        names = np.array(scorer.model.languages, dtype=object)
-        for frame in frames:
-            speaks = frame["_letters"].to_numpy(dtype=bool)
-            frame = frame.drop(columns="_letters")
-            bits = scorer.entropies([t if ok else "" for t, ok in zip(frame["text"], speaks, strict=True)])
+        names = np.array([*scorer.model.languages, UNKNOWN], dtype=object)
+        for batch in slices(batches):
+            speaks = batch["_letters"].to_numpy(zero_copy_only=False)
+            texts = [t if ok else "" for t, ok in zip(batch["text"].to_pylist(), speaks, strict=True)]
+            bits = scorer.entropies(texts)
             best = bits.argmin(axis=1)
             low = np.where(speaks, bits[np.arange(len(best)), best], 0.0)
             weight = np.exp(-scorer.model.scale * (bits - low[:, None])).sum(axis=1)
-            yield frame.assign(
-                lang_pred=np.where(speaks, names[best], UNKNOWN),
-                score=np.where(speaks, 1.0 / np.maximum(weight, 1.0), 0.0),
-                bits=np.where(speaks, low, np.nan),
-                rejected=~speaks | (low > scorer.model.limit[best]),
-            )
+            made = [
+                pa.array(names[np.where(speaks, best, -1)], pa.string()),
+                pa.array(np.where(speaks, 1.0 / np.maximum(weight, 1.0), 0.0)),
+                pa.array(low, mask=~speaks),
+                pa.array(~speaks | (low > scorer.model.limit[best])),
+            ]
+            kept = [c for c in batch.schema.names if c != "_letters"]
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in kept], *made], names=schema.names)
 
     given = docs.withColumn("_letters", has_letter(F.col("text")))
-    return given.mapInPandas(score, schema)
+    return given.mapInArrow(score, schema)
 
 
 def predict(docs: DataFrame) -> DataFrame:

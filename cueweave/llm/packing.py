@@ -28,14 +28,13 @@ import base64
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cueweave.llm.common import running_totals, stored
+from cueweave.llm.common import running_totals, slices, stored
 
 END = 1
 #: Splitting rule of the byte-level vocabulary. Fixed value.
@@ -75,18 +74,12 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """A batch in parts, so that only a part is held as Python objects."""
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
-
-
 def tokens(docs: DataFrame, window: int, vocabulary: str | None = None) -> DataFrame:
     """_row, doc_id, doc_tokens, full_crc32 (of each whole window), rest (ids, two bytes each)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary or vocabulary_path())
-        for batch in chain.from_iterable(_slices(b) for b in batches):
+        for batch in slices(batches):
             count, crcs, rests = [], [], []
             for text in batch["text"]:
                 ids = encoder.ids(text.as_py())
@@ -297,7 +290,7 @@ def _with_crc(rows: DataFrame, pieces: DataFrame, window: int) -> DataFrame:
     joined = rows.select("_row", "doc_id", "doc_tokens", "rest").join(grouped, "_row").drop("_row")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chain.from_iterable(_slices(b) for b in batches):
+        for batch in slices(batches):
             out = []
             columns = (batch[c].to_pylist() for c in ("doc_id", "doc_tokens", "rest", "pieces"))
             for doc_id, n, rest, parts in zip(*columns, strict=True):

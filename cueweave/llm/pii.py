@@ -30,11 +30,13 @@ from collections.abc import Iterator
 from datetime import date, timedelta
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cueweave.llm.common import slices
+
 KINDS = ("email", "secret", "iban", "card", "ip", "date", "phone")
 #: One pass over the text; alternatives in the order of precedence.
 PATTERN = re.compile(
@@ -208,16 +210,16 @@ def hide(docs: DataFrame, key: str = "cueweave") -> DataFrame:
     schema = T.StructType([*kept, *[T.StructField(c, T.LongType()) for c in counts]])
     secret = hashlib.blake2b(key.encode(), digest_size=32).digest()
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Pseudonyms(secret)
-        for frame in frames:
-            done = [(t, []) if t is None else pseudonymise(t, names) for t in frame["text"]]
-            frame["text"] = pd.Series([t for t, _ in done], dtype=object)
-            for kind in KINDS:
-                frame[f"n_{kind}"] = [k.count(kind) for _, k in done]
-            frame["n_values"] = [len(k) for _, k in done]
-            yield frame
+        for batch in slices(batches):
+            done = [(t, []) if t is None else pseudonymise(t, names) for t in batch["text"].to_pylist()]
+            texts = pa.array([t for t, _ in done], pa.string())
+            given = [texts if f.name == "text" else batch[f.name] for f in kept]
+            made = [pa.array([k.count(kind) for _, k in done], pa.int64()) for kind in KINDS]
+            made.append(pa.array([len(k) for _, k in done], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*given, *made], names=schema.names)
 
     named = docs.select(*[f.name for f in kept])
     spread = named.withColumn("text", F.col("text").cast("string"))
-    return spread.mapInPandas(work, schema)
+    return spread.mapInArrow(work, schema)
