@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cueweave.llm import egojoin, langid, mixing, packing, pii, simhash, sketch, suffix, toolcalls, urls
+from cueweave.llm import egojoin, langid, mixing, oracle, packing, pii, simhash, sketch, suffix, toolcalls, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -73,4 +73,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where it can state a query."""
-    return {}
+    return oracle.statements()
