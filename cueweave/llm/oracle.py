@@ -121,11 +121,11 @@ FROM given LEFT JOIN counts ON counts.a = vec_id LEFT JOIN parts ON parts.a = ve
 STRETCHES = """
 WITH docs AS (SELECT doc_id, coalesce(hex(encode(text)), '') AS h FROM documents),
 blocks AS (
-  SELECT doc_id, at, substr(h, 2 * at + 1, 298) AS piece
-  FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0), 100)) AS at FROM docs)),
+  SELECT doc_id, p0, substr(h, 2 * p0 + 1, 298) AS piece
+  FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0), 100)) AS p0 FROM docs)),
 stretches AS (
-  SELECT doc_id, at + j AS i, substr(piece, 2 * j + 1, 100) AS s
-  FROM (SELECT doc_id, at, piece, unnest(range(0, length(piece) // 2 - 49)) AS j FROM blocks)),
+  SELECT doc_id, p0 + j AS i, substr(piece, 2 * j + 1, 100) AS s
+  FROM (SELECT doc_id, p0, piece, unnest(range(0, length(piece) // 2 - 49)) AS j FROM blocks)),
 first AS (SELECT s, min(doc_id) AS first_id FROM stretches GROUP BY s HAVING count(*) > 1),
 later AS (SELECT doc_id, i FROM stretches JOIN first USING (s) WHERE first_id < doc_id),
 marked AS (
