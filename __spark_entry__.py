@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -291,6 +292,30 @@ def q_clean_payload(spark, d):
     return word_ops.words_from_transcripts(cleaned, segments_as_words=True).drop("characters")
 
 
+def q_clean_json(spark, d):
+    """Documents as JSON with a word and fields that nothing reads, cleaned, and read again."""
+    word = F.struct(F.lit("man").alias("text"), F.lit(0.5).alias("start"), F.lit(-0.25).alias("logprob"))
+    texts = _seeded(spark, d).join(_table(spark, d, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
+    body = F.to_json(F.struct("text", "lang", "n_chars", F.array(word).alias("words")))
+    given = texts.select(
+        F.col("doc_id").cast("string").alias("transcript_id"), F.lit("s").alias("stem"), F.parse_json(body).alias("raw")
+    )
+    again = F.parse_json("json")
+
+    def field(path, kind):
+        return F.variant_get(again, path, kind)
+
+    return transform.clean_json(given).select(
+        F.col("transcript_id").cast("bigint").alias("doc_id"),
+        field("$.text", "string").alias("text"),
+        field("$.lang", "string").alias("lang"),
+        field("$.n_chars", "bigint").alias("n_chars"),
+        field("$.words[0].text", "string").alias("word"),
+        field("$.words[0].start", "double").alias("start"),
+        field("$.words[0].logprob", "double").alias("logprob"),
+    )
+
+
 def q_cyrillic_names(spark, d):
     pages = _table(spark, d, "pages")
     ending = F.element_at(F.array(*[F.lit(e) for e in sql.NAME_ENDINGS]), (F.col("page_id") % len(sql.NAME_ENDINGS)).cast("int") + 1)
@@ -387,6 +412,8 @@ def queries() -> dict[str, Query]:
         found[f"cue_runs_{name}"] = _runs(profile)
         found[f"cues_{name}"] = _cue_query(profile)
         found[f"cues_{name}_pauses"] = _cue_query(profile, pauses=True)
+    found["cues_basic_short"] = _cue_query(replace(BASIC, max_chars=60, max_seconds=3.0))
+    found["cues_social_wide"] = _cue_query(replace(SOCIAL, gap_seconds=1.25))
     if llm:
         found |= llm.queries() | {"pipeline": corpus_pipeline.run}
     return found

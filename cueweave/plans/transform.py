@@ -53,15 +53,47 @@ def clean_transcripts(transcripts: DataFrame, clean_words: bool = True) -> DataF
     return out
 
 
-def clean_json(transcripts: DataFrame) -> DataFrame:
-    """``transcript_id, out_name, json`` of the cleaned copies."""
-    cleaned = clean_transcripts(transcripts)
-    document = F.to_json(F.struct("text", "words", "segments", "additional_formats"))
-    return cleaned.select(
-        KEY, F.concat("stem", F.lit("_uz_clean.json")).alias("out_name"), document.alias("json")
+def _with_text(fields: Column, change: Callable[[Column], Column]) -> Column:
+    """An object (map of variants) with its text changed, if that is a string."""
+    text = F.try_variant_get(fields["text"], "$", "string")
+    fresh = F.create_map(F.lit("text"), change(text).cast("variant"))
+    return F.when(text.isNull(), fields).otherwise(
+        F.map_concat(F.map_filter(fields, lambda name, _: name != "text"), fresh)
     )
 
 
+def clean_document(raw: Column) -> Column:
+    """A transcript document (VARIANT) with cleaned texts; every other field as it was.
+
+    Numbers stay numbers and fields that nothing here knows stay, in words and segments too.
+    """
+    fields = F.try_variant_get(raw, "$", "map<string,variant>")
+
+    def items(name: str, change: Callable[[Column], Column]) -> Column:
+        read = F.try_variant_get(fields[name], "$", "array<map<string,variant>>")
+        return F.coalesce(F.to_variant_object(F.transform(read, lambda x: _with_text(x, change))), fields[name])
+
+    changed = F.map_filter(
+        F.create_map(
+            F.lit("words"), items("words", clean_token),
+            F.lit("segments"), items("segments", clean_text),
+        ),
+        lambda _, value: value.isNotNull(),
+    )
+    rest = F.map_filter(fields, lambda name, _: ~name.isin("words", "segments"))
+    whole = _with_text(F.map_concat(rest, changed), lambda text: clean_text(text, marker_breaks=True))
+    return F.coalesce(F.to_variant_object(whole), raw)
+
+
+def clean_json(transcripts: DataFrame) -> DataFrame:
+    """``transcript_id, out_name, json`` of the cleaned copies, from ``raw`` documents.
+
+    Read with ``read_transcripts(..., keep_raw=True)``.
+    """
+    name = F.concat("stem", F.lit("_uz_clean.json")).alias("out_name")
+    return transcripts.select(KEY, name, F.to_json(clean_document(F.col("raw"))).alias("json"))
+
+
 def _words(transcripts: DataFrame, clean: bool, segments_as_words: bool = False) -> DataFrame:
     source = clean_transcripts(transcripts) if clean else transcripts
     return words_from_transcripts(source, segments_as_words)

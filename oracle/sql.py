@@ -575,6 +575,10 @@ SELECT transcript_id, sent_no, CASE WHEN speaker <> '' THEN '[' || speaker || ']
 
     found["cue_tokens"] = with_(WORDS, PUNCTUATED, select="""
 SELECT transcript_id, idx, text, "start", "end", speaker FROM words_p WHERE type = 'word' AND text <> ''""")
+    short = cues_cte("basic").replace("84", "60").replace("5.5", "3.0")
+    found["cues_basic_short"] = with_(WORDS, short, select=CUE_COLUMNS, recursive=True)
+    wide = cues_cte("social").replace("0.75", "1.25")
+    found["cues_social_wide"] = with_(WORDS, wide, select=CUE_COLUMNS, recursive=True)
     for profile in ("standard", "social", "basic"):
         found[f"cue_runs_{profile}"] = with_(
             WORDS, PAUSES, runs_cte(profile), select="SELECT transcript_id, idx, breaks, run FROM runs")
@@ -629,6 +633,9 @@ SELECT doc_id, {pick(('latin', 'cyrillic', 'source'), 'doc_id')} AS mode,
        CASE doc_id % 3 WHEN 0 THEN {latin('text')} WHEN 1 THEN {cyrillic('text')} ELSE text END AS text FROM seeded""")
     found["clean_text"] = with_(SEEDED, select=f"SELECT doc_id, {clean('text')} AS text FROM seeded")
     found["clean_text_breaks"] = with_(SEEDED, select=f"SELECT doc_id, {clean('text', True)} AS text FROM seeded")
+    found["clean_json"] = with_(SEEDED, select=f"""
+SELECT doc_id, {clean('text', True)} AS text, lang, n_chars, 'men' AS word, CAST(0.5 AS DOUBLE) AS start, CAST(-0.25 AS DOUBLE) AS logprob
+FROM seeded JOIN (SELECT doc_id, lang, n_chars FROM documents) USING (doc_id)""")
     found["clean_tokens"] = with_(
         SEEDED, words_cte("seeded", "doc_id", "0", "'s'"),
         select=f"SELECT transcript_id, idx, {token('text')} AS text FROM words")

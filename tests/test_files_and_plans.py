@@ -153,11 +153,15 @@ def test_standard_subtitles(spark, corpus):
 
 def test_clean_flow(spark, corpus):
     df = read_transcripts(spark, str(corpus))
-    cleaned = {r.out_name: json.loads(r.json) for r in transform.clean_json(df).collect()}
+    whole = read_transcripts(spark, str(corpus), keep_raw=True)
+    cleaned = {r.out_name: json.loads(r.json) for r in transform.clean_json(whole).collect()}
     payload = cleaned[NAMES[0][:-5] + "_uz_clean.json"]
     assert payload["text"].startswith("Men menga yozdim") and "Xudo haqida" in payload["text"]
     assert [w["text"] for w in payload["words"]][:2] == ["men", "menga"]
-    assert payload["words"][0]["start"] == "0.0"
+    assert payload["words"][0]["start"] == 0.0 and payload["words"][5]["start"] == "2.45"
+    assert payload["language"] == "uzb" and payload["additional_formats"] == SPOKEN["additional_formats"]
+    for before, after in zip(SPOKEN["words"], payload["words"], strict=True):
+        assert {k: v for k, v in before.items() if k != "text"} == {k: v for k, v in after.items() if k != "text"}
     found = transform.sentences(df, clean=True)
     texts = {r.transcript_id.rsplit("/", 1)[-1]: r.txt for r in transform.sentence_files(found).collect()}
     assert texts == {NAMES[0]: "Men menga yozdim\nKeyin Xudo haqida kitob oldim\n", NAMES[1]: "Bir ikki.\nUch\n"}
