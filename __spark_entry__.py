@@ -27,6 +27,7 @@ from cueweave.plans import incremental, transform  # noqa: E402
 from cueweave.schemas import BASIC, SOCIAL, STANDARD  # noqa: E402
 from cueweave.sources.derived import transcripts_from_documents  # noqa: E402
 from cueweave.sources.files import choose_names, file_name, media_catalog, spread  # noqa: E402
+from cueweave.sources.transcripts import parsed, quarantine  # noqa: E402
 from cueweave.sources.tables import has_oversize, with_punctuation_tokens, words_from_turns  # noqa: E402
 from oracle import sql  # noqa: E402
 
@@ -316,6 +317,26 @@ def q_clean_json(spark, d):
     )
 
 
+def q_untimed_words(spark, d):
+    """Words whose start cannot be read; some starts are spoilt for that."""
+
+    def spoilt(word, at):
+        return word.withField("start", F.when(at % 97 == 5, "soon").otherwise(word["start"]))
+
+    given = _transcripts(spark, d).withColumn("words", F.transform("words", spoilt))
+    return word_ops.untimed_words(word_ops.words_from_transcripts(given))
+
+
+def q_quarantine(spark, d):
+    """Documents as transcript files, every 50th cut short."""
+    body = F.to_json(F.struct("text", "lang"))
+    cut = F.when(F.col("doc_id") % 50 == 0, F.expr("left(body, length(body) - 1)")).otherwise(F.col("body"))
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".json"))
+    place = F.struct(F.concat(F.lit("/c/"), name).alias("file_path"), name.alias("file_name"))
+    files = _documents(spark, d).select("doc_id", body.alias("body")).select(place.alias("_metadata"), cut.alias("value"))
+    return quarantine(parsed(files)).select("transcript_id", "stem", "reason", F.length("content").alias("n_chars"))
+
+
 def q_cyrillic_names(spark, d):
     pages = _table(spark, d, "pages")
     ending = F.element_at(F.array(*[F.lit(e) for e in sql.NAME_ENDINGS]), (F.col("page_id") % len(sql.NAME_ENDINGS)).cast("int") + 1)

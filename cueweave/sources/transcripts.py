@@ -78,10 +78,12 @@ def land_words(words: DataFrame, table: str, buckets: int) -> None:
     """Store words bucketed and sorted by recording.
 
     Cue and sentence jobs over the stored table need no exchange of words at all, and
-    the JSON text is parsed once.
+    the JSON text is parsed once.  Words are dealt by bucket first, so that a bucket is
+    one file.
     """
     (
-        words.write.mode("overwrite")
+        words.repartition(buckets, KEY)
+        .write.mode("overwrite")
         .bucketBy(buckets, KEY)
         .sortBy(KEY, "idx")
         .format("parquet")

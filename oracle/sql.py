@@ -633,6 +633,12 @@ SELECT doc_id, {pick(('latin', 'cyrillic', 'source'), 'doc_id')} AS mode,
        CASE doc_id % 3 WHEN 0 THEN {latin('text')} WHEN 1 THEN {cyrillic('text')} ELSE text END AS text FROM seeded""")
     found["clean_text"] = with_(SEEDED, select=f"SELECT doc_id, {clean('text')} AS text FROM seeded")
     found["clean_text_breaks"] = with_(SEEDED, select=f"SELECT doc_id, {clean('text', True)} AS text FROM seeded")
+    found["untimed_words"] = with_(TRANSCRIPTS, select="""
+SELECT transcript_id, idx, text, 'unreadable start' AS reason FROM t_words WHERE type = 'word' AND idx % 97 = 5""")
+    found["quarantine"] = """
+SELECT '/c/' || doc_id || '.json' AS transcript_id, CAST(doc_id AS VARCHAR) AS stem, 'malformed JSON' AS reason,
+       CAST(length(CAST(to_json({'text': text, 'lang': lang}) AS VARCHAR)) - 1 AS INTEGER) AS n_chars
+FROM documents WHERE doc_id % 50 = 0"""
     found["clean_json"] = with_(SEEDED, select=f"""
 SELECT doc_id, {clean('text', True)} AS text, lang, n_chars, 'men' AS word, CAST(0.5 AS DOUBLE) AS start, CAST(-0.25 AS DOUBLE) AS logprob
 FROM seeded JOIN (SELECT doc_id, lang, n_chars FROM documents) USING (doc_id)""")
