@@ -317,6 +317,10 @@ def q_clean_json(spark, d):
     )
 
 
+def q_output_names(spark, d):
+    return transform.output_names(_transcripts(spark, d))
+
+
 def q_untimed_words(spark, d):
     """Words whose start cannot be read; some starts are spoilt for that."""
 

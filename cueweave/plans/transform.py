@@ -53,6 +53,29 @@ def clean_transcripts(transcripts: DataFrame, clean_words: bool = True) -> DataF
     return out
 
 
+#: Endings of the files of each output. Fixed values.
+OUTPUT_ENDINGS = {
+    "standard": ".srt",
+    "numbered": ".sentence.srt",
+    "social_cyrillic": "_social_cyrillic.srt",
+    "social_latin": "_social_latin.srt",
+    "social_raw": "_social_raw.srt",
+    "sentences": ".txt",
+    "clean_json": "_uz_clean.json",
+}
+
+
+def output_name(stem: Column, output: str) -> Column:
+    """The file name of an output of a transcript."""
+    return F.concat(stem, F.lit(OUTPUT_ENDINGS[output]))
+
+
+def output_names(transcripts: DataFrame) -> DataFrame:
+    """``transcript_id, output, out_name`` for every output a transcript can have."""
+    rows = [F.struct(F.lit(o).alias("output"), output_name(F.col("stem"), o).alias("out_name")) for o in OUTPUT_ENDINGS]
+    return transcripts.select(KEY, F.inline(F.array(*rows)))
+
+
 def _with_text(fields: Column, change: Callable[[Column], Column]) -> Column:
     """An object (map of variants) with its text changed, if that is a string."""
     text = F.try_variant_get(fields["text"], "$", "string")
@@ -90,7 +113,7 @@ def clean_json(transcripts: DataFrame) -> DataFrame:
 
     Read with ``read_transcripts(..., keep_raw=True)``.
     """
-    name = F.concat("stem", F.lit("_uz_clean.json")).alias("out_name")
+    name = output_name(F.col("stem"), "clean_json").alias("out_name")
     return transcripts.select(KEY, name, F.to_json(clean_document(F.col("raw"))).alias("json"))
 
 

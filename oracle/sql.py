@@ -633,6 +633,11 @@ SELECT doc_id, {pick(('latin', 'cyrillic', 'source'), 'doc_id')} AS mode,
        CASE doc_id % 3 WHEN 0 THEN {latin('text')} WHEN 1 THEN {cyrillic('text')} ELSE text END AS text FROM seeded""")
     found["clean_text"] = with_(SEEDED, select=f"SELECT doc_id, {clean('text')} AS text FROM seeded")
     found["clean_text_breaks"] = with_(SEEDED, select=f"SELECT doc_id, {clean('text', True)} AS text FROM seeded")
+    found["output_names"] = """
+SELECT 'doc-' || doc_id AS transcript_id, output, source || ' ' || printf('%09d', doc_id) || ending AS out_name
+FROM documents, (VALUES ('standard', '.srt'), ('numbered', '.sentence.srt'), ('social_cyrillic', '_social_cyrillic.srt'),
+  ('social_latin', '_social_latin.srt'), ('social_raw', '_social_raw.srt'), ('sentences', '.txt'),
+  ('clean_json', '_uz_clean.json')) AS e(output, ending)"""
     found["untimed_words"] = with_(TRANSCRIPTS, select="""
 SELECT transcript_id, idx, text, 'unreadable start' AS reason FROM t_words WHERE type = 'word' AND idx % 97 = 5""")
     found["quarantine"] = """
