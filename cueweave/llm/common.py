@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -41,9 +43,11 @@ def release_shuffles(spark: SparkSession) -> None:
     """Ask for the removal of shuffle files that no frame refers to any more.
 
     Spark removes them once the driver's heap is collected, which may be long after
-    the results have been stored.
+    the results have been stored; the removal itself runs in the background.
     """
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(1)
 
 
 def word_count(text: Column) -> Column:
@@ -98,14 +102,12 @@ def components(edges: DataFrame) -> DataFrame:
     stored.  Only nodes that have a link to another node appear.  Nulls link nothing.
     """
     links = stored(edges.select("a", "b").filter("a <> b").distinct())
-    spark = links.sparkSession
     if links.isEmpty():
         return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     before = None
     while True:
         links = stored(_small_star(_large_star(links)))
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        release_shuffles(spark)
         if now == before:
             return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
                 links.select("b", "b").distinct()

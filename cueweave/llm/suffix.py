@@ -39,11 +39,12 @@ from cueweave.llm.common import release_shuffles, stored
 
 LENGTH = 50
 GRAM = 16
-RUN = 32  # stretches in a context, at most: one bit each
+RUN = 40  # stretches in a context, at most: one bit each; an anchor that occurs once has fewer
 ANCHOR_ROWS = 20_000
 PIECE = 1 << 20  # bytes handled at a time
 _BYTES = np.random.default_rng(9).integers(0, 2**64, 256, dtype=np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+ANCHOR_SHIFT = np.uint64(16)
 
 
 def _pairs(x: np.ndarray, step: int) -> np.ndarray:
@@ -55,16 +56,21 @@ def _pairs(x: np.ndarray, step: int) -> np.ndarray:
     return z
 
 
+def _grams(data: np.ndarray) -> np.ndarray:
+    """A hash of the ``GRAM`` bytes from each position on."""
+    x, step = _BYTES[data], 1
+    while step < GRAM:
+        x, step = _pairs(x, step), 2 * step
+    return x
+
+
 def runs(data: np.ndarray, ends: np.ndarray, length: int = LENGTH):
     """(anchor, context, start, stretches) of the runs in ``data``, texts that end at ``ends``."""
     n = len(data) - length + 1
     none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if n < 1:
         return none
-    x = _BYTES[data]
-    step = 1
-    while step < GRAM:
-        x, step = _pairs(x, step), 2 * step
+    x = _grams(data)
     half = _pairs(x, GRAM)  # 32 bytes
     least, reach, grams = x, 1, length - GRAM + 1
     while 2 * reach <= grams:
@@ -91,7 +97,8 @@ def runs(data: np.ndarray, ends: np.ndarray, length: int = LENGTH):
     context = (half[start] * _MIX + half[start + (size - 2 * GRAM) // 2]) * _MIX
     context ^= context >> np.uint64(29)
     context = (context + half[start + size - 2 * GRAM] + size.astype(np.uint64)) * _MIX
-    return anchor, context ^ (context >> np.uint64(32)), start, count
+    # 48 and 40 bits tell equal runs apart from others, and leave zeros that compress well.
+    return anchor >> ANCHOR_SHIFT, context >> np.uint64(24), start, count
 
 
 def _tie(text: Column) -> Column:
@@ -100,7 +107,7 @@ def _tie(text: Column) -> Column:
 
 
 def _occurrences(docs: DataFrame, length: int) -> DataFrame:
-    """anchor, context, doc, tie, start, n of every run of every document."""
+    """anchor, context, doc, tie, place (64 * start + stretches) of every run of every document."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,8 +122,8 @@ def _occurrences(docs: DataFrame, length: int) -> DataFrame:
                 which = np.searchsorted(ends, at, side="right")
                 row = np.array([r for r, *_ in group])[which]
                 start = at - (ends - sizes)[which] + np.array([o for _, o, _ in group])[which]
-                columns = [anchor.view(np.int64), context.view(np.int64), ids[row], ties[row], start, n.astype(np.int32)]
-                return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "context", "doc", "tie", "start", "n"])
+                columns = [anchor.view(np.int64), context.view(np.int64), ids[row], ties[row], 64 * start + n]
+                return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "context", "doc", "tie", "place"])
 
             for row, text in enumerate(batch["text"]):
                 data = np.frombuffer(text.as_py().encode("utf-8", "surrogatepass"), dtype=np.uint8)
@@ -132,7 +139,7 @@ def _occurrences(docs: DataFrame, length: int) -> DataFrame:
 
     given = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
     given = given.select("doc_id", _tie(F.col("text")).alias("tie"), "text")
-    return given.mapInArrow(work, "anchor bigint, context bigint, doc bigint, tie int, start bigint, n int")
+    return given.mapInArrow(work, "anchor bigint, context bigint, doc bigint, tie int, place bigint")
 
 
 def shared_groups(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,26 +162,66 @@ def shared_groups(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray
         rank = np.unique(rank * (n + 1) + after + 1, return_inverse=True)[1].astype(np.int64)
         step *= 2
     order = np.argsort(rank, kind="stable")
-    place = np.empty(n + 1, np.int64)
-    place[order] = np.arange(n)
+    place = np.empty(n + 1, np.int32)  # a task's text is far shorter than 2**31
+    place[order] = np.arange(n, dtype=np.int32)
     place[n] = n  # the empty suffix, of a group of its own
     successor = place[order + 1]
     border = np.ones(n, dtype=bool)
     border[1:] = text[order[1:]] != text[order[:-1]]
     open_ = np.flatnonzero(~border)
+    below, above = successor[open_ - 1], successor[open_]
+    group = np.empty(n + 1, np.int32)
+    group[n] = n + 1
     for _ in range(1, length):
         if not len(open_):
             break
-        group = np.append(np.cumsum(border), n + 1)
-        parted = group[successor[open_]] != group[successor[open_ - 1]]
+        np.cumsum(border, out=group[:n])
+        parted = group[above] != group[below]
         border[open_[parted]] = True
-        open_ = open_[~parted]
+        open_, below, above = open_[~parted], below[~parted], above[~parted]
     return order, np.cumsum(border) - 1
 
 
+def may_share(contexts: list[bytes], anchors: np.ndarray, length: int) -> np.ndarray:
+    """Which contexts can share a stretch with another one of their anchor at all.
+
+    A stretch holds the anchor's gram, so it reaches l bytes to the left of it and r to the
+    right, l + r = length - GRAM.  Four ranges of l give four parts that any such stretch
+    covers (42 of 50 bytes); a context that shares none of its four parts with another one
+    is ruled out.  Where the gram occurs twice, nothing is ruled out.
+    """
+    sizes = np.array([len(c) for c in contexts])
+    grams = _grams(np.frombuffer(b"".join(contexts) + bytes(GRAM), dtype=np.uint8))
+    first = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(contexts)), sizes)
+    offset = np.arange(len(owner)) - first[owner]
+    inside = offset <= sizes[owner] - GRAM
+    own = anchors.view(np.uint64)
+    hit = np.flatnonzero(inside & (grams[: len(owner)] >> ANCHOR_SHIFT == own[owner]))
+    times = np.bincount(owner[hit], minlength=len(contexts))
+    place = np.zeros(len(contexts), np.int64)
+    place[owner[hit]] = hit
+    keep = times != 1
+    spare = length - GRAM  # bytes of a stretch beside the gram
+    border = [spare * i // 4 for i in range(5)]
+    for low, high in zip(border, border[1:], strict=False):
+        begin, end = place - low, place + GRAM + spare - high  # reaches at least this far
+        some = np.flatnonzero((times == 1) & (begin >= first) & (end <= first + sizes))
+        key = own[some] * _MIX
+        for step in range(0, spare - high + low + 1, GRAM):  # grams that cover the part
+            key = (key ^ grams[np.minimum(begin[some] + step, end[some] - GRAM)]) * _MIX
+            key ^= key >> np.uint64(29)
+        key = (key ^ grams[end[some] - GRAM]) * _MIX
+        _, back, count = np.unique(key, return_inverse=True, return_counts=True)
+        keep[some[count[back] > 1]] = True
+    return keep
+
+
 def earlier_stretches(contexts: list[bytes], docs: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
     """For each context the stretches (bits) that a context of a smaller document has too."""
     sizes = np.array([len(c) + 1 for c in contexts])
+    if not contexts:
+        return np.zeros(0, np.int64)
     text = np.frombuffer(b"\x00".join(contexts) + b"\x00", dtype=np.uint8)
     order, group = shared_groups(text, length)
     first = np.cumsum(sizes) - sizes
@@ -219,6 +266,7 @@ def _masks(texts: DataFrame, length: int) -> DataFrame:
         held: list[pd.DataFrame] = []
 
         def done(frame: pd.DataFrame) -> pa.RecordBatch:
+            frame = frame[may_share(frame["bytes"].to_list(), frame["anchor"].to_numpy(), length)]
             masks = earlier_stretches(frame["bytes"].to_list(), frame["doc"].to_numpy(), frame["n"].to_numpy(), length)
             some = masks != 0
             columns = [frame["anchor"].to_numpy()[some], frame["context"].to_numpy()[some], masks[some]]
@@ -276,6 +324,7 @@ def repeated_places(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     )
     later = F.col("least") < F.col("doc")
     key = {c: F.when(~later, F.col(c)) for c in ("anchor", "context", "rows")}
+    key |= {"start": F.floor(F.col("place") / 64), "n": (F.col("place") % 64).cast("int")}
     met = stored(met.withColumns(key).select("anchor", "context", "doc", "tie", "start", "n", "rows"))
     release_shuffles(spark)
     whole = met.filter("anchor is null").select("doc", "tie", "start", "n", F.lit(None).cast("bigint").alias("mask"))
