@@ -35,6 +35,7 @@ ORDER = 4
 SAMPLE = 800  # training rows a language, at most (in expectation)
 CHUNK = 1 << 17  # code points scored at a time
 CACHE_BITS = 20
+MARGIN = 3.0  # bits a character beyond the worst calibration texts of a language
 _A = np.uint64(0x9E3779B97F4A7C15)
 UNKNOWN = "und"
 
@@ -166,7 +167,7 @@ def _calibrate(model: Model, texts: pd.DataFrame) -> None:
     rows = np.arange(len(texts))
     own = entropy[rows, truth]
     model.limit = np.array(
-        [np.quantile(own[truth == i], 0.999) + 2.0 if (truth == i).any() else np.inf for i in range(len(model.languages))]
+        [np.quantile(own[truth == i], 0.999) + MARGIN if (truth == i).any() else np.inf for i in range(len(model.languages))]
     )
     losses = []
     grid = [1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0]
