@@ -22,7 +22,9 @@ SOFT_STOPS = (",", ";", ":")
 GLUED = SOFT_STOPS + STOPS
 GLUED_CLASS = r"[,.;:!?…]"
 STOP_CLASS = r"[.!?…]"
-APOSTROPHES = r"[\u02bb\u02bc\u2018\u2019\u00b4`']"
+# Signs written for an apostrophe.
+APOSTROPHES = r"[\u02bb\u02bc\u2018\u2019`\u00b4']"
+# Letters of a marker word, and the marker words of either rule.
 MARKER_TOKEN = r"[A-Za-z\u0400-\u04ff\u2018\u2019']+"
 TIMING_MARKERS = (
     "keyin",

@@ -386,6 +386,7 @@ def word_rules(*rules: tuple[str, str]) -> list[tuple[str, str]]:
     return out
 
 
+# Word rules.
 CLEAN_WORDS = word_rules(
     ("manga", "menga"), ("man", "men"), ("misofir", "musofir"), ("bir birimiz", "bir-birimiz"),
     ("bir biriga", "bir-biriga"), ("bir birini", "bir-birini"), ("bir bir", "bir-bir"),
@@ -394,6 +395,7 @@ CLEAN_WORDS = word_rules(
     ("novosibirsk" + TAIL, r"Novosibirsk\2"), (f"farg{APOS}ona{TAIL}", r"Farg‘ona\2"),
     (f"o{APOS}zbekiston{TAIL}", r"O‘zbekiston\2"), (f"qur{APOS}on", "Qur’on"), ("xudo" + TAIL, r"Xudo\2"),
 )
+# Fixed values.
 SENTENCE_MARKERS = "Keyin|Shunda|Lekin|Ammo|Biroq|Hozir|Umuman|Xullas|Mana|Demak"
 BREAKS = ((rf"([^.!?…\s])\s+({SENTENCE_MARKERS})($|{NW})", r"\1. \2\3"),) * 2 + ((r"\.\s*\.", "."),)
 
