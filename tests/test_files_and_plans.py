@@ -86,6 +86,26 @@ def test_path_selection(spark, corpus):
         read_transcripts(spark, f"{corpus}/(")
 
 
+def test_names_that_spark_skips_are_refused(spark, corpus):
+    (corpus / "_draft.json").write_text("{}", encoding="utf-8")
+    with pytest.raises(ValueError):
+        read_transcripts(spark, str(corpus))
+
+
+def test_output_names(spark, corpus):
+    names = transform.output_names(read_transcripts(spark, f"{corpus}/{NAMES[0]}")).collect()
+    stem = NAMES[0][:-5]
+    assert {r.output: r.out_name for r in names} == {
+        "standard": f"{stem}.srt",
+        "numbered": f"{stem}.sentence.srt",
+        "social_cyrillic": f"{stem}_social_cyrillic.srt",
+        "social_latin": f"{stem}_social_latin.srt",
+        "social_raw": f"{stem}_social_raw.srt",
+        "sentences": f"{stem}.txt",
+        "clean_json": f"{stem}_uz_clean.json",
+    }
+
+
 def test_unknown_fields_survive_in_raw(spark, corpus):
     df = read_transcripts(spark, str(corpus), keep_raw=True)
     language = df.select(F.try_variant_get("raw", "$.language", "string").alias("v")).collect()
