@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from cueweave.llm.common import slices
 
 ORDER = 4
-SAMPLE = 800  # training rows a language, at most (in expectation)
+SAMPLE = 500  # training rows a language, at most (in expectation)
 CHUNK = 1 << 17  # code points scored at a time
 CACHE_BITS = 20
 MARGIN = 3.0  # bits a character beyond the worst calibration texts of a language
@@ -105,11 +105,9 @@ def build(texts: pd.DataFrame) -> Model:
     texts = texts.sort_values(["lang", "text"], kind="stable")
     languages = sorted(texts["lang"].unique())
     held = np.arange(len(texts)) % 5 == 4
-    own = {
-        g: [code_points(t) for t in texts["text"][(texts["lang"] == g) & ~held]] for g in languages
-    }
+    own = {g: list(texts["text"][(texts["lang"] == g) & ~held]) for g in languages}
     tables = [_counts(own[g]) for g in languages]
-    alphabet = len(np.unique(np.concatenate([p for ps in own.values() for p in ps] or [np.zeros(0)]))) + 1
+    alphabet = len({c for texts_ in own.values() for t in texts_ for c in t.lower()}) + 1
     model = Model(languages, [], [], [], [], np.full(len(languages), 1.0 / alphabet))
     for order in range(1, ORDER + 1):
         grams, contexts = zip(*[t[order - 1] for t in tables], strict=True)
@@ -127,7 +125,13 @@ def build(texts: pd.DataFrame) -> Model:
     return model
 
 
-def _counts(texts: list[np.ndarray]) -> list[tuple[tuple, tuple]]:
+def _merged(keys: list, grams: list, counts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different n-grams of several parts, with their counts added up."""
+    unique, first, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    return unique, np.concatenate(grams)[first], np.bincount(back, np.concatenate(counts), len(unique))
+
+
+def _counts(texts: list[str]) -> list[tuple[tuple, tuple]]:
     """For each order: (keys, discounted p) of n-grams and (keys, back-off weight) of contexts.
 
     The highest order uses counts, the lower ones the number of different characters
@@ -135,11 +139,17 @@ def _counts(texts: list[np.ndarray]) -> list[tuple[tuple, tuple]]:
     """
     found = []
     for order in range(1, ORDER + 1):
-        parts = [np.column_stack([t[i : len(t) - order + 1 + i] for i in range(order)]) for t in texts if len(t) >= order]
-        grams = np.concatenate(parts) if parts else np.zeros((0, order), dtype=np.uint64)
-        key = _rows_hash(grams, order)
-        unique, first, n = np.unique(key, return_index=True, return_counts=True)
-        found.append((unique, grams[first], n.astype(float)))
+        keys, grams, counts = [np.zeros(0, np.uint64)], [np.zeros((0, order), np.uint32)], [np.zeros(0, np.int64)]
+        for text in map(code_points, texts):  # one by one: only different n-grams are held
+            if len(text) >= order:
+                rows = np.column_stack([text[i : len(text) - order + 1 + i] for i in range(order)])
+                key, first, n = np.unique(_rows_hash(rows, order), return_index=True, return_counts=True)
+                keys.append(key)
+                grams.append(rows[first].astype(np.uint32))
+                counts.append(n)
+            if sum(map(len, keys)) > 1 << 20:
+                keys, grams, counts = ([x] for x in _merged(keys, grams, counts))
+        found.append(_merged(keys, grams, counts))
     out = []
     for order in range(1, ORDER + 1):
         unique, grams, n = found[order - 1]
