@@ -43,11 +43,13 @@ def release_shuffles(spark: SparkSession) -> None:
     """Ask for the removal of shuffle files that no frame refers to any more.
 
     Spark removes them once the driver's heap is collected, which may be long after
-    the results have been stored; the removal itself runs in the background.
+    the results have been stored.  Python tells the JVM of frames it has dropped in the
+    background, and the removal runs in the background too, hence twice.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(1)
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def word_count(text: Column) -> Column:
