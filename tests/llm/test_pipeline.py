@@ -51,6 +51,31 @@ def test_one_of_each_group_stays(stages):
     assert sorted(map(str, after.collect())) == sorted(map(str, want))
 
 
+def test_groups_are_those_of_exact_similarity(spark):
+    words = [f"w{i}" for i in range(300)]
+    rows = [(5, " ".join(words)), (9, " ".join(words).upper()), (None, " ".join(words) + " end")]
+    for i, n in enumerate((1, 5, 6, 7, 12)):  # n changed words of 300: 296 - 5 n shingles of 296 + 5 n in common
+        rows.append((20 + i, " ".join(f"x{i}" if k % 20 == 10 and k < 20 * n else w for k, w in enumerate(words))))
+    rng = np.random.default_rng(4)
+    for i in range(120):  # a crowd of near copies, a line that many share, short texts
+        part = [f"c{k}" for k in range(80)]
+        part[int(rng.integers(0, 80))] = f"z{i}"
+        rows.append((1_000 + i, " ".join(part)))
+        rows.append((2_000 + i, " ".join([f"u{i}x{k}" for k in range(int(rng.integers(0, 12)))] + [f"line{k}" for k in range(9)])))
+        rows.append((3_000 + i, " ".join(rng.choice(["a", "b"], 7))))
+    rows += [(4_000, None), (4_001, " \t"), (4_002, "one two"), (4_003, "one TWO")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    rows.sort(key=lambda r: (r[0] is None, r[0]))
+    sets = []
+    for _, text in rows:
+        w = (text or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    near = np.array([[5 * len(a & b) >= 4 * len(a | b) for b in sets] for a in sets])
+    want = [rows[i] for i in sorted(set(least_reachable(near, list(range(len(rows))))))]
+    found = corpus_pipeline.near_duplicates(spark, df, FOLDER).collect()
+    assert sorted(map(str, (tuple(r) for r in found))) == sorted(map(str, want))
+
+
 def test_values_are_hidden(stages):
     before, after = stages["personal_data"]
     texts = {r.doc_id: r.text for r in before.collect()}
