@@ -38,16 +38,35 @@ from pyspark.sql import types as T
 from cueweave.llm.common import slices
 
 KINDS = ("email", "secret", "iban", "card", "ip", "date", "phone")
-#: One pass over the text; alternatives in the order of precedence.
-PATTERN = re.compile(
-    r"(?P<email>[A-Za-z0-9À-ÖØ-öø-ÿ._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24})"
-    r"|(?<![0-9A-Za-z])(?P<secret>[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"
-    r"|(?<![0-9A-Za-z])(?P<iban>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![0-9A-Za-z])"
-    r"|(?<![\w+])(?P<card>[0-9](?:[ -]?[0-9]){12,18})(?!\w)"
-    r"|(?<![\w.])(?P<ip>(?:[0-9]{1,3}\.){3}[0-9]{1,3})(?![\w]|\.[0-9])"
-    r"|(?<![\w.])(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?!\w)"
-    r"|(?<![\w+])(?P<phone>\+[0-9]{1,3}[ -]?(?:\([0-9]{2,4}\)[ -]?)?[0-9]{2,4}(?:[ -]?[0-9]{2,4}){1,3}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?!\w)"
-)
+#: What each kind looks like, in the order of precedence.
+FORMS = {
+    "email": r"(?P<email>[A-Za-z0-9À-ÖØ-öø-ÿ._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24})",
+    "assigned": r"(?<![A-Za-z])(?i:(?:api|access|auth|client|private|secret|signing)[_-]?)?(?i:key|secret|token|password|passwd|pwd)"
+    r"[\"']?[ \t]{0,4}[:=][ \t]{0,4}[\"']?(?P<assigned>(?=[A-Za-z_./+=~-]{0,127}[0-9])[0-9A-Za-z_./+=~-]{7,127}[0-9A-Za-z_/+=~-])",
+    "secret": r"(?<![0-9A-Za-z])(?P<secret>[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])",
+    "iban": r"(?<![0-9A-Za-z])(?P<iban>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![0-9A-Za-z])",
+    "card": r"(?<![\w+])(?P<card>[0-9](?:[ -]?[0-9]){12,18})(?!\w)",
+    "ip": r"(?<![\w.])(?P<ip>(?:[0-9]{1,3}\.){3}[0-9]{1,3})(?![\w]|\.[0-9])",
+    "date": r"(?<![\w.])(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?!\w)",
+    "phone": r"(?<![\w+])(?P<phone>\+[0-9]{1,3}[ -]?(?:\([0-9]{2,4}\)[ -]?)?[0-9]{2,4}(?:[ -]?[0-9]{2,4}){1,3}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?!\w)",
+}
+#: One pass over the text.
+PATTERN = re.compile("|".join(FORMS.values()))
+#: Each kind alone, for places where another one fails its check.
+ALONE = {kind: re.compile(form) for kind, form in FORMS.items()}
+#: IBAN lengths by country.
+LENGTHS = {
+    c: int(n)
+    for n, countries in (part.split(":") for part in (
+        "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,CR,HR,LI,LV "
+        "22:BG,BH,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST "
+        "26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,YE "
+        "31:MT,SC 32:LC 33:RU"
+    ).split())
+    for c in countries.split(",")
+}
+GROUP = re.compile(r"\W?\w+")
+HEX = re.compile(r"[0-9a-f]{32,128}|[0-9A-F]{32,128}")
 #: What any value holds at least; texts without it are not searched further.
 HINT = re.compile(r"[0-9@]|[a-f]{32}|[A-F]{32}")
 DAY_ONE, DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
@@ -107,6 +126,11 @@ class Pseudonyms:
         return self.symbols(body, "email", undo) + dot + last
 
     def _secret(self, text: str, undo: bool) -> str:
+        if not HEX.fullmatch(text):  # of a key assignment
+            fresh = self.symbols(text, "assigned", undo)
+            while HEX.fullmatch(fresh):
+                fresh = self.symbols(fresh, "assigned", undo)
+            return fresh
         digits = string.hexdigits[:16]
         value = self.number(int(text, 16), 16 ** len(text), f"secret{len(text)}", undo)
         found = "".join(digits[(value >> (4 * i)) & 15] for i in reversed(range(len(text))))
@@ -182,22 +206,72 @@ def _print_like(shape: str, digits: str) -> str:
     return "".join(next(left) if c.isdigit() else c for c in shape)
 
 
+def _parts(kind: str, text: str) -> list[tuple[int, int]]:
+    """Stretches of a failed find between word borders, whole words and usual groups of cards first, then longer ones."""
+    words = [m.span() for m in re.finditer(r"[0-9A-Z]+" if kind == "iban" else r"[0-9]+", text)]
+    ways = []
+    for i, (a, _) in enumerate(words if kind != "phone" else [(0, 0)]):
+        for j in range(i, len(words)):
+            z = words[j][1]
+            part = text[a:z]
+            plain = re.sub(r"[^0-9A-Z]", "", part)
+            if kind == "iban":
+                good = len(plain) == LENGTHS.get(plain[:2]) and plain[2:4].isdigit()
+            elif kind == "card":
+                good = 13 <= len(plain) <= 19
+            else:
+                good = bool(ALONE[kind].fullmatch(part))
+            if good and z - a < len(text):
+                usual = i == j or [z - a for a, z in words[i : j + 1]] in ([4] * 4, [4, 6, 5], [4, 6, 4])
+                ways.append((not usual, a - z, a, z))
+    return [(a, z) for *_, a, z in sorted(ways)]
+
+
 def pseudonymise(text: str, names: Pseudonyms) -> tuple[str, list[str]]:
     """The text with pseudonyms, and the kind of each value replaced."""
     kinds: list[str] = []
     if not HINT.search(text):
         return text, kinds
     cached = lru_cache(maxsize=None)(names.replace)
-
-    def swap(match: re.Match) -> str:
-        kind, value = match.lastgroup, match.group()
-        fresh = cached(kind, value)
-        if fresh is None:
-            return value
-        kinds.append(kind)
-        return fresh
-
-    return PATTERN.sub(swap, text), kinds
+    out: list[str] = []
+
+    def found(match: re.Match) -> tuple[int, int, str, str] | None:
+        """Where a value is, its kind, and its pseudonym."""
+        kind, (a, z) = match.lastgroup, match.span(match.lastgroup)
+        said = "secret" if kind == "assigned" else kind
+        if (fresh := cached(said, text[a:z])) is not None:
+            return a, z, said, fresh
+        later = list(FORMS)[list(FORMS).index(kind) + 1 :]
+        for other in later:  # whole finds of other kinds that begin here
+            if (m := ALONE[other].match(text, a, match.endpos)) and (fresh := cached(other, m.group(other))) is not None:
+                return m.start(), m.end(), other, fresh
+        if kind in ("card", "iban", "phone"):
+            for low, high in _parts(kind, text[a:z]):
+                if (fresh := cached(kind, text[a + low : a + high])) is not None:
+                    return a + low, a + high, kind, fresh
+        return None
+
+    def scan(at: int, end: int) -> None:
+        """Append text[at:end] with pseudonyms."""
+        start = at
+        while match := PATTERN.search(text, start, end):
+            value = found(match)
+            if value is None:
+                start = GROUP.match(text, match.start(), end).end()
+                continue
+            a, z, kind, fresh = value
+            if a > match.start() and a > match.start(match.lastgroup):  # something may stand before it
+                out.append(text[at : match.start()])
+                scan(match.start(), a)
+            else:
+                out.append(text[at:a])
+            out.append(fresh)
+            kinds.append(kind)
+            at = start = z
+        out.append(text[at:end])
+
+    scan(0, len(text))
+    return "".join(out), kinds
 
 
 def hide(docs: DataFrame, key: str = "cueweave") -> DataFrame:

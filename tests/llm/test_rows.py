@@ -232,6 +232,36 @@ def test_invalid_values_stay(value):
     assert pii.pseudonymise(text, pii.Pseudonyms(b"k" * 32)) == (text, [])
 
 
+CARD, IBAN = "4845168114407329", "BE68539007547034"
+
+
+@pytest.mark.parametrize(
+    "text,values",
+    [
+        (f"{CARD} 123", {"card": CARD}),
+        (f"{CARD} 12/26", {"card": CARD}),
+        (f"no 7 {CARD}", {"card": CARD}),
+        (f"{CARD} 555-123-4567", {"card": CARD, "phone": "555-123-4567"}),
+        ("1 2 3 4 4845 1681 1440 7329 end", {"card": "4845 1681 1440 7329"}),
+        (f"{IBAN} EUR", {"iban": IBAN}),
+        ("BE68 5390 0754 7034 IBAN", {"iban": "BE68 5390 0754 7034"}),
+        (f"AB12 CDEF {IBAN} NOW", {"iban": IBAN}),
+        ("2020-01-01 12344", {"date": "2020-01-01"}),
+        (f"+1 {CARD}", {"card": CARD}),
+        ("api_key = 'a8Xq-77tTz01'", {"secret": "a8Xq-77tTz01"}),
+        ("password: " + "0f" * 20, {"secret": "0f" * 20}),
+    ],
+)
+def test_values_beside_other_words(text, values):
+    names = pii.Pseudonyms(b"k" * 32)
+    want = text
+    for kind, value in values.items():
+        want = want.replace(value, names.replace(kind, value))
+        assert names.replace(kind, names.replace(kind, value), undo=True) == value
+    assert pii.pseudonymise(f"x {text}, y", names) == (f"x {want}, y", list(values))
+    assert pii.pseudonymise(text, names)[0] == want
+
+
 def test_permutations_are_bijections():
     names = pii.Pseudonyms(b"k" * 32)
     for n in (1, 2, 10, 97, 1000):
