@@ -188,7 +188,7 @@ def may_share(contexts: list[bytes], anchors: np.ndarray, length: int) -> np.nda
     A stretch holds the anchor's gram, so it reaches l bytes to the left of it and r to the
     right, l + r = length - GRAM.  Four ranges of l give four parts that any such stretch
     covers (42 of 50 bytes); a context that shares none of its four parts with another one
-    is ruled out.  Where the gram occurs twice, nothing is ruled out.
+    is ruled out.  Where the gram occurs twice in one of an anchor's contexts, none of them is.
     """
     sizes = np.array([len(c) for c in contexts])
     grams = _grams(np.frombuffer(b"".join(contexts) + bytes(GRAM), dtype=np.uint8))
@@ -201,7 +201,7 @@ def may_share(contexts: list[bytes], anchors: np.ndarray, length: int) -> np.nda
     times = np.bincount(owner[hit], minlength=len(contexts))
     place = np.zeros(len(contexts), np.int64)
     place[owner[hit]] = hit
-    keep = times != 1
+    keep = np.isin(own, own[times != 1])
     spare = length - GRAM  # bytes of a stretch beside the gram
     border = [spare * i // 4 for i in range(5)]
     for low, high in zip(border, border[1:], strict=False):

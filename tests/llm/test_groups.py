@@ -212,6 +212,18 @@ def test_stretches_of_documents(spark):
     assert sorted((tuple(r) for r in found), key=str) == slow_removal([tuple(r) for r in docs.collect()])
 
 
+def test_partner_that_holds_the_gram_twice(spark):
+    rng = random.Random(21)
+    rows = []
+    for i in range(0, 400, 2):  # passages ending in a phrase; the later document repeats the phrase
+        word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+        phrase = word(rng.randrange(17, 30))
+        passage = word(rng.choice([51, 65]) - len(phrase)) + phrase
+        rows += [(i, word(60) + passage + word(60)), (i + 1, word(60) + passage + phrase + word(60))]
+    found = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).drop("kept").collect()
+    assert sorted((tuple(r) for r in found), key=str) == slow_removal(rows)
+
+
 def test_groups_by_interval_expansion():
     rng = np.random.default_rng(2)
     text = rng.integers(97, 99, 400).astype(np.uint8)
