@@ -11,7 +11,7 @@ explicit allow anywhere in it wins over a block, a block over nothing; without e
 url is allowed.  A url's own rule always decides for itself.
 
 Only DataFrame expressions run; rules are a short list of literals (``MAX_RULES``), so judging
-needs no join, and only urls that have an alias are shuffled.
+needs no join.
 
 Defined cases: a null url, or one without "://", has an empty host and path, no rule, and
 is allowed; rules of equal length: allow wins; repeated urls are one node; repeated pages
@@ -110,10 +110,11 @@ def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = Non
 
     # What is known of a component: rules of its pages and of places no page was crawled for.
     targets = links.select(F.explode(F.array("src", "dst")).alias("url"))
+    ends = targets.select(address(F.col("url")).alias("place")).filter("place is not null").distinct()
     seen = targets.select(
         address(F.col("url")).alias("place"),
         fitting_rule(host_of(F.col("url")), path_of(F.col("url")), rules)["action"].alias("action"),
-    ).union(judged.join(alike, "place", "left_semi").select("place", "own.action"))
+    ).union(judged.join(alike.union(ends), "place", "left_semi").select("place", "own.action"))
     seen = seen.filter("action is not null").distinct()
     part = F.coalesce("component", "place")
     known = (

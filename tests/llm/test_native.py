@@ -68,6 +68,18 @@ def test_verdicts_spread_over_aliases(spark):
     assert {r.inherited for r in found if r.page_id in (3, 4, 5)} == {"allow"}
 
 
+def test_a_page_of_a_linked_place_lends_its_rule(spark):
+    rows = [
+        (1, "http://example.com/de/", None, 0),  # its link is written without the slash, and fits no rule
+        (2, "http://a.com/1", canonical("http://example.com/de"), 0),
+        (3, "http://x.org/fr/", None, 0),
+        (4, "http://b.com/1", canonical("http://x.org/fr"), 0),
+        (5, "http://b.com/1", canonical("http://evil.net/"), 0),
+    ]
+    found = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(rows, PAGES), RULES).collect()}
+    assert found == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
+
+
 def test_long_chains_and_empty_tables(spark):
     n = 40
     rows = [(i, f"http://s.com/{i}", canonical(f"http://s.com/{i + 1}"), 0) for i in range(n)]
