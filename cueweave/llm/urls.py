@@ -74,18 +74,52 @@ def address(url: Column) -> Column:
     return F.when(url.contains("://"), plain)
 
 
+def resolved(base: Column, target: Column) -> Column:
+    """The address that ``target``, as written in an attribute, has on the page ``base``; null if none."""
+    target = F.regexp_replace(target, r"(?i)&(?:amp|#38|#x26);", "&")
+    scheme = F.regexp_extract(base, r"(?s)^\s*([A-Za-z][A-Za-z0-9+.-]*)://", 1)
+    site = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    folder = F.regexp_extract(path_of(base), r"(?s)^(.*/)", 1)
+    path = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    rest = F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path))
+    parts = F.split(F.substring(whole, 2, 2**31 - 1), "/", -1)
+    empty = F.array().cast("array<string>")
+    kept = F.aggregate(
+        parts,
+        empty,
+        lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
+        .when(x == ".", done)
+        .otherwise(F.concat(done, F.array(x))),
+    )
+    folder_end = F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0)
+    clean = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(folder_end, "/").otherwise(""))
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.when(target.contains("://"), target))
+        .when(~base.contains("://") | (target == ""), F.lit(None))
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .when(target.startswith("?"), F.concat(F.regexp_extract(base, r"(?s)^([^?#]*)", 1), target))
+        .when(target.startswith("#"), F.concat(F.regexp_extract(base, r"(?s)^([^#]*)", 1), target))
+        .otherwise(F.concat(site, clean, rest))
+    )
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """(src, dst): canonical links and immediate refreshes to absolute addresses in ``html``."""
+    """(src, dst): canonical links and immediate refreshes in ``html``; targets are read on the page's url or <base>."""
     tags = r"(?is)<(?:link|meta)\b[^>]*>"
-    found = pages.filter(F.col("html").rlike(r"(?i)canonical|http-equiv\s*=\s*.?refresh")).select(
-        F.col("url").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(tags), F.lit(0))).alias("tag")
+    own = F.regexp_extract("html", r"(?is)<base\b[^>]*\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)
+    found = (
+        pages.filter(F.col("html").rlike(r"(?i)canonical|http-equiv\s*=\s*.?refresh"))
+        .withColumn("base", F.coalesce(resolved(F.col("url"), own), F.col("url")))
+        .select(F.col("url").alias("src"), "base", F.explode(F.regexp_extract_all("html", F.lit(tags), F.lit(0))).alias("tag"))
     )
     href = F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)
     target = F.regexp_extract("tag", r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)
     dst = F.when(F.col("tag").rlike(r"(?is)\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b"), href).when(
         F.col("tag").rlike(r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh"), target
     )
-    return found.select("src", dst.alias("dst")).filter("src is not null and dst like '%://%'")
+    named = found.select("src", "base", dst.alias("dst")).filter("src is not null and dst <> ''")
+    return named.select("src", resolved(F.col("base"), F.col("dst")).alias("dst")).filter("dst is not null")
 
 
 def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = None) -> DataFrame:

@@ -80,6 +80,26 @@ def test_a_page_of_a_linked_place_lends_its_rule(spark):
     assert found == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
 
 
+TARGETS = [
+    ("http://a.com/x/y?q#f", "/de/x", "http://a.com/de/x"), ("http://a.com/x/y?q#f", "z?a=1&amp;b=2", "http://a.com/x/z?a=1&b=2"),
+    ("http://a.com/x/y/", "../new", "http://a.com/x/new"), ("http://a.com", "../../n/./m/..", "http://a.com/n/"),
+    ("https://a.com/x", "//evil.net/b", "https://evil.net/b"), ("http://a.com/x?q", "?r", "http://a.com/x?r"),
+    ("http://a.com/x", "http://b.com/../c", "http://b.com/../c"), ("http://a.com/x", "mailto:me@b.com", None), ("a.com/x", "/y", None),
+]
+
+
+def test_targets_are_read_on_their_page(spark):
+    rows = [(i, src, canonical(dst), 0) for i, (src, dst, _) in enumerate(TARGETS)]
+    rows += [(90, "http://c.com/1", '<meta http-equiv="refresh" content="0; url=../new">', 0)]
+    rows += [(91, "http://d.com/1", '<base href="//e.net/k/">' + canonical("2"), 0)]
+    found = urls.page_links(spark.createDataFrame(rows, PAGES)).collect()
+    want = [(src, dst) for src, _, dst in TARGETS if dst] + [("http://c.com/1", "http://c.com/new"), ("http://d.com/1", "http://e.net/k/2")]
+    assert sorted(map(tuple, found)) == sorted(want)
+    rows = [(1, "http://a.com/1", canonical("//evil.net/b"), 0), (2, "http://b.example.com/1", canonical("/de/x"), 0)]
+    found = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(rows, PAGES), RULES).collect()}
+    assert found == {1: "block", 2: "block"}
+
+
 def test_long_chains_and_empty_tables(spark):
     n = 40
     rows = [(i, f"http://s.com/{i}", canonical(f"http://s.com/{i + 1}"), 0) for i in range(n)]
