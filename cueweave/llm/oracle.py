@@ -142,6 +142,65 @@ SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT)
 FROM docs LEFT JOIN kept USING (doc_id)
 """
 
+# -- sharding -----------------------------------------------------------------------
+
+POLYNOMIAL = 0xEDB88320  # fixed value: CRC-32, lowest bit first
+
+
+def _after_zeros(state: int, n_bytes: int) -> int:
+    """A CRC-32 register once ``n_bytes`` zero bytes have passed."""
+    for _ in range(8 * n_bytes):
+        state = state >> 1 ^ (POLYNOMIAL if state & 1 else 0)
+    return state
+
+
+def _linear(value: str, images: list[int], start: str) -> str:
+    """XOR of ``start`` and the images of the bits that are set in ``value``."""
+    for i, image in enumerate(images):
+        start = f"xor({start}, ({value} >> {i} & 1) * {image})"
+    return start
+
+
+def _crc32(blobs: str, piece: int = 64) -> str:
+    """CTEs ending in ``crcs`` (id, crc): the CRC-32 of ``h``, texts in hex, of the CTE ``blobs`` (id, h).
+
+    Texts are cut in pieces from the end, and the registers of the pieces are put together.
+    """
+    byte = _linear("xor(c, x)", [_after_zeros(1 << i, 1) for i in range(8)], "c >> 8")
+    joined = _linear("c", [_after_zeros(1 << i, piece) for i in range(32)], "x")
+    return f"""
+pieces AS (
+  SELECT id, p, CASE WHEN p = 0 THEN 4294967295 ELSE 0 END AS c0,
+         substr(h, greatest(length(h) - 2 * {piece} * (n - p), 0) + 1,
+                length(h) - 2 * {piece} * (n - p - 1) - greatest(length(h) - 2 * {piece} * (n - p), 0)) AS q
+  FROM (SELECT id, h, n, unnest(range(n)) AS p
+        FROM (SELECT id, h, greatest((length(h) + 2 * {piece} - 1) // (2 * {piece}), 1) AS n FROM {blobs}))),
+registers AS (
+  SELECT id, p, list_reduce([('0x' || q[2*i+1:2*i+2])::BIGINT FOR i IN range(length(q) // 2)],
+                            lambda c, x: {byte}, c0::BIGINT) AS r FROM pieces),
+crcs AS (
+  SELECT id, xor(list_reduce(list(r ORDER BY p), lambda c, x: {joined}), 4294967295) AS crc FROM registers GROUP BY id)"""
+
+
+def _shards(shards: int = 24) -> str:
+    return f"""
+WITH RECURSIVE given AS (
+  SELECT row_number() OVER () AS id, doc_id, hex(encode(coalesce(text, ''))) AS h,
+         ('0x' || md5(coalesce(CAST(doc_id AS VARCHAR), ''))[:16])::UBIGINT AS key FROM documents),
+jump(id, k, b, j) AS (
+  SELECT id, key::UHUGEINT, -1::BIGINT, 0::BIGINT FROM given
+  UNION ALL
+  SELECT id, k2, j, floor((j + 1) * (2147483648.0::DOUBLE / CAST((k2 >> 33) + 1 AS DOUBLE)))::BIGINT
+  FROM (SELECT id, j, (k * 2862933555777941757::UHUGEINT + 1) % 18446744073709551616::UHUGEINT AS k2
+        FROM jump WHERE j < {shards + 1})),
+told AS (
+  SELECT id, max(b) FILTER (WHERE b < {shards})::INT AS shard, max(b) FILTER (WHERE b <= {shards})::INT AS grown_shard
+  FROM jump GROUP BY id),{_crc32("given")}
+SELECT doc_id, length(h) // 2 + 8 AS size, crc AS text_crc32, 'key' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, length(h), crc) - 1 AS slot, grown_shard
+FROM given JOIN told USING (id) JOIN crcs USING (id)
+"""
+
 
 def statements() -> dict[str, str]:
     """SQL by query name."""
@@ -150,4 +209,5 @@ def statements() -> dict[str, str]:
         "op4_tool_calls": CALLS,
         "op7_grid_order_join": VECTORS,
         "op9_interval_expansion": STRETCHES,
+        "op11_jump_hash": _shards(),
     }

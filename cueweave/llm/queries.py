@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cueweave.llm import egojoin, langid, mixing, oracle, packing, pii, simhash, sketch, suffix, toolcalls, urls
+from cueweave.llm import egojoin, langid, mixing, oracle, packing, pii, sharding, simhash, sketch, suffix, toolcalls, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -66,6 +66,11 @@ def op10_langid(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predict(_table(spark, folder, "documents"))
 
 
+def op11_jump_hash(spark: SparkSession, folder: str) -> DataFrame:
+    """Shard and slot of every document among 24 shards, and its shard among 25."""
+    return sharding.place(_table(spark, folder, "documents"), 24)
+
+
 def queries() -> dict:
     """Every query by name."""
     return {n: f for n, f in globals().items() if n.startswith("op") and callable(f)}
