@@ -202,6 +202,48 @@ FROM given JOIN told USING (id) JOIN crcs USING (id)
 """
 
 
+AUDIT = r"""
+WITH given AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+firsts AS (SELECT text, min(doc_id) AS first_id FROM given GROUP BY text),
+marks AS (
+  SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+flags AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         concat(CASE WHEN len(words) < 50 THEN 'A' ELSE '' END,
+                CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END,
+                CASE WHEN 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * len(text) THEN 'C' ELSE '' END,
+                CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END,
+                CASE WHEN coalesce(first_id < g.doc_id, false) THEN 'E' ELSE '' END) AS fails
+  FROM given g JOIN firsts USING (text) LEFT JOIN marks m ON m.doc_id = g.doc_id),
+counts AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS n_good, count(*) FILTER (WHERE toxic) AS n_toxic
+  FROM flags GROUP BY part, fails),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS f, substr(filter_order, 1, step - 1) AS before
+  FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders)),
+cells AS (
+  SELECT part, filter_order, step, f, n, n_good, n_toxic, fails,
+         contains(fails, f) AS failed, translate(fails, before, '') <> fails AS gone FROM counts, steps),
+told AS (
+  SELECT part, filter_order, step, f,
+         CAST(coalesce(sum(n) FILTER (WHERE NOT failed AND NOT gone), 0) AS BIGINT) AS kept,
+         CAST(coalesce(sum(n) FILTER (WHERE failed AND NOT gone), 0) AS BIGINT) AS removed,
+         CAST(coalesce(sum(n) FILTER (WHERE failed AND gone), 0) AS BIGINT) AS redundant,
+         CAST(coalesce(sum(n) FILTER (WHERE fails = f), 0) AS BIGINT) AS unique_fails,
+         CAST(coalesce(sum(n_good) FILTER (WHERE failed AND NOT gone), 0) AS BIGINT) AS good_lost,
+         CAST(coalesce(sum(n_toxic) FILTER (WHERE failed AND NOT gone), 0) AS BIGINT) AS toxic_lost
+  FROM cells GROUP BY part, filter_order, step, f)
+SELECT * EXCLUDE (f) REPLACE (CAST(step AS INTEGER) AS step), CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM told
+"""
+
+
 def statements() -> dict[str, str]:
     """SQL by query name."""
     return {
@@ -210,4 +252,5 @@ def statements() -> dict[str, str]:
         "op7_grid_order_join": VECTORS,
         "op9_interval_expansion": STRETCHES,
         "op11_jump_hash": _shards(),
+        "op12_filter_audit": AUDIT,
     }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cueweave.llm import egojoin, langid, mixing, oracle, packing, pii, sharding, simhash, sketch, suffix, toolcalls, urls
+from cueweave.llm import audit, egojoin, langid, mixing, oracle, packing, pii, sharding, simhash, sketch, suffix, toolcalls, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -71,6 +71,11 @@ def op11_jump_hash(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.place(_table(spark, folder, "documents"), 24)
 
 
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What each of five filters removes at every step of every order, by source."""
+    return audit.interactions(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def queries() -> dict:
     """Every query by name."""
     return {n: f for n, f in globals().items() if n.startswith("op") and callable(f)}
