@@ -244,6 +244,38 @@ SELECT * EXCLUDE (f) REPLACE (CAST(step AS INTEGER) AS step), CAST(sum(removed)
 """
 
 
+def _tries() -> str:
+    return rf"""
+WITH turns AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i,
+         md5(coalesce(role, '')) || md5(coalesce(text, '')) AS t, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w
+  FROM conversations WHERE conv_id IS NOT NULL),
+given AS (SELECT DISTINCT c AS id, hex(encode(CAST(c AS VARCHAR))) AS h FROM turns),{_crc32("given")},
+convs AS (SELECT id AS c, id - id % 20 AS base, crc % 4 AS h FROM crcs),
+rows_ AS (
+  SELECT k.c, 0 AS part, i, t, w FROM convs k JOIN turns s ON s.c = k.base AND s.i < k.h
+  UNION ALL SELECT k.c, 1, i, t, w FROM convs k JOIN turns s ON s.c = k.c AND s.i >= k.h),
+placed AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, i) AS d, t, w FROM rows_),
+keyed AS (SELECT c, d, w, md5(string_agg(t, '') OVER (PARTITION BY c ORDER BY d)) AS key FROM placed),
+paths AS (
+  SELECT c, 0 AS d, 0 AS w, '' AS key, NULL AS up FROM convs
+  UNION ALL SELECT c, d, w, key, coalesce(lag(key) OVER (PARTITION BY c ORDER BY d), '') FROM keyed),
+nodes AS (
+  SELECT key, min(c) AS conv_id, any_value(d) AS depth, any_value(up) AS up, any_value(w) AS w, count(*) AS n FROM paths GROUP BY key),
+kids AS (SELECT up AS key, count(*) AS k FROM nodes WHERE up IS NOT NULL GROUP BY up),
+ends AS (
+  SELECT key, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS digest
+  FROM (SELECT c, arg_max(key, d) AS key FROM paths GROUP BY c) GROUP BY key),
+below AS (
+  SELECT a.key, sum((n.n - 1) * n.w) AS saved, count(*) FILTER (WHERE k IS NULL) AS leaves
+  FROM nodes n JOIN paths a ON a.c = n.conv_id AND a.d <= n.depth LEFT JOIN kids USING (key) GROUP BY a.key)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(k, 0) AS n_children, leaves AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, coalesce(digest, sha256('')) AS ends_sha256
+FROM nodes n JOIN below b ON b.key = n.key LEFT JOIN nodes p ON p.key = n.up LEFT JOIN kids ON kids.key = n.key
+LEFT JOIN ends ON ends.key = n.key
+"""
+
+
 def statements() -> dict[str, str]:
     """SQL by query name."""
     return {
@@ -253,4 +285,5 @@ def statements() -> dict[str, str]:
         "op9_interval_expansion": STRETCHES,
         "op11_jump_hash": _shards(),
         "op12_filter_audit": AUDIT,
+        "op13_prefix_trie": _tries(),
     }

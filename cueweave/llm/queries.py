@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cueweave.llm import audit, egojoin, langid, mixing, oracle, packing, pii, sharding, simhash, sketch, suffix, toolcalls, urls
+from cueweave.llm import audit, egojoin, langid, mixing, oracle, packing, pii, sharding, simhash, sketch, suffix, toolcalls, trie, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -76,6 +76,11 @@ def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return audit.interactions(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Prefixes that rebuilt conversations share."""
+    return trie.prefix_trie(_table(spark, folder, "conversations"))
+
+
 def queries() -> dict:
     """Every query by name."""
     return {n: f for n, f in globals().items() if n.startswith("op") and callable(f)}
