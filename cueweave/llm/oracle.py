@@ -268,7 +268,7 @@ ends AS (
   FROM (SELECT c, arg_max(key, d) AS key FROM paths GROUP BY c) GROUP BY key),
 below AS (
   SELECT a.key, sum((n.n - 1) * n.w) AS saved, count(*) FILTER (WHERE k IS NULL) AS leaves
-  FROM nodes n JOIN paths a ON a.c = n.conv_id AND a.d <= n.depth LEFT JOIN kids USING (key) GROUP BY a.key)
+  FROM nodes n JOIN paths a ON a.c = n.conv_id AND a.d <= n.depth LEFT JOIN kids ON kids.key = n.key GROUP BY a.key)
 SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(k, 0) AS n_children, leaves AS n_leaves,
        CAST(saved AS BIGINT) AS saved_tokens, coalesce(digest, sha256('')) AS ends_sha256
 FROM nodes n JOIN below b ON b.key = n.key LEFT JOIN nodes p ON p.key = n.up LEFT JOIN kids ON kids.key = n.key
