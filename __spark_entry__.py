@@ -24,7 +24,7 @@ from cueweave.operators.sentences import (  # noqa: E402
     words_to_sentences,
 )
 from cueweave.plans import incremental, transform  # noqa: E402
-from cueweave.schemas import BASIC, SOCIAL, STANDARD  # noqa: E402
+from cueweave.schemas import BASIC, DEFAULT_LIMITS, SOCIAL, STANDARD  # noqa: E402
 from cueweave.sources.derived import transcripts_from_documents  # noqa: E402
 from cueweave.sources.files import choose_names, file_name, media_catalog, spread  # noqa: E402
 from cueweave.sources.transcripts import parsed, quarantine  # noqa: E402
@@ -76,7 +76,12 @@ def _transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return words_to_sentences(_words(spark, sf_dir), oversize=_oversize(spark, sf_dir))
+    return _sentence_rows(_words(spark, sf_dir))
+
+
+def _sentence_rows(words: DataFrame, *args, **settings) -> DataFrame:
+    """Sentences in one row each: none here is long enough to come in parts."""
+    return words_to_sentences(words, *args, **settings).drop("part_no")
 
 
 def _cues(spark: SparkSession, sf_dir: str, profile=STANDARD, pauses: bool = False) -> DataFrame:
@@ -126,25 +131,32 @@ def q_remapped_sentences(spark, d):
 
 
 def q_sentences_punctuated(spark, d):
-    return words_to_sentences(with_punctuation_tokens(_words(spark, d)), oversize=_oversize(spark, d))
+    return _sentence_rows(with_punctuation_tokens(_words(spark, d)))
 
 
 def q_sentences_timing(spark, d):
-    return words_to_sentences(_words(spark, d), timing=True, oversize=_oversize(spark, d))
+    return _sentence_rows(_words(spark, d), timing=True)
 
 
 def q_sentences_markers(spark, d):
     """Own marker set and limits, over words and punctuation tokens."""
     words = with_punctuation_tokens(_words(spark, d))
-    return words_to_sentences(
-        words, True, 0.7, 1.5, sql.OWN_MARKERS, oversize=_oversize(spark, d)
-    )
+    return _sentence_rows(words, True, 0.7, 1.5, sql.OWN_MARKERS)
 
 
 def q_sentences_pauses(spark, d):
-    return words_to_sentences(
-        _words(spark, d), timing=True, pause_detection=True, oversize=_oversize(spark, d)
-    )
+    return _sentence_rows(_words(spark, d), timing=True, pause_detection=True)
+
+
+def q_sentence_parts(spark, d):
+    """Sentences in parts of 40 characters, from blocks of 64 words."""
+    return words_to_sentences(_words(spark, d), limits=replace(DEFAULT_LIMITS, block_rows=64, part_chars=40))
+
+
+def q_transcript_lines(spark, d):
+    """The whole flow with speakers shown: ranked, the main one left out."""
+    found = transform.sentences(_transcripts(spark, d), script="source")
+    return speakers.tagged_lines(found).drop("part_no")
 
 
 def q_text_sentences(spark, d):
@@ -394,7 +406,7 @@ def q_combined_name(spark, d):
 
 
 def q_combined_text(spark, d):
-    return transform.combined_lines(transform.sentences(_transcripts(spark, d), script="source"))
+    return transform.combined_lines(transform.sentences(_transcripts(spark, d), script="source")).drop("part_no")
 
 
 def q_sentence_files(spark, d):
@@ -406,7 +418,7 @@ def q_output_totals(spark, d):
     return transform.output_totals(
         cues=words_to_cues(words, STANDARD, oversize=big),
         social_cues=words_to_cues(words, SOCIAL, oversize=big),
-        sentences=words_to_sentences(words, oversize=big),
+        sentences=words_to_sentences(words),
     )
 
 

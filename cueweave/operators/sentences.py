@@ -1,8 +1,19 @@
-"""Sentences from words, from segments, from plain text."""
+"""Sentences from words, from segments, from plain text.
+
+One plan serves recordings of any size.  Words are dealt once, by recording and block of
+positions; an ordinary recording is one block.  A block sends one summary row: its last
+token and word, how many sentences begin in it, where the last one begins.  Summaries of a
+recording, put one after the other, tell every block what it needs of the ones before, and rank
+the speakers on the way.  A second look at the same blocks then numbers the sentences.
+
+A sentence inside a block is finished there.  One that crosses blocks is put together from
+a row per block.  Its text comes in parts of ``Limits.part_chars`` characters, which in order
+are the text, so a sentence without any stop mark is spread as well.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueweave.functions.pauses import PAUSE_SECONDS, with_pauses
@@ -12,81 +23,244 @@ from cueweave.functions.text import (
     split_sentences,
     strip_space,
     strip_token,
-    tidy_spaces,
+    takes_space,
+    tidy_token,
 )
 from cueweave.operators.arrays import unnest
-from cueweave.operators.ordered import KEY, by_size, scan
+from cueweave.operators.ordered import KEY
+from cueweave.operators.speakers import rank_label, talk_seconds
 from cueweave.schemas import DEFAULT_LIMITS, Limits
 
+_BLOCK = [KEY, "block"]
 
-def sentence_tokens(words: DataFrame, pause_detection: bool = False) -> DataFrame:
-    """Words and punctuation with text, trimmed, as sentences are made of them."""
-    kept = (
-        words.filter(F.col("type").isin("word", "punctuation"))
-        .withColumn("text", strip_token(F.col("text")))
-        .filter(F.col("text") != "")
-    )
-    return with_pauses(kept, pause_detection).select(
+
+class _Rules:
+    """When a token begins a sentence, and what its row must hold to tell."""
+
+    def __init__(self, timing: bool, gap_seconds: float, hard_gap_seconds: float, ranked: bool):
+        # Ranks need times; so that all looks at the words read the same columns, limits are then infinite.
+        self.timed = timing or ranked
+        self.timing, self.ranked = timing, ranked
+        self.gap, self.hard_gap = (gap_seconds, hard_gap_seconds) if timing else (float("inf"),) * 2
+
+    def by_time(self, start: Column, opens: Column, word_before: Column) -> Column:
+        """Whether a word begins one because of the pause after the word before; false without one."""
+        if not self.timed:
+            return F.lit(False)
+        gap = F.greatest(start - word_before["end"], F.lit(0.0))
+        flagged = min(self.gap, PAUSE_SECONDS) if self.timing else self.gap
+        breaks = (gap >= self.hard_gap) | ((gap >= self.gap) & opens) | (word_before["pause_after"] & (gap >= flagged))
+        return F.coalesce(breaks, F.lit(False))
+
+
+def _token_rows(words: DataFrame, rules: _Rules, pause_detection: bool, markers: tuple[str, ...] | None, limits: Limits) -> DataFrame:
+    """Words and punctuation; ``kept`` marks those that sentences are made of.
+
+    Spacing is put right token by token: a piece brings the space before it along, so
+    texts are plain concatenations of pieces, wherever they are cut.
+    """
+    spoken = words.filter(F.col("type").isin("word", "punctuation")).withColumn("text", strip_token(F.col("text")))
+    rows = with_pauses(spoken, pause_detection).select(
         KEY,
-        "n_words",
         "idx",
+        F.coalesce(F.floor(F.col("idx") / limits.block_rows), F.lit(0)).cast("bigint").alias("block"),
         (F.col("type") == "word").alias("is_word"),
-        "text",
+        F.coalesce(F.col("text") != "", F.lit(False)).alias("kept"),
+        tidy_token(F.col("text")).alias("text"),
         F.nullif("speaker", F.lit("")).alias("speaker"),
-        F.coalesce("start", F.lit(0.0)).alias("start"),
-        F.col("speech_end").alias("end"),
+        "start",
+        "end",
+        F.when(F.col("pause_gap") > 0, F.col("speech_end")).alias("cut"),
         (F.col("pause_gap") >= PAUSE_SECONDS).alias("pause_after"),
     )
+    glue = F.when(F.col("is_word") & takes_space(F.col("text")), " ").otherwise("")
+    opens = opening_marker(F.col("text"), markers) if rules.timing else F.lit(False)
+    return rows.select(
+        *_BLOCK,
+        "idx",
+        "is_word",
+        "kept",
+        F.when(F.col("kept"), F.concat(glue, "text")).otherwise("").alias("piece"),
+        ends_with_stop(F.col("text")).alias("stops"),
+        "speaker",
+        *([opens.alias("opens"), "start", "end", "cut", "pause_after"] if rules.timed else []),
+    )
 
 
-def _sentences(
-    tokens: DataFrame,
-    timing: bool,
-    gap_seconds: float,
-    hard_gap_seconds: float,
-    markers: tuple[str, ...] | None,
-    limits: Limits | None,
-) -> DataFrame:
-    previous = {"_stop_before": (ends_with_stop(F.col("text")), None)}
-    if timing:
-        timed = F.struct("end", "pause_after")
-        previous["_word_before"] = (timed, F.col("is_word"))
-    seen = scan(tokens, "idx", previous=previous, limits=limits)
-    breaks = F.coalesce("_stop_before", F.lit(True))
-    if timing:
-        gap = F.greatest(F.col("start") - F.col("_word_before.end"), F.lit(0.0))
-        by_time = (
-            (gap >= hard_gap_seconds)
-            | ((gap >= gap_seconds) & opening_marker(F.col("text"), markers))
-            | (F.col("_word_before.pause_after") & (gap >= min(gap_seconds, PAUSE_SECONDS)))
+def _looked_back(rows: DataFrame, rules: _Rules) -> DataFrame:
+    """Add what precedes a token inside its block: last stop flag, last word, characters."""
+    before = Window.partitionBy(*_BLOCK).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    seen = {
+        "stop_before": F.last(F.when(F.col("kept"), F.col("stops")), ignorenulls=True).over(before),
+        "chars_before": F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)),
+    }
+    if rules.timed:
+        word = F.when(F.col("kept") & F.col("is_word"), F.struct(_speech_end().alias("end"), "pause_after"))
+        seen["word_before"] = F.last(word, ignorenulls=True).over(before)
+    return rows.withColumns(seen)
+
+
+def _speech_end() -> Column:
+    return F.coalesce("cut", "end")
+
+
+def _begin() -> Column:
+    return F.coalesce("start", F.lit(0.0))
+
+
+def _summaries(rows: DataFrame, rules: _Rules) -> DataFrame:
+    """One row per block.  Two tokens may be undecided in it: the first one, and the first word."""
+    seen = _looked_back(rows, rules)
+    known = F.coalesce("stop_before", F.lit(False))
+    more = []
+    if rules.timed:
+        known = known | (F.col("is_word") & rules.by_time(_begin(), F.col("opens"), F.col("word_before")))
+        first_word = F.col("kept") & F.col("is_word") & F.col("word_before").isNull()
+        is_first = F.col("stop_before").isNull().alias("is_first")
+        undecided = F.struct(_begin().alias("start"), "opens", "known", is_first, F.col("chars_before").alias("at"))
+        last_word = F.struct("idx", _speech_end().alias("end"), "pause_after")
+        more = [
+            F.max(F.when(first_word, undecided)).alias("first_word"),
+            F.max(F.when(F.col("kept") & F.col("is_word"), last_word)).alias("word"),
+        ]
+    spoken = F.col("is_word") & F.col("speaker").isNotNull()
+    if rules.ranked:
+        more += [
+            F.sum(F.when(spoken, talk_seconds())).alias("seconds"),
+            F.count_if(spoken).alias("n_spoken"),
+            F.min(F.when(spoken, F.col("idx"))).alias("first_idx"),
+        ]
+    by_speaker = (
+        seen.withColumn("known", F.col("kept") & known)
+        .groupBy(*_BLOCK, "speaker")
+        .agg(
+            F.max("kept").alias("full"),
+            F.count_if("known").alias("n"),
+            F.max(F.when(F.col("known"), F.col("chars_before"))).alias("at"),
+            F.max(F.when(F.col("kept"), F.struct("idx", "stops", "is_word"))).alias("stop"),
+            F.sum(F.length("piece")).alias("chars"),
+            *more,
         )
-        breaks = breaks | (F.col("is_word") & F.coalesce(by_time, F.lit(False)))
-    seen = seen.withColumn("_breaks", breaks).select(
-        KEY, "idx", "is_word", "text", "speaker", "_breaks"
     )
-    marked = scan(seen, "idx", latest={"_sent": (F.col("idx"), F.col("_breaks"))}, limits=limits)
-    piece = F.when(F.col("is_word"), F.concat(F.lit(" "), F.col("text"))).otherwise(F.col("text"))
-    # One row per sentence and speaker first: it counts the speaker's words and is all
-    # that has to move when a sentence crosses blocks.
-    by_speaker = marked.groupBy(KEY, "_sent", "speaker").agg(
-        F.count_if("is_word").alias("_n"),
-        F.min(F.when(F.col("is_word"), F.col("idx"))).alias("_first"),
-        F.collect_list(F.struct("idx", piece.alias("piece"))).alias("_pieces"),
+    merged = [F.max(c).alias(c) for c in ("full", "at", "stop", *(("first_word", "word") if rules.timed else ()))]
+    if rules.ranked:
+        speaker = F.when(F.col("n_spoken") > 0, F.struct("speaker", "seconds", "n_spoken", "first_idx"))
+        merged.append(F.collect_list(speaker).alias("speakers"))
+    return by_speaker.groupBy(*_BLOCK).agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), *merged)
+
+
+def _carried(rows: DataFrame, rules: _Rules) -> DataFrame:
+    """What every block needs of its recording's other blocks, and the labels of its speakers."""
+    blocks = Window.partitionBy(KEY).orderBy("block")
+    earlier = blocks.rowsBetween(Window.unboundedPreceding, -1)
+    later = blocks.rowsBetween(1, Window.unboundedFollowing)
+    known = _summaries(rows, rules).withColumn("c_stop", F.last("stop", ignorenulls=True).over(earlier)["stops"])
+    begins, adds, word_at = F.coalesce("c_stop", F.lit(True)), F.lit(False), F.lit(None)
+    if rules.timed:
+        known = known.withColumn("c_word", F.last("word", ignorenulls=True).over(earlier))
+        first_word = F.col("first_word")
+        timed = F.coalesce(rules.by_time(first_word["start"], first_word["opens"], F.col("c_word")), F.lit(False))
+        is_first = F.coalesce(first_word["is_first"], F.lit(False))
+        begins = begins | (timed & is_first)
+        adds = F.coalesce(timed & ~is_first & ~first_word["known"], F.lit(False))
+        word_at = first_word["at"]
+    known = known.withColumns({"begins": F.col("full") & begins, "adds": adds})
+    known = known.withColumns(
+        {
+            "n": F.col("n") + F.col("begins").cast("bigint") + F.col("adds").cast("bigint"),
+            "at": F.greatest("at", F.when(F.col("adds"), word_at), F.when(F.col("begins"), 0)),
+            "c_chars": F.coalesce(F.sum("chars").over(earlier), F.lit(0)),
+        }
+    )
+    known = known.withColumns(
+        {
+            "c_sentences": F.coalesce(F.sum("n").over(earlier), F.lit(0)),
+            "c_open": F.col("c_chars") - F.coalesce(F.max(F.col("c_chars") + F.col("at")).over(earlier), F.lit(0)),
+            "goes_on": ~F.coalesce(F.first(F.when(F.col("full"), F.col("begins")), ignorenulls=True).over(later), F.lit(True)),
+        }
     )
-    named = F.col("speaker").isNotNull() & (F.col("_n") > 0)
-    ordered = F.array_sort(F.flatten(F.collect_list("_pieces")))
-    whole = by_speaker.groupBy(KEY, "_sent").agg(
-        ordered.alias("_pieces"),
-        F.max_by("speaker", F.when(named, F.struct("_n", -F.col("_first")))).alias("speaker"),
+    known = known.withColumn("crosses", F.col("goes_on") | (F.col("full") & ~F.col("begins")))
+    kept = ["c_stop", *(["c_word"] if rules.timed else []), "c_sentences", "c_open", "n", "goes_on", "crosses"]
+    if not rules.ranked:
+        return known.select(*_BLOCK, *kept)
+    # Ranks by window over the blocks' speakers: totals first, then their order.
+    each = known.select(*_BLOCK, *kept, F.explode_outer("speakers").alias("_s")).select("*", "_s.*").drop("_s")
+    total = Window.partitionBy(KEY, "speaker")
+    each = each.withColumns(
+        {
+            "seconds": F.sum("seconds").over(total),
+            "n_spoken": F.sum("n_spoken").over(total),
+            "first_idx": F.min("first_idx").over(total),
+        }
+    ).withColumn("label", rank_label(F.dense_rank))
+    named = F.when(F.col("speaker").isNotNull(), F.struct("speaker", "label"))
+    return each.groupBy(*_BLOCK).agg(
+        *[F.first(c).alias(c) for c in kept], F.map_from_entries(F.collect_list(named)).alias("labels")
     )
-    text = tidy_spaces(F.array_join(F.transform("_pieces", lambda p: p["piece"]), ""))
-    numbered = scan(
-        whole.select(KEY, "_sent", text.alias("text"), "speaker"),
-        "_sent",
-        running={"sent_no": F.lit(1)},
-        limits=limits,
+
+
+def _placed(rows: DataFrame, carried: DataFrame, rules: _Rules, limits: Limits) -> DataFrame:
+    """Kept tokens with ``sent_no``, ``part_no`` and whether their sentence crosses into another block."""
+    seen = _looked_back(rows.join(carried, _BLOCK), rules)
+    breaks = F.coalesce("stop_before", "c_stop", F.lit(True))
+    if rules.timed:
+        carried_word = F.when(
+            F.col("c_word").isNotNull(), F.struct(F.col("c_word.end").alias("end"), F.col("c_word.pause_after").alias("pause_after"))
+        )
+        word_before = F.coalesce("word_before", carried_word)
+        breaks = breaks | (F.col("is_word") & rules.by_time(_begin(), F.col("opens"), word_before))
+    so_far = Window.partitionBy(*_BLOCK).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    seen = seen.withColumn("breaks", F.col("kept") & breaks)
+    seen = seen.withColumns(
+        {
+            "nth": F.count_if("breaks").over(so_far),
+            "begin": F.max(F.when(F.col("breaks"), F.col("chars_before"))).over(so_far),
+        }
+    ).filter("kept")
+    inside = F.when(F.col("nth") == 0, F.col("c_open") + F.col("chars_before")).otherwise(F.col("chars_before") - F.col("begin"))
+    speaker = F.coalesce(F.try_element_at("labels", "speaker"), "speaker") if rules.ranked else F.col("speaker")
+    return seen.select(
+        *_BLOCK,
+        "idx",
+        "is_word",
+        "piece",
+        speaker.alias("speaker"),
+        (F.col("c_sentences") + F.col("nth")).alias("sent_no"),
+        F.floor(inside / limits.part_chars).alias("part_no"),
+        ((F.col("nth") == 0) | ((F.col("nth") == F.col("n")) & F.col("goes_on"))).alias("_crosses"),
     )
-    return numbered.select(KEY, F.col("sent_no").cast("bigint"), "text", "speaker")
+
+
+def _gathered(placed: DataFrame) -> DataFrame:
+    """One row per block and sentence: parts of its text, and its speakers' words."""
+    by_speaker = placed.groupBy(*_BLOCK, "sent_no", "speaker").agg(
+        F.count_if("is_word").alias("n"),
+        F.min(F.when(F.col("is_word"), F.col("idx"))).alias("first"),
+        F.collect_list(F.struct("idx", "part_no", "piece")).alias("pieces"),
+    )
+    counted = F.col("speaker").isNotNull() & (F.col("n") > 0)
+    whole = by_speaker.groupBy(*_BLOCK, "sent_no").agg(
+        F.array_sort(F.flatten(F.collect_list("pieces"))).alias("pieces"),
+        F.collect_list(F.when(counted, F.struct("n", (-F.col("first")).alias("early"), "speaker"))).alias("speakers"),
+    )
+
+    def text(pieces: Column) -> Column:
+        return F.array_join(F.transform(pieces, lambda p: p["piece"]), "")
+
+    pieces = F.col("pieces")
+    one = F.array(F.struct(pieces[0]["part_no"].alias("part_no"), text(pieces).alias("text")))
+    several = F.transform(
+        F.array_distinct(F.transform(pieces, lambda p: p["part_no"])),
+        lambda part: F.struct(part.alias("part_no"), text(F.filter(pieces, lambda p: p["part_no"] == part)).alias("text")),
+    )
+    parts = F.when(pieces[0]["part_no"] == F.element_at(pieces, -1)["part_no"], one).otherwise(several)
+    return whole.select(*_BLOCK, "sent_no", parts.alias("parts"), "speakers")
+
+
+def _trimmed(found: DataFrame) -> DataFrame:
+    """The space that the first piece brings along is none of the sentence's."""
+    text = F.when(F.col("part_no") == 0, F.ltrim("text")).otherwise(F.col("text"))
+    return found.select(KEY, "sent_no", "part_no", text.alias("text"), "speaker")
 
 
 def words_to_sentences(
@@ -97,21 +271,41 @@ def words_to_sentences(
     markers: tuple[str, ...] | None = None,
     pause_detection: bool = False,
     limits: Limits = DEFAULT_LIMITS,
-    oversize: bool | None = None,
+    ranked: bool = False,
 ) -> DataFrame:
-    """``transcript_id, sent_no, text, speaker`` (the speaker of most words).
+    """``transcript_id, sent_no, part_no, text, speaker`` (the speaker of most words).
 
     A sentence ends after a token ending in a sentence mark.  With ``timing`` it also
     ends before a word that follows a long pause, a pause and a discourse marker, or a
-    detected pause.
+    detected pause.  ``ranked`` names speakers speaker_0, speaker_1, ... by talk time.
+
+    ``part_no`` is 0 but for sentences of more than ``limits.part_chars`` characters: their
+    parts in order, put together without anything between, are the text.
     """
-    tokens = sentence_tokens(words, pause_detection and timing)
-    return by_size(
-        tokens,
-        lambda t, lim: _sentences(t, timing, gap_seconds, hard_gap_seconds, markers, lim),
-        limits,
-        oversize,
+    rules = _Rules(timing, gap_seconds, hard_gap_seconds, ranked)
+    # All looks at the words read this one exchange.
+    rows = _token_rows(words, rules, pause_detection and timing, markers, limits).repartition(*_BLOCK)
+    carried = _carried(rows, rules)
+
+    inside = _gathered(_placed(rows, carried, rules, limits).filter(~F.col("_crosses")))
+    best = F.array_max("speakers")["speaker"]
+    inside = inside.select(KEY, "sent_no", F.explode("parts").alias("_p"), best.alias("speaker"))
+    inside = inside.select(KEY, "sent_no", "_p.part_no", "_p.text", "speaker")
+
+    # Sentences over several blocks: only blocks that have such take part.
+    across = _gathered(_placed(rows, carried.filter("crosses"), rules, limits).filter("_crosses"))
+    parts = across.select(*_BLOCK, "sent_no", F.posexplode("parts").alias("_at", "_p"), "speakers")
+    parts = parts.groupBy(KEY, "sent_no", "_p.part_no").agg(
+        F.array_sort(F.collect_list(F.struct("block", "_p.text"))).alias("_t"),
+        F.flatten(F.collect_list(F.when(F.col("_at") == 0, F.col("speakers")))).alias("speakers"),
     )
+    text = F.array_join(F.transform("_t", lambda t: t["text"]), "")
+    texts = parts.select(KEY, "sent_no", "part_no", text.alias("text"))
+    tallies = parts.select(KEY, "sent_no", F.explode("speakers").alias("_s")).groupBy(KEY, "sent_no", "_s.speaker")
+    tallies = tallies.agg(F.sum("_s.n").alias("n"), F.max("_s.early").alias("early"))
+    best = tallies.groupBy(KEY, "sent_no").agg(F.max_by("speaker", F.struct("n", "early")).alias("speaker"))
+    across = texts.join(best, [KEY, "sent_no"], "left").select(KEY, "sent_no", "part_no", "text", "speaker")
+    return _trimmed(inside.unionByName(across))
 
 
 def texts_to_sentences(texts: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:

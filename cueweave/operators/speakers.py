@@ -2,39 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueweave.operators.ordered import KEY
 
 
-def speaker_stats(words: DataFrame) -> DataFrame:
-    """Talk time, word count and first position per recording and speaker.
+def talk_seconds() -> Column:
+    """Seconds a word takes, from ``start`` and ``end``.
 
-    Seconds are summed as decimals, so that the order in which partial sums meet
-    cannot change a tie.
+    They are decimals, so that the order in which partial sums meet cannot change a tie.
     """
     begin = F.coalesce("start", F.lit(0.0))
     finish = F.when(F.col("end") == 0, begin).otherwise(F.col("end"))
-    seconds = F.greatest(finish - begin, F.lit(0.0)).cast("decimal(18,6)")
+    return F.greatest(finish - begin, F.lit(0.0)).cast("decimal(18,6)")
+
+
+def speaker_stats(words: DataFrame) -> DataFrame:
+    """Talk time, word count and first position per recording and speaker."""
     return (
         words.filter((F.col("type") == "word") & (F.col("speaker") != ""))
         .groupBy(KEY, "speaker")
         .agg(
-            F.sum(seconds).alias("seconds"),
+            F.sum(talk_seconds()).alias("seconds"),
             F.count(F.lit(1)).alias("n_spoken"),
             F.min("idx").alias("first_idx"),
         )
     )
 
 
+def rank_label(rank: Callable[[], Column]) -> Column:
+    """``speaker_0``, ``speaker_1``, ... by talk time, words, first seen, within a recording."""
+    order = Window.partitionBy(KEY).orderBy(F.col("seconds").desc(), F.col("n_spoken").desc(), F.col("first_idx"))
+    return F.concat(F.lit("speaker_"), rank().over(order) - 1)
+
+
 def speaker_remap(words: DataFrame) -> DataFrame:
     """``speaker`` -> ``speaker_0``, ``speaker_1``, ... by talk time, words, first seen."""
-    order = Window.partitionBy(KEY).orderBy(
-        F.col("seconds").desc(), F.col("n_spoken").desc(), F.col("first_idx")
-    )
-    label = F.concat(F.lit("speaker_"), F.row_number().over(order) - 1)
-    return speaker_stats(words).select(KEY, "speaker", label.alias("label"))
+    return speaker_stats(words).select(KEY, "speaker", rank_label(F.row_number).alias("label"))
 
 
 def remap_speakers(sentences: DataFrame, remap: DataFrame) -> DataFrame:
@@ -48,10 +55,16 @@ def remap_speakers(sentences: DataFrame, remap: DataFrame) -> DataFrame:
     )
 
 
+def _first_parts(sentences: DataFrame) -> DataFrame:
+    """One row per sentence, where long ones come in parts."""
+    return sentences.filter("part_no = 0") if "part_no" in sentences.columns else sentences
+
+
 def main_speakers(sentences: DataFrame) -> DataFrame:
     """Per recording the speaker with most sentences; the earlier one on a tie."""
     counted = (
-        sentences.filter(F.col("speaker") != "")
+        _first_parts(sentences)
+        .filter(F.col("speaker") != "")
         .groupBy(KEY, "speaker")
         .agg(F.count(F.lit(1)).alias("_n"), F.min("sent_no").alias("_first"))
     )
@@ -73,16 +86,18 @@ def sentence_line(text: Column, speaker: Column, main: Column | None, tag_all: b
 
 
 def tagged_lines(sentences: DataFrame, tag_all: bool = False, hide_speakers: bool = False) -> DataFrame:
-    """``transcript_id, sent_no, line``; the main speaker's sentences stay untagged.
+    """``transcript_id, sent_no, line``, with ``part_no`` where sentences come in parts.
+
+    The main speaker's sentences stay untagged; of a sentence in parts, the first is tagged.
 
     ``hide_speakers`` is the setting of the ready-made outputs: no tag at all.
     """
-    if hide_speakers and not tag_all:
-        line = sentence_line(F.col("text"), F.col("speaker"), None)
-        return sentences.select(KEY, "sent_no", line.alias("line"))
-    if tag_all:
-        line = sentence_line(F.col("text"), F.col("speaker"), None, tag_all=True)
-        return sentences.select(KEY, "sent_no", line.alias("line"))
-    known = sentences.join(main_speakers(sentences), KEY, "left")
-    line = sentence_line(F.col("text"), F.col("speaker"), F.col("main_speaker"))
-    return known.select(KEY, "sent_no", line.alias("line"))
+    kept = [c for c in (KEY, "sent_no", "part_no") if c in sentences.columns]
+    main = None
+    if not hide_speakers and not tag_all:
+        sentences = sentences.join(main_speakers(sentences), KEY, "left")
+        main = F.col("main_speaker")
+    line = sentence_line(F.col("text"), F.col("speaker"), main, tag_all)
+    if "part_no" in kept:
+        line = F.when(F.col("part_no") == 0, line).otherwise(F.col("text"))
+    return sentences.select(*kept, line.alias("line"))

@@ -17,7 +17,7 @@ from cueweave.functions.text import clean_text, clean_token
 from cueweave.operators.cues import words_to_cues
 from cueweave.operators.ordered import KEY
 from cueweave.operators.sentences import segments_to_sentences, words_to_sentences
-from cueweave.operators.speakers import remap_speakers, speaker_remap, tagged_lines
+from cueweave.operators.speakers import tagged_lines
 from cueweave.operators.subtitles import (
     basic_blocks,
     numbered_blocks,
@@ -26,7 +26,7 @@ from cueweave.operators.subtitles import (
     subtitle_files,
 )
 from cueweave.operators.words import words_from_transcripts
-from cueweave.schemas import BASIC, SOCIAL, STANDARD
+from cueweave.schemas import BASIC, DEFAULT_LIMITS, SOCIAL, STANDARD, Limits
 
 
 def output_text(clean: bool = False, script: str = "latin") -> Callable[[Column], Column] | None:
@@ -163,20 +163,25 @@ def sentences(
     pause_detection: bool = False,
     gap_seconds: float = 0.9,
     hard_gap_seconds: float = 1.8,
+    limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
-    """Sentences with ranked speakers and final text, from words or else segments."""
+    """Sentences with ranked speakers and final text, from words or else segments.
+
+    Words are read and moved once, whatever a recording's size; ``part_no`` as in
+    :func:`words_to_sentences`.  Parts of a long sentence are cleaned and written in the other
+    script one by one.
+    """
     source = clean_transcripts(transcripts) if clean else transcripts
-    words = words_from_transcripts(source)
     spoken = words_to_sentences(
-        words,
+        words_from_transcripts(source),
         clean or pause_detection,
         gap_seconds,
         hard_gap_seconds,
         pause_detection=pause_detection,
-        oversize=False,
+        limits=limits,
+        ranked=True,
     )
-    named = remap_speakers(spoken, speaker_remap(words))
-    found = named.unionByName(segments_to_sentences(source))
+    found = spoken.unionByName(segments_to_sentences(source).withColumn("part_no", F.lit(0).cast("bigint")))
     change = output_text(clean, script)
     return found if change is None else found.withColumn("text", change(F.col("text")))
 
@@ -187,18 +192,21 @@ def sentence_files(found: DataFrame, part_lines: int = 5_000) -> DataFrame:
     Transcripts without sentences give no file; parts in order are the file.
     """
     lines = tagged_lines(found, hide_speakers=True)
+    piece = F.col("part_no") if "part_no" in lines.columns else F.lit(0)
     part = F.floor((F.col("sent_no") - 1) / part_lines).cast("bigint")
-    ordered = F.array_sort(F.collect_list(F.struct("sent_no", "line")))
+    ordered = F.array_sort(F.collect_list(F.struct("sent_no", "_piece", "line")))
+    joined = F.transform(ordered, lambda s, i: F.concat(F.when((s["_piece"] == 0) & (i > 0), "\n").otherwise(""), s["line"]))
     return (
-        lines.withColumn("part_no", part)
+        lines.select(KEY, "sent_no", "line", piece.alias("_piece"), part.alias("part_no"))
         .groupBy(KEY, "part_no")
-        .agg(F.concat(F.array_join(F.transform(ordered, lambda s: s["line"]), "\n"), F.lit("\n")).alias("txt"))
+        .agg(F.concat(F.array_join(joined, ""), F.lit("\n")).alias("txt"))
     )
 
 
 def combined_lines(found: DataFrame) -> DataFrame:
     """All sentences of all transcripts in path order, range-partitioned and sorted."""
-    return tagged_lines(found, hide_speakers=True).orderBy(KEY, "sent_no")
+    lines = tagged_lines(found, hide_speakers=True)
+    return lines.orderBy(*[c for c in (KEY, "sent_no", "part_no") if c in lines.columns])
 
 
 def combined_name(transcripts: DataFrame) -> DataFrame:

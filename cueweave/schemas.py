@@ -101,12 +101,14 @@ class Limits:
     partition each.  Longer ones are cut into blocks of ``block_rows`` positions,
     and a packing run longer than ``chunk_items`` items is cut into chunks.
     ``route_chunks`` is the fan-in when chunk results are chained.
+    Sentences of more than ``part_chars`` characters come in parts.
     """
 
     recording_words: int = 200_000
     block_rows: int = 32_768
     chunk_items: int = 16_384
     route_chunks: int = 1_024
+    part_chars: int = 1 << 20
 
 
 DEFAULT_LIMITS = Limits()

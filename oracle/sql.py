@@ -553,6 +553,17 @@ FROM sentences LEFT JOIN remap USING (transcript_id, speaker)""")
         select="SELECT * FROM sentences")
     found["sentences_pauses"] = with_(
         WORDS, PAUSES, sentences_cte("paused", TIMED), select="SELECT * FROM sentences")
+    found["sentence_parts"] = with_(WORDS, NO_PAUSES, plain, f"""
+pieces AS (
+  SELECT transcript_id, sent_no, idx, CASE WHEN {SPACED.format('text')} THEN ' ' || text ELSE text END AS piece FROM s_no),
+dealt AS (
+  SELECT *, (sum(length(piece)) OVER (PARTITION BY transcript_id, sent_no ORDER BY idx) - length(piece)) // 40 AS part_no
+  FROM pieces),
+parts AS (
+  SELECT transcript_id, sent_no, part_no, string_agg(piece, '' ORDER BY idx) AS text FROM dealt GROUP BY ALL)""", select="""
+SELECT transcript_id, CAST(p.sent_no AS BIGINT) AS sent_no, CAST(part_no AS BIGINT) AS part_no,
+       CASE WHEN part_no = 0 THEN ltrim(p.text) ELSE p.text END AS text, speaker
+FROM parts p JOIN sentences s USING (transcript_id, sent_no)""")
     found["text_sentences"] = """
 WITH tidy AS (
   SELECT doc_id, regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' +([,.;:!?…])', '\\1', 'g') AS text FROM documents),
@@ -701,6 +712,13 @@ all_sentences AS (
   SELECT transcript_id, sent_no, text FROM sentences
   UNION ALL SELECT transcript_id, sent_no, text FROM segment_sentences)""",
     ]
+    found["transcript_lines"] = with_(*flow, REMAP, """
+shown AS (
+  SELECT transcript_id, sent_no, text, coalesce(label, speaker) AS speaker
+  FROM sentences LEFT JOIN remap USING (transcript_id, speaker)
+  UNION ALL SELECT transcript_id, sent_no, text, NULL FROM segment_sentences)""", best.replace("FROM sentences", "FROM shown"), select="""
+SELECT transcript_id, sent_no, CASE WHEN speaker <> main_speaker THEN '[' || speaker || '] ' || text ELSE text END AS line
+FROM shown LEFT JOIN main USING (transcript_id)""")
     found["combined_text"] = with_(*flow, select="SELECT transcript_id, sent_no, text AS line FROM all_sentences")
     found["sentence_files"] = with_(*flow, select="""
 SELECT transcript_id, (sent_no - 1) // 5000 AS part_no, string_agg(text, chr(10) ORDER BY sent_no) || chr(10) AS txt

@@ -2,6 +2,7 @@ import random
 
 import brute
 import pytest
+from pyspark.sql import functions as F
 
 from cueweave.operators.sentences import texts_to_sentences, words_to_sentences
 from cueweave.operators.speakers import (
@@ -11,7 +12,9 @@ from cueweave.operators.speakers import (
     speaker_stats,
     tagged_lines,
 )
+from cueweave.plans import transform
 from cueweave.schemas import Limits
+from cueweave.sources.derived import transcripts_from_documents
 
 CHARACTERS = "array<struct<text:string,start:double,end:double>>"
 SCHEMA = (
@@ -111,3 +114,68 @@ def test_plain_text_sentences(spark):
     )
     got = [r.text for r in texts_to_sentences(df).orderBy("sent_no").collect()]
     assert got == ["Bir ikki.", "Uch?!", "To'rt…besh…", "olti"]
+
+
+def whole(df):
+    """Texts put together from their parts, as ``found`` gives them."""
+    out = {}
+    for row in df.orderBy("transcript_id", "sent_no", "part_no").collect():
+        got = out.setdefault(row.transcript_id, [])
+        if row.sent_no > len(got):
+            assert row.part_no == 0 and row.sent_no == len(got) + 1
+            got.append((row.text, row.speaker))
+        else:
+            assert row.sent_no == len(got) and row.speaker == got[-1][1]
+            got[-1] = (got[-1][0] + row.text, row.speaker)
+    return out
+
+
+@pytest.mark.parametrize(("block_rows", "timing"), [(1, True), (7, False)])
+def test_parts_in_order_are_the_text(spark, recordings, timing, block_rows):
+    df = words(spark, recordings)
+    limits = Limits(block_rows=block_rows, part_chars=9)
+    parts = words_to_sentences(df, timing=timing, limits=limits, ranked=True)
+    plain = remap_speakers(words_to_sentences(df, timing=timing), speaker_remap(df))
+    assert whole(parts) == found(plain)
+    assert parts.filter("part_no > 0").count() > 50
+    assert all(len(r.text) <= 9 + 8 for r in parts.collect())  # a part ends with the token that fills it
+
+
+def test_one_recording_with_half_of_all_words(spark):
+    """A sentence of 600,000 words in one recording, the other words in 300 recordings."""
+    n = 600_000
+    spoken = F.when(F.col("id") < n, F.lit("long")).otherwise(F.concat(F.lit("r"), F.col("id") % 300))
+    at = F.when(F.col("id") < n, F.col("id")).otherwise(F.floor((F.col("id") - n) / 300))
+    df = spark.range(2 * n).select(
+        spoken.alias("transcript_id"), F.lit(n).cast("long").alias("n_words"), at.alias("idx"), F.lit("word").alias("type"),
+        F.concat(F.lit("so"), F.col("id") % 10).alias("text"), (at * 0.5).alias("start"), (at * 0.5 + 0.4).alias("end"),
+        F.when(at % 5 < 3, "a").otherwise("b").alias("speaker"), F.lit(None).cast(CHARACTERS).alias("characters"),
+    )
+    limits = Limits(block_rows=4_096, part_chars=1 << 15)
+    parts = words_to_sentences(df, limits=limits, ranked=True).withColumn("task", F.spark_partition_id())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = sorted(parts.filter("transcript_id = 'long'").collect(), key=lambda r: r.part_no)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert "".join(r.text for r in rows) == " ".join(f"so{i % 10}" for i in range(n))
+    assert {(r.sent_no, r.speaker) for r in rows} == {(1, "speaker_0")}
+    assert len(rows) == -(-4 * n // (1 << 15)) and len({r.task for r in rows}) > 1
+    assert parts.filter("transcript_id <> 'long'").count() == 300
+    assert words_to_sentences(df.limit(0), limits=limits).count() == 0
+
+
+def test_flow_moves_words_once(spark):
+    """Words are read, and dealt to blocks, once: ranks, numbers and long sentences included."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    with_words = transcripts_from_documents(docs.filter("doc_id % 3 <> 0"))
+    lines = tagged_lines(transform.sentences(with_words, script="source"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that reuse shows before the run
+        plan = lines._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    dealt = [line for line in plan if "REPARTITION_BY_COL" in line and "ReusedExchange" not in line]
+    scans = [line for line in plan if "FileScan" in line]
+    assert len(dealt) == 1 and len(scans) == 2  # of words, and of segments where there are no words
