@@ -406,11 +406,11 @@ def q_combined_name(spark, d):
 
 
 def q_combined_text(spark, d):
-    return transform.combined_lines(transform.sentences(_transcripts(spark, d), script="source")).drop("part_no")
+    return transform.combined_lines(transform.sentences(_transcripts(spark, d), script="source", ranked=False)).drop("part_no")
 
 
 def q_sentence_files(spark, d):
-    return transform.sentence_files(transform.sentences(_transcripts(spark, d), script="source"))
+    return transform.sentence_files(transform.sentences(_transcripts(spark, d), script="source", ranked=False))
 
 
 def q_output_totals(spark, d):

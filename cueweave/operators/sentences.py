@@ -1,14 +1,14 @@
 """Sentences from words, from segments, from plain text.
 
 One plan serves recordings of any size.  Words are dealt once, by recording and block of
-positions; an ordinary recording is one block.  A block sends one summary row: its last
-token and word, how many sentences begin in it, where the last one begins.  Summaries of a
-recording, put one after the other, tell every block what it needs of the ones before, and rank
-the speakers on the way.  A second look at the same blocks then numbers the sentences.
-
-A sentence inside a block is finished there.  One that crosses blocks is put together from
-a row per block.  Its text comes in parts of ``Limits.part_chars`` characters, which in order
-are the text, so a sentence without any stop mark is spread as well.
+positions; an ordinary recording is one block and needs nothing from others.  A block of a longer
+one sends a summary row: its last token and word, how many sentences begin in it, where the
+last one begins.  Summaries of a recording, put one after the other, tell every block what it
+needs of the ones before.  A second look at the same blocks then numbers the sentences.
+
+Texts are put together inside blocks first, and then, as finished texts, across blocks.  They
+come in parts of ``Limits.part_chars`` characters, which in order are the text, so a sentence
+without any stop mark is spread as well.
 """
 
 from __future__ import annotations
@@ -54,16 +54,17 @@ class _Rules:
 
 
 def _token_rows(words: DataFrame, rules: _Rules, pause_detection: bool, markers: tuple[str, ...] | None, limits: Limits) -> DataFrame:
-    """Words and punctuation; ``kept`` marks those that sentences are made of.
+    """Words and punctuation of recordings that have an id; ``kept`` marks those that sentences are made of.
 
     Spacing is put right token by token: a piece brings the space before it along, so
     texts are plain concatenations of pieces, wherever they are cut.
     """
-    spoken = words.filter(F.col("type").isin("word", "punctuation")).withColumn("text", strip_token(F.col("text")))
+    spoken = words.filter(F.col(KEY).isNotNull() & F.col("type").isin("word", "punctuation")).withColumn("text", strip_token(F.col("text")))
     rows = with_pauses(spoken, pause_detection).select(
         KEY,
         "idx",
         F.coalesce(F.floor(F.col("idx") / limits.block_rows), F.lit(0)).cast("bigint").alias("block"),
+        F.coalesce(F.col("n_words") > limits.block_rows, F.lit(True)).alias("shares"),
         (F.col("type") == "word").alias("is_word"),
         F.coalesce(F.col("text") != "", F.lit(False)).alias("kept"),
         tidy_token(F.col("text")).alias("text"),
@@ -77,6 +78,7 @@ def _token_rows(words: DataFrame, rules: _Rules, pause_detection: bool, markers:
     opens = opening_marker(F.col("text"), markers) if rules.timing else F.lit(False)
     return rows.select(
         *_BLOCK,
+        "shares",
         "idx",
         "is_word",
         "kept",
@@ -109,8 +111,10 @@ def _begin() -> Column:
 
 
 def _summaries(rows: DataFrame, rules: _Rules) -> DataFrame:
-    """One row per block.  Two tokens may be undecided in it: the first one, and the first word."""
-    seen = _looked_back(rows, rules)
+    """One row per block of recordings with several.  Two tokens may be undecided: the first one, and the first word."""
+    # The partition id keeps the filter behind the exchange, which is read by the other look as well.
+    shared = rows.filter(F.when(F.spark_partition_id() >= 0, F.col("shares")))
+    seen = _looked_back(shared, rules)
     known = F.coalesce("stop_before", F.lit(False))
     more = []
     if rules.timed:
@@ -124,15 +128,15 @@ def _summaries(rows: DataFrame, rules: _Rules) -> DataFrame:
             F.max(F.when(F.col("kept") & F.col("is_word"), last_word)).alias("word"),
         ]
     spoken = F.col("is_word") & F.col("speaker").isNotNull()
-    if rules.ranked:
-        more += [
-            F.sum(F.when(spoken, talk_seconds())).alias("seconds"),
-            F.count_if(spoken).alias("n_spoken"),
-            F.min(F.when(spoken, F.col("idx"))).alias("first_idx"),
-        ]
+    whole = Window.partitionBy(*_BLOCK)
+    so_far = whole.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    seen = seen.withColumn("known", F.col("kept") & known)
+    seen = seen.withColumns({"nth": F.count_if("known").over(so_far), "of": F.count_if("known").over(whole)})
+    for name, stretch in (("head", F.col("nth") == 0), ("tail", (F.col("nth") == F.col("of")) & (F.col("of") > 0))):
+        heard = spoken & F.col("kept") & stretch
+        more += [F.count_if(heard).alias(f"{name}_n"), F.min(F.when(heard, F.col("idx"))).alias(f"{name}_first")]
     by_speaker = (
-        seen.withColumn("known", F.col("kept") & known)
-        .groupBy(*_BLOCK, "speaker")
+        seen.groupBy(*_BLOCK, "speaker")
         .agg(
             F.max("kept").alias("full"),
             F.count_if("known").alias("n"),
@@ -143,14 +147,14 @@ def _summaries(rows: DataFrame, rules: _Rules) -> DataFrame:
         )
     )
     merged = [F.max(c).alias(c) for c in ("full", "at", "stop", *(("first_word", "word") if rules.timed else ()))]
-    if rules.ranked:
-        speaker = F.when(F.col("n_spoken") > 0, F.struct("speaker", "seconds", "n_spoken", "first_idx"))
-        merged.append(F.collect_list(speaker).alias("speakers"))
+    heard = F.struct("speaker", "head_n", "head_first", "tail_n", "tail_first")
+    speaker = F.when(F.col("speaker").isNotNull(), heard)
+    merged.append(F.collect_list(speaker).alias("speakers"))
     return by_speaker.groupBy(*_BLOCK).agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), *merged)
 
 
 def _carried(rows: DataFrame, rules: _Rules) -> DataFrame:
-    """What every block needs of its recording's other blocks, and the labels of its speakers."""
+    """What a block needs of its recording's other blocks."""
     blocks = Window.partitionBy(KEY).orderBy("block")
     earlier = blocks.rowsBetween(Window.unboundedPreceding, -1)
     later = blocks.rowsBetween(1, Window.unboundedFollowing)
@@ -179,29 +183,68 @@ def _carried(rows: DataFrame, rules: _Rules) -> DataFrame:
             "goes_on": ~F.coalesce(F.first(F.when(F.col("full"), F.col("begins")), ignorenulls=True).over(later), F.lit(True)),
         }
     )
-    known = known.withColumn("crosses", F.col("goes_on") | (F.col("full") & ~F.col("begins")))
-    kept = ["c_stop", *(["c_word"] if rules.timed else []), "c_sentences", "c_open", "n", "goes_on", "crosses"]
-    if not rules.ranked:
-        return known.select(*_BLOCK, *kept)
-    # Ranks by window over the blocks' speakers: totals first, then their order.
-    each = known.select(*_BLOCK, *kept, F.explode_outer("speakers").alias("_s")).select("*", "_s.*").drop("_s")
+    kept = ["c_stop", *(["c_word"] if rules.timed else []), "c_sentences", "c_open", "n", "goes_on"]
+    each = known.select(
+        *_BLOCK,
+        *kept,
+        (F.col("c_sentences") + F.col("begins").cast("bigint") + F.col("adds").cast("bigint")).alias("_head"),
+        F.explode_outer("speakers").alias("_s"),
+    ).select("*", "_s.*")
+    name = F.col("speaker")
+    if rules.ranked:
+        each = each.join(_ranks(rows).toDF(*_BLOCK, "speaker", "label"), [*_BLOCK, "speaker"], "left")
+        name = F.coalesce("label", "speaker")
+    # Who says most in the sentences that a block shares with others: the open one and its last one.
+    def vote(kind: str, sent: Column, n: Column, first: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), sent.alias("sent"), n.alias("n"), first.cast("bigint").alias("first"))
+
+    votes = F.array(
+        vote("head", F.col("_head"), F.col("head_n"), F.col("head_first")),
+        vote("tail", F.col("c_sentences") + F.col("n"), F.col("tail_n"), F.col("tail_first")),
+        vote("open", F.col("c_sentences"), F.lit(0).cast("bigint"), F.lit(None)),
+    )
+    each = each.withColumns({"name": name, "_v": F.explode(votes)})
+    same = Window.partitionBy(KEY, "_v.sent", "name")
+    each = each.withColumns({"heard": F.sum("_v.n").over(same), "since": F.min("_v.first").over(same)})
+    most = F.when(F.col("heard") > 0, F.struct("heard", (-F.col("since")).alias("early"), "name"))
+    each = each.withColumn("best", F.max(most).over(Window.partitionBy(KEY, "_v.sent"))["name"])
+    told = [
+        F.max(F.when(F.col("_v.kind") == kind, F.col("best"))).alias(f"c_{kind}_speaker") for kind in ("open", "tail")
+    ]
+    return each.groupBy(*_BLOCK).agg(*[F.first(c).alias(c) for c in kept], *told)
+
+
+def _ranks(rows: DataFrame) -> DataFrame:
+    """(recording, block, speaker, label): ranks by window over what blocks sum up, totals first."""
+    spoken = F.col("is_word") & F.col("speaker").isNotNull()
+    # The last row is asked for whole: then this reads the columns, and so the exchange, of the other looks.
+    last = F.struct("idx", *[c for c in rows.columns if c not in (*_BLOCK, "idx")])
+    sums = rows.groupBy(*_BLOCK, "speaker").agg(
+        F.sum(F.when(spoken, talk_seconds())).alias("seconds"),
+        F.count_if(spoken).alias("n_spoken"),
+        F.min(F.when(spoken, F.col("idx"))).alias("first_idx"),
+        F.max(last).alias("last"),
+    ).filter((F.col("n_spoken") > 0) & (F.col("last.idx") >= F.col("first_idx")))
     total = Window.partitionBy(KEY, "speaker")
-    each = each.withColumns(
+    totals = sums.withColumns(
         {
             "seconds": F.sum("seconds").over(total),
             "n_spoken": F.sum("n_spoken").over(total),
             "first_idx": F.min("first_idx").over(total),
         }
-    ).withColumn("label", rank_label(F.dense_rank))
-    named = F.when(F.col("speaker").isNotNull(), F.struct("speaker", "label"))
-    return each.groupBy(*_BLOCK).agg(
-        *[F.first(c).alias(c) for c in kept], F.map_from_entries(F.collect_list(named)).alias("labels")
     )
+    return totals.select(*_BLOCK, "speaker", rank_label(F.dense_rank).alias("label"))
 
 
 def _placed(rows: DataFrame, carried: DataFrame, rules: _Rules, limits: Limits) -> DataFrame:
     """Kept tokens with ``sent_no``, ``part_no`` and whether their sentence crosses into another block."""
-    seen = _looked_back(rows.join(carried, _BLOCK), rules)
+    there = carried.withColumnsRenamed({KEY: "_key", "block": "_block"})
+    same = F.col("shares") & (F.col(KEY) == F.col("_key")) & (F.col("block") == F.col("_block"))
+    known = rows.join(there, same, "left").drop("_key", "_block")
+    if rules.ranked:
+        names = F.map_from_entries(F.collect_list(F.struct("speaker", "label"))).alias("labels")
+        known = known.join(_ranks(rows).groupBy(*_BLOCK).agg(names), _BLOCK, "left")
+    seen = _looked_back(known, rules)
     breaks = F.coalesce("stop_before", "c_stop", F.lit(True))
     if rules.timed:
         carried_word = F.when(
@@ -217,31 +260,35 @@ def _placed(rows: DataFrame, carried: DataFrame, rules: _Rules, limits: Limits)
             "begin": F.max(F.when(F.col("breaks"), F.col("chars_before"))).over(so_far),
         }
     ).filter("kept")
-    inside = F.when(F.col("nth") == 0, F.col("c_open") + F.col("chars_before")).otherwise(F.col("chars_before") - F.col("begin"))
+    none = F.lit(0).cast("bigint")
+    inside = F.when(F.col("nth") == 0, F.coalesce("c_open", none) + F.col("chars_before")).otherwise(F.col("chars_before") - F.col("begin"))
     speaker = F.coalesce(F.try_element_at("labels", "speaker"), "speaker") if rules.ranked else F.col("speaker")
+    open_, last = F.col("nth") == 0, (F.col("nth") == F.col("n")) & F.col("goes_on")
     return seen.select(
         *_BLOCK,
         "idx",
         "is_word",
         "piece",
         speaker.alias("speaker"),
-        (F.col("c_sentences") + F.col("nth")).alias("sent_no"),
+        (F.coalesce("c_sentences", none) + F.col("nth")).alias("sent_no"),
         F.floor(inside / limits.part_chars).alias("part_no"),
-        ((F.col("nth") == 0) | ((F.col("nth") == F.col("n")) & F.col("goes_on"))).alias("_crosses"),
+        F.when(open_, F.struct(F.col("c_open_speaker").alias("name"))).when(last, F.struct(F.col("c_tail_speaker").alias("name"))).alias("shared"),
     )
 
 
 def _gathered(placed: DataFrame) -> DataFrame:
-    """One row per block and sentence: parts of its text, and its speakers' words."""
+    """Parts of sentences, one row per block that holds some of a part."""
     by_speaker = placed.groupBy(*_BLOCK, "sent_no", "speaker").agg(
         F.count_if("is_word").alias("n"),
         F.min(F.when(F.col("is_word"), F.col("idx"))).alias("first"),
         F.collect_list(F.struct("idx", "part_no", "piece")).alias("pieces"),
+        F.first("shared").alias("shared"),
     )
     counted = F.col("speaker").isNotNull() & (F.col("n") > 0)
     whole = by_speaker.groupBy(*_BLOCK, "sent_no").agg(
         F.array_sort(F.flatten(F.collect_list("pieces"))).alias("pieces"),
-        F.collect_list(F.when(counted, F.struct("n", (-F.col("first")).alias("early"), "speaker"))).alias("speakers"),
+        F.max_by("speaker", F.when(counted, F.struct("n", -F.col("first")))).alias("speaker"),
+        F.first("shared").alias("shared"),
     )
 
     def text(pieces: Column) -> Column:
@@ -254,13 +301,9 @@ def _gathered(placed: DataFrame) -> DataFrame:
         lambda part: F.struct(part.alias("part_no"), text(F.filter(pieces, lambda p: p["part_no"] == part)).alias("text")),
     )
     parts = F.when(pieces[0]["part_no"] == F.element_at(pieces, -1)["part_no"], one).otherwise(several)
-    return whole.select(*_BLOCK, "sent_no", parts.alias("parts"), "speakers")
-
-
-def _trimmed(found: DataFrame) -> DataFrame:
-    """The space that the first piece brings along is none of the sentence's."""
-    text = F.when(F.col("part_no") == 0, F.ltrim("text")).otherwise(F.col("text"))
-    return found.select(KEY, "sent_no", "part_no", text.alias("text"), "speaker")
+    speaker = F.when(F.col("shared").isNotNull(), F.col("shared.name")).otherwise(F.col("speaker"))
+    found = whole.select(*_BLOCK, "sent_no", F.explode(parts).alias("_p"), speaker.alias("speaker"))
+    return found.select(*_BLOCK, "sent_no", "_p.part_no", "_p.text", "speaker")
 
 
 def words_to_sentences(
@@ -287,25 +330,15 @@ def words_to_sentences(
     rows = _token_rows(words, rules, pause_detection and timing, markers, limits).repartition(*_BLOCK)
     carried = _carried(rows, rules)
 
-    inside = _gathered(_placed(rows, carried, rules, limits).filter(~F.col("_crosses")))
-    best = F.array_max("speakers")["speaker"]
-    inside = inside.select(KEY, "sent_no", F.explode("parts").alias("_p"), best.alias("speaker"))
-    inside = inside.select(KEY, "sent_no", "_p.part_no", "_p.text", "speaker")
-
-    # Sentences over several blocks: only blocks that have such take part.
-    across = _gathered(_placed(rows, carried.filter("crosses"), rules, limits).filter("_crosses"))
-    parts = across.select(*_BLOCK, "sent_no", F.posexplode("parts").alias("_at", "_p"), "speakers")
-    parts = parts.groupBy(KEY, "sent_no", "_p.part_no").agg(
-        F.array_sort(F.collect_list(F.struct("block", "_p.text"))).alias("_t"),
-        F.flatten(F.collect_list(F.when(F.col("_at") == 0, F.col("speakers")))).alias("speakers"),
+    found = _gathered(_placed(rows, carried, rules, limits))
+    # Only finished texts move again; what blocks hold of one part is put together.
+    parts = found.groupBy(KEY, "sent_no", "part_no").agg(
+        F.array_sort(F.collect_list(F.struct("block", "text"))).alias("_t"), F.first("speaker").alias("speaker")
     )
     text = F.array_join(F.transform("_t", lambda t: t["text"]), "")
-    texts = parts.select(KEY, "sent_no", "part_no", text.alias("text"))
-    tallies = parts.select(KEY, "sent_no", F.explode("speakers").alias("_s")).groupBy(KEY, "sent_no", "_s.speaker")
-    tallies = tallies.agg(F.sum("_s.n").alias("n"), F.max("_s.early").alias("early"))
-    best = tallies.groupBy(KEY, "sent_no").agg(F.max_by("speaker", F.struct("n", "early")).alias("speaker"))
-    across = texts.join(best, [KEY, "sent_no"], "left").select(KEY, "sent_no", "part_no", "text", "speaker")
-    return _trimmed(inside.unionByName(across))
+    # The space that the first piece brings along is none of the sentence's.
+    text = F.when(F.col("part_no") == 0, F.ltrim(text)).otherwise(text)
+    return parts.select(KEY, "sent_no", "part_no", text.alias("text"), "speaker")
 
 
 def texts_to_sentences(texts: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:

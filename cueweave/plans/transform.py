@@ -164,9 +164,11 @@ def sentences(
     gap_seconds: float = 0.9,
     hard_gap_seconds: float = 1.8,
     limits: Limits = DEFAULT_LIMITS,
+    ranked: bool = True,
 ) -> DataFrame:
     """Sentences with ranked speakers and final text, from words or else segments.
 
+    ``ranked=False`` keeps speakers' own names, for outputs that show none.
     Words are read and moved once, whatever a recording's size; ``part_no`` as in
     :func:`words_to_sentences`.  Parts of a long sentence are cleaned and written in the other
     script one by one.
@@ -179,7 +181,7 @@ def sentences(
         hard_gap_seconds,
         pause_detection=pause_detection,
         limits=limits,
-        ranked=True,
+        ranked=ranked,
     )
     found = spoken.unionByName(segments_to_sentences(source).withColumn("part_no", F.lit(0).cast("bigint")))
     change = output_text(clean, script)
