@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -18,6 +19,7 @@ from cueweave.operators import attachments as att  # noqa: E402
 from cueweave.operators import speakers, words as word_ops  # noqa: E402
 from cueweave.operators import subtitles as srt  # noqa: E402
 from cueweave.operators.cues import cue_runs, words_to_cues  # noqa: E402
+from cueweave.operators.ordered import shared_folder  # noqa: E402
 from cueweave.operators.sentences import (  # noqa: E402
     segments_to_sentences,
     texts_to_sentences,
@@ -28,6 +30,7 @@ from cueweave.schemas import BASIC, DEFAULT_LIMITS, SOCIAL, STANDARD  # noqa: E4
 from cueweave.sources.derived import transcripts_from_documents  # noqa: E402
 from cueweave.sources.files import choose_names, file_name, media_catalog, spread  # noqa: E402
 from cueweave.sources.transcripts import parsed, quarantine  # noqa: E402
+from cueweave.streaming.tables import closing_token, run_to_table, spoken_runs, stream_table  # noqa: E402
 from cueweave.sources.tables import has_oversize, with_punctuation_tokens, words_from_turns  # noqa: E402
 from oracle import sql  # noqa: E402
 
@@ -250,6 +253,11 @@ def q_srt_social_variants(spark, d):
     return srt.social_variants(_cues(spark, d, SOCIAL))
 
 
+def q_srt_social_own(spark, d):
+    """Script variants of a text that a transform of one's own has changed before."""
+    return srt.social_variants(_cues(spark, d, SOCIAL), ("cyrillic", "raw"), transform=lambda t: F.concat(F.lit("- "), t))
+
+
 def q_subtitle_lines(spark, d):
     files = srt.subtitle_files(srt.standard_blocks(_cues(spark, d)))
     return srt.text_lines(files, "srt_text", "transcript_id", "part_no")
@@ -260,6 +268,23 @@ def q_srt_to_cyrillic(spark, d):
     return srt.lines_to_cyrillic(lines)
 
 
+def q_streamed_cyrillic(spark, d):
+    """The same rows from a stream of the table's files."""
+    pages = stream_table(spark, f"{d}/pages.parquet")
+    return run_to_table(srt.lines_to_cyrillic(srt.text_lines(pages, "html", "page_id")))
+
+
+def q_streamed_runs(spark, d):
+    """Runs of speech of the documents from a stream of landed words, each delivered twice."""
+    folder = f"{shared_folder(spark)}/words/{uuid.uuid4().hex}"
+    tokens = word_ops.cue_tokens(_document_words(spark, d)).drop("speaker")
+    for part in ("a", "b"):
+        tokens.write.parquet(f"{folder}/{part}")
+    closing_token(spark.read.parquet(f"{folder}/a")).write.parquet(f"{folder}/z")
+    stream = spark.readStream.schema(tokens.schema).parquet(f"{folder}/*")
+    return run_to_table(spoken_runs(stream, BASIC.gap_seconds))
+
+
 def q_srt_files_to_cyrillic(spark, d):
     files = srt.subtitle_files(srt.standard_blocks(_cues(spark, d)))
     return srt.files_to_cyrillic(files, "srt_text")
@@ -290,6 +315,14 @@ def q_clean_text(spark, d):
     return _seeded(spark, d).select("doc_id", text.clean_text(F.col("text")).alias("text"))
 
 
+def q_clean_summary(spark, d):
+    """Rows that each rule of the clean-up changes, counted while the texts are rewritten."""
+    seen = Observation()
+    cleaned = transform.observed_clean(_seeded(spark, d), "text", seen, marker_breaks=True)
+    cleaned.write.format("noop").mode("overwrite").save()
+    return transform.rule_counts(spark, seen)
+
+
 def q_clean_text_breaks(spark, d):
     cleaned = text.clean_text(F.col("text"), marker_breaks=True)
     return _seeded(spark, d).select("doc_id", cleaned.alias("text"))

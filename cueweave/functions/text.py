@@ -211,6 +211,18 @@ def clean_text(text: Column, marker_breaks: bool = False) -> Column:
     return capitalize_sentences(tidy_readable(out))
 
 
+#: The rules of ``clean_text`` in order, by name; "breaks" is for whole transcripts only.
+CLEAN_STEPS = (
+    ("spacing", tidy_readable),
+    ("apostrophes", repair_apostrophes),
+    ("common_words", replace_common_words),
+    ("names", capitalize_names),
+    ("breaks", break_before_markers),
+    ("spacing_again", tidy_readable),
+    ("capitals", capitalize_sentences),
+)
+
+
 def clean_token(text: Column) -> Column:
     """Clean-up of one word, without touching spacing or sentence starts."""
     return capitalize_names(replace_common_words(repair_apostrophes(text)))

@@ -56,23 +56,28 @@ def social_blocks(cues: DataFrame, transform: Transform | None = None) -> DataFr
 
 
 def social_variants(
-    cues: DataFrame, variants: tuple[str, ...] = ("cyrillic", "latin", "raw"), clean: bool = False
+    cues: DataFrame,
+    variants: tuple[str, ...] = ("cyrillic", "latin", "raw"),
+    clean: bool = False,
+    transform: Transform | None = None,
 ) -> DataFrame:
     """Blocks of several script variants from one set of cues: ``variant, ...``.
 
     The cues are built once; each row is repeated per variant and rewritten in place.
+    A ``transform`` of one's own comes after the clean-up and before the script.
     """
     each = cues.withColumn("variant", F.explode(F.array(*[F.lit(v) for v in variants])))
 
-    def transform(text: Column) -> Column:
+    def rewritten(text: Column) -> Column:
         text = clean_text(text) if clean else text
+        text = text if transform is None else transform(text)
         return (
             F.when(F.col("variant") == "cyrillic", to_cyrillic(text))
             .when(F.col("variant") == "latin", to_latin(text))
             .otherwise(text)
         )
 
-    return social_blocks(each, transform)
+    return social_blocks(each, rewritten)
 
 
 def subtitle_files(

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cueweave.functions.script import in_script
-from cueweave.functions.text import clean_text, clean_token
+from cueweave.functions.text import CLEAN_STEPS, clean_text, clean_token
 from cueweave.operators.cues import words_to_cues
 from cueweave.operators.ordered import KEY
 from cueweave.operators.sentences import segments_to_sentences, words_to_sentences
@@ -36,6 +36,33 @@ def output_text(clean: bool = False, script: str = "latin") -> Callable[[Column]
     return lambda text: in_script(clean_text(text) if clean else text, script)
 
 
+def observed_clean(
+    texts: DataFrame, text: str, observation: Observation, marker_breaks: bool = False
+) -> DataFrame:
+    """``texts`` with one column cleaned; ``observation`` counts the rows each rule changes.
+
+    The counts are metrics of whatever job writes the result: nothing is read twice.
+    :func:`rule_counts` turns them into rows once that job has ended.  Null texts stay null and count
+    as rows only.
+    """
+    steps = [(name, rule) for name, rule in CLEAN_STEPS if marker_breaks or name != "breaks"]
+    out, before, changed = texts, text, []
+    for name, rule in steps:
+        out = out.withColumn(f"_{name}", rule(F.col(before)))
+        changed.append(F.count_if(F.col(f"_{name}") != F.col(before)).alias(name))
+        before = f"_{name}"
+    counted = out.observe(observation, F.count(F.lit(1)).alias("rows"), *changed)
+    return counted.select(*[F.col(before).alias(text) if c == text else F.col(c) for c in texts.columns])
+
+
+def rule_counts(spark: SparkSession, observation: Observation) -> DataFrame:
+    """``step, rule, n_changed, n_rows`` of an ended :func:`observed_clean`, in order of the rules."""
+    found = observation.get
+    rules = [name for name, _ in CLEAN_STEPS if name in found]
+    rows = [(step, name, found[name], found["rows"]) for step, name in enumerate(rules, 1)]
+    return spark.createDataFrame(rows, "step int, rule string, n_changed bigint, n_rows bigint")
+
+
 def clean_transcripts(transcripts: DataFrame, clean_words: bool = True) -> DataFrame:
     """Cleaned copies: text, segment texts and word texts; everything else as it was.
 
@@ -143,11 +170,15 @@ def social_subtitles(
     variants: tuple[str, ...] = ("cyrillic", "latin", "raw"),
     clean: bool = False,
     pause_detection: bool = False,
+    transform: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """Single-line subtitle files, one per transcript and script variant."""
+    """Single-line subtitle files, one per transcript and script variant.
+
+    ``transform`` rewrites the text of every cue before its script is changed.
+    """
     cues = words_to_cues(_words(transcripts, clean), SOCIAL, pause_detection, oversize=False)
     every = transcripts.select(KEY, F.explode(F.array(*[F.lit(v) for v in variants])).alias("variant"))
-    return subtitle_files(social_variants(cues, variants, clean), every)
+    return subtitle_files(social_variants(cues, variants, clean, transform), every)
 
 
 def basic_subtitles(transcripts: DataFrame, pause_detection: bool = False) -> DataFrame:

@@ -406,7 +406,10 @@ def token(text: str) -> str:
 
 def clean(text: str, breaks: bool = False) -> str:
     out = token(replace_all(text, *TIDY))
-    out = replace_all(out, *(BREAKS if breaks else ()), *TIDY)
+    return capitals(replace_all(out, *(BREAKS if breaks else ()), *TIDY))
+
+
+def capitals(out: str) -> str:
     letters = "[a-zа-яё]"
     marked = f"regexp_replace({out}, '(\\n|[.!?…]\\s+)({letters})', '\\1' || chr(1) || '\\2', 'g')"
     return (
@@ -415,6 +418,16 @@ def clean(text: str, breaks: bool = False) -> str:
     )
 
 
+CLEAN_STEPS = (
+    ("spacing", replace_all("text", *TIDY)),
+    ("apostrophes", replace_all("text", APOSTROPHE, APOSTROPHE)),
+    ("common_words", replace_all("text", *CLEAN_WORDS[:16])),
+    ("names", replace_all("text", *CLEAN_WORDS[16:])),
+    ("breaks", replace_all("text", *BREAKS)),
+    ("spacing_again", replace_all("text", *TIDY)),
+    ("capitals", capitals("text")),
+)
+
 SEEDED = f"seeded AS (SELECT doc_id, text || {pick(PHRASES, 'doc_id')} AS text FROM documents)"
 
 TRANSCRIPTS = """
@@ -586,6 +599,9 @@ SELECT transcript_id, sent_no, CASE WHEN speaker <> '' THEN '[' || speaker || ']
     found["pause_detection"] = with_(
         WORDS, PAUSES, select='SELECT transcript_id, idx, "end" AS speech_end, pause_gap FROM paused')
 
+    found["streamed_runs"] = with_(DOCUMENT_WORDS, NO_PAUSES, runs_cte("basic"), select="""
+SELECT transcript_id, min(idx) AS run, min(st) AS "start", max(en) AS "end", count(*) AS n_words
+FROM runs GROUP BY transcript_id, run""")
     found["cue_tokens"] = with_(WORDS, PUNCTUATED, select="""
 SELECT transcript_id, idx, text, "start", "end", speaker FROM words_p WHERE type = 'word' AND text <> ''""")
     short = cues_cte("basic").replace("84", "60").replace("5.5", "3.0")
@@ -624,11 +640,19 @@ FROM cues GROUP BY ALL""", recursive=True)
 SELECT 'raw' AS variant, transcript_id, cue_no, {block('text')} AS block FROM cues
 UNION ALL SELECT 'cyrillic', transcript_id, cue_no, {block(cyrillic('text'))} FROM cues
 UNION ALL SELECT 'latin', transcript_id, cue_no, {block(latin('text'))} FROM cues""", recursive=True)
+    found["srt_social_own"] = with_(WORDS, cues_cte("social"), select=f"""
+SELECT 'raw' AS variant, transcript_id, cue_no, {block("('- ' || text)")} AS block FROM cues
+UNION ALL SELECT 'cyrillic', transcript_id, cue_no, {block(cyrillic("('- ' || text)"))} FROM cues""", recursive=True)
+    steps = [f"c{i} AS (SELECT doc_id, {rule} AS text FROM {f'c{i - 1}' if i > 1 else 'seeded'})" for i, (_, rule) in enumerate(CLEAN_STEPS, 1)]
+    found["clean_summary"] = with_(SEEDED, *steps, select="\nUNION ALL ".join(
+        f"""SELECT CAST({i} AS INTEGER) AS step, '{name}' AS rule, count(*) FILTER (WHERE a.text <> b.text) AS n_changed, count(*) AS n_rows
+FROM {f'c{i - 1}' if i > 1 else 'seeded'} a JOIN c{i} b USING (doc_id)""" for i, (name, _) in enumerate(CLEAN_STEPS, 1)))
     found["subtitle_lines"] = with_(
         WORDS, standard, wrapped, FILES, lines_cte("parts", "transcript_id, part_no", "srt_text"),
         select="SELECT * FROM lines", recursive=True)
     found["srt_to_cyrillic"] = with_(lines_cte("pages", "page_id", "html"), select=f"""
 SELECT page_id, line_no, CASE WHEN {meta('line')} THEN line ELSE {body_cyrillic('line')} END AS line FROM lines""")
+    found["streamed_cyrillic"] = found["srt_to_cyrillic"]
     found["srt_files_to_cyrillic"] = with_(
         WORDS, standard, wrapped, FILES, lines_cte("parts", "transcript_id, part_no", "srt_text"),
         select=f"""

@@ -1,12 +1,15 @@
 import base64
 import json
 import mimetypes
+import random
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from cueweave.operators import attachments as att
-from cueweave.operators.cues import words_to_cues
+from cueweave.functions.text import clean_text
+from cueweave.operators.cues import cue_runs, words_to_cues
 from cueweave.operators.subtitles import (
     files_to_cyrillic,
     lines_to_cyrillic,
@@ -17,6 +20,7 @@ from cueweave.operators.subtitles import (
 from cueweave.operators.words import cue_tokens, untimed_words, words_from_transcripts
 from cueweave.plans import incremental, transform
 from cueweave.plans.writing import write_combined, write_parts, write_table
+from cueweave.schemas import BASIC
 from cueweave.sources.files import media_files
 from cueweave.sources.subtitles import read_subtitle_lines, read_subtitles
 from cueweave.sources.transcripts import (
@@ -27,6 +31,7 @@ from cueweave.sources.transcripts import (
     stem_clashes,
 )
 from cueweave.streaming.ingest import run_incrementally, stream_transcripts
+from cueweave.streaming.tables import closing_token, run_to_table, spoken_runs, stream_table
 
 
 def word(text, start, end, **more):
@@ -344,3 +349,65 @@ def test_row_jobs_on_a_stream(spark, tmp_path):
     )
     query.awaitTermination()
     assert sorted(r.value for r in spark.read.parquet(str(out)).collect()) == ["1", "салом"]
+
+
+def test_own_transform_of_social_files(spark, corpus):
+    df = read_transcripts(spark, f"{corpus}/{NAMES[0]}")
+    got = {r.variant: r.srt_text for r in transform.social_subtitles(df, transform=lambda t: F.concat(t, F.lit(" ha"))).collect()}
+    assert "yozdim ha" in got["raw"] and "ёздим ҳа" in got["cyrillic"]
+    for name, plain in {r.variant: r.srt_text for r in transform.social_subtitles(df).collect()}.items():
+        assert got[name].count("\n") == plain.count("\n")
+
+
+def test_clean_up_counts_what_it_changes(spark):
+    texts = ["man manga boraman", "Toza gap.", "iso masih  bilan", None, "qur'on. keyin", "Bir Keyin ikki"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    seen = Observation()
+    out = transform.observed_clean(df, "t", seen, marker_breaks=True)
+    want = df.select("k", clean_text(F.col("t"), marker_breaks=True).alias("t"))
+    assert out.columns == df.columns and sorted(out.collect()) == sorted(want.collect())
+    counts = {r.rule: (r.step, r.n_changed, r.n_rows) for r in transform.rule_counts(spark, seen).collect()}
+    assert counts["spacing"] == (1, 1, 6) and counts["common_words"] == (3, 1, 6) and counts["names"] == (4, 2, 6)
+    assert counts["breaks"] == (5, 1, 6) and counts["capitals"][1] == 2  # the first text begins a sentence too
+    assert "breaks" not in {r.rule for r in transform.rule_counts(spark, _observed(df)).collect()}
+
+
+def _observed(df):
+    seen = Observation()
+    transform.observed_clean(df, "t", seen).collect()
+    return seen
+
+
+TOKENS = "transcript_id string, n_words long, idx long, text string, start double, end double, pause_after boolean"
+
+
+def test_runs_on_a_stream_equal_the_batch_rule(spark, tmp_path):
+    """Words in pieces, out of order within the lateness, some delivered twice."""
+    rng = random.Random(8)
+    rows = []
+    for rec in "abc":
+        at = 0
+        for i in range(120):
+            at += rng.choice([0, 40, 899, 900, 901, 2_000])
+            rows.append((rec, 120, 3 * i, "so", at / 1000, (at + 300) / 1000, False))
+            at += 300
+    pieces = [rows[i::4] + rows[:5] for i in range(4)]
+    for i, piece in enumerate(pieces):
+        spark.createDataFrame(piece, TOKENS).coalesce(1).write.parquet(f"{tmp_path}/in/p{i}")
+    tokens = spark.createDataFrame(rows, TOKENS)
+    closing_token(tokens).write.parquet(f"{tmp_path}/in/z")
+    stream = spark.readStream.schema(tokens.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    found = run_to_table(spoken_runs(stream, BASIC.gap_seconds), f"{tmp_path}/out")
+    runs = cue_runs(tokens, BASIC).groupBy("transcript_id", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_words")
+    )
+    assert sorted(found.collect()) == sorted(runs.collect())
+    again = run_to_table(spoken_runs(stream, BASIC.gap_seconds), f"{tmp_path}/out")  # nothing new: nothing twice
+    assert again.count() == found.count()
+
+
+def test_stream_of_a_table(spark):
+    path = "/root/testdata/sf0.001/pages.parquet"
+    pages = spark.read.parquet(path)
+    lines = lambda df: lines_to_cyrillic(text_lines(df, "html", "page_id"))
+    assert sorted(run_to_table(lines(stream_table(spark, path))).collect()) == sorted(lines(pages).collect())
