@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cueweave.llm import packing
-from test_groups import least_reachable, slow_fingerprint
+from test_groups import least_reachable
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -41,11 +41,20 @@ def test_language_rejects_only_what_is_no_language(stages):
     assert after.count() == before.count() - 3
 
 
+def shingle_sets(rows):
+    sets = []
+    for text in rows:
+        w = (text or "").encode().lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    return sets
+
+
 def test_one_of_each_group_stays(stages):
+    """Groups are linked at 0.8 of the five-word shingles of two texts in common."""
     before, after = stages["near_duplicates"]
     rows = sorted(before.collect(), key=lambda r: (r.doc_id is None, r.doc_id))
-    prints = np.array([slow_fingerprint(r.text, 5) for r in rows], dtype=np.uint64)
-    near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 6
+    sets = shingle_sets([r.text for r in rows])
+    near = np.array([[5 * len(a & b) >= 4 * len(a | b) for b in sets] for a in sets])
     ids = list(range(len(rows)))  # rows are in order of id
     want = [rows[i] for i in sorted(set(least_reachable(near, ids)))]
     assert sorted(map(str, after.collect())) == sorted(map(str, want))
@@ -66,10 +75,7 @@ def test_groups_are_those_of_exact_similarity(spark):
     rows += [(4_000, None), (4_001, " \t"), (4_002, "one two"), (4_003, "one TWO")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     rows.sort(key=lambda r: (r[0] is None, r[0]))
-    sets = []
-    for _, text in rows:
-        w = (text or "").lower().split()
-        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    sets = shingle_sets([text for _, text in rows])
     near = np.array([[5 * len(a & b) >= 4 * len(a | b) for b in sets] for a in sets])
     want = [rows[i] for i in sorted(set(least_reachable(near, list(range(len(rows))))))]
     found = corpus_pipeline.near_duplicates(spark, df, FOLDER).collect()
