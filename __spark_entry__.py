@@ -446,6 +446,11 @@ def q_sentence_files(spark, d):
     return transform.sentence_files(transform.sentences(_transcripts(spark, d), script="source", ranked=False))
 
 
+def q_combined_manifest(spark, d):
+    """Where each recording's text lies in the combined one."""
+    return transform.combined_manifest(q_sentence_files(spark, d))
+
+
 def q_output_totals(spark, d):
     words, big = _words(spark, d), _oversize(spark, d)
     return transform.output_totals(

@@ -166,3 +166,20 @@ def _carry(df: DataFrame, order: str, backward, following, running, total) -> Da
         *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_far_{n}") for n in running],
         *[F.sum(n).over(Window.partitionBy(KEY)).alias(n) for n in total],
     )
+
+
+def offsets(df: DataFrame, order: list[str], size: str, name: str) -> DataFrame:
+    """Add ``name``: the sum of ``size`` over all rows before, in one order of the whole frame.
+
+    Rows are sorted by range; a range sums up by itself, and what precedes it comes from one row per
+    range, so no task sees the whole frame.  ``order`` must tell rows apart.
+    """
+    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    kept = materialize(ranged)
+    ranges = kept.groupBy("_range").agg(F.sum(size).alias("_sum"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per shuffle partition.
+    before = ranges.select("_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    seen = kept.withColumn("_inside", F.coalesce(F.sum(size).over(inside), F.lit(0)))
+    return seen.join(F.broadcast(before), "_range").select(*df.columns, (F.col("_before") + F.col("_inside")).alias(name))

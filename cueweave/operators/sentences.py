@@ -38,18 +38,23 @@ class _Rules:
     """When a token begins a sentence, and what its row must hold to tell."""
 
     def __init__(self, timing: bool, gap_seconds: float, hard_gap_seconds: float, ranked: bool):
-        # Ranks need times; so that all looks at the words read the same columns, limits are then infinite.
+        # Ranks need times: then all looks at the words read them, so that they read the same exchange.
         self.timed = timing or ranked
         self.timing, self.ranked = timing, ranked
-        self.gap, self.hard_gap = (gap_seconds, hard_gap_seconds) if timing else (float("inf"),) * 2
+        self.gap, self.hard_gap = gap_seconds, hard_gap_seconds
 
     def by_time(self, start: Column, opens: Column, word_before: Column) -> Column:
         """Whether a word begins one because of the pause after the word before; false without one."""
         if not self.timed:
             return F.lit(False)
         gap = F.greatest(start - word_before["end"], F.lit(0.0))
-        flagged = min(self.gap, PAUSE_SECONDS) if self.timing else self.gap
-        breaks = (gap >= self.hard_gap) | ((gap >= self.gap) & opens) | (word_before["pause_after"] & (gap >= flagged))
+        breaks = (
+            (gap >= self.hard_gap)
+            | ((gap >= self.gap) & opens)
+            | (word_before["pause_after"] & (gap >= min(self.gap, PAUSE_SECONDS)))
+        )
+        if not self.timing:
+            breaks = word_before["pause_after"] & (gap < 0)  # never
         return F.coalesce(breaks, F.lit(False))
 
 
@@ -194,6 +199,7 @@ def _carried(rows: DataFrame, rules: _Rules) -> DataFrame:
     if rules.ranked:
         each = each.join(_ranks(rows).toDF(*_BLOCK, "speaker", "label"), [*_BLOCK, "speaker"], "left")
         name = F.coalesce("label", "speaker")
+
     # Who says most in the sentences that a block shares with others: the open one and its last one.
     def vote(kind: str, sent: Column, n: Column, first: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), sent.alias("sent"), n.alias("n"), first.cast("bigint").alias("first"))

@@ -1,8 +1,8 @@
 """Transcripts to subtitles, sentence texts, cleaned transcripts.
 
 A transcript row holds its recording whole, so one task has had room for it already
-and the recording is worked on whole.  Tables of words have no such bound: use the
-operators directly, which cut oversize recordings into blocks.
+and its cues are made whole.  Tables of words have no such bound: use the cue operators
+directly, which cut oversize recordings into blocks.  Sentences have one plan for all sizes.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cueweave.functions.script import in_script
 from cueweave.functions.text import CLEAN_STEPS, clean_text, clean_token
 from cueweave.operators.cues import words_to_cues
-from cueweave.operators.ordered import KEY
+from cueweave.operators.ordered import KEY, offsets
 from cueweave.operators.sentences import segments_to_sentences, words_to_sentences
 from cueweave.operators.speakers import tagged_lines
 from cueweave.operators.subtitles import (
@@ -242,6 +242,16 @@ def combined_lines(found: DataFrame) -> DataFrame:
     return lines.orderBy(*[c for c in (KEY, "sent_no", "part_no") if c in lines.columns])
 
 
+def combined_manifest(files: DataFrame) -> DataFrame:
+    """``transcript_id, part_no, byte_offset, n_bytes, md5``: where each part of ``sentence_files`` lies in the combined text.
+
+    Parts can be written side by side, each at its offset: nothing is sorted or gathered for that.
+    """
+    body = F.col("txt").cast("binary")
+    sizes = files.select(KEY, "part_no", F.octet_length("txt").cast("bigint").alias("n_bytes"), F.md5(body).alias("md5"))
+    return offsets(sizes, [KEY, "part_no"], "n_bytes", "byte_offset").select(KEY, "part_no", "byte_offset", "n_bytes", "md5")
+
+
 def combined_name(transcripts: DataFrame) -> DataFrame:
     """``n_files, out_name`` for the combined text, from what the stems share.
 

@@ -747,6 +747,13 @@ FROM shown LEFT JOIN main USING (transcript_id)""")
     found["sentence_files"] = with_(*flow, select="""
 SELECT transcript_id, (sent_no - 1) // 5000 AS part_no, string_agg(text, chr(10) ORDER BY sent_no) || chr(10) AS txt
 FROM all_sentences GROUP BY ALL""")
+    found["combined_manifest"] = with_(*flow, """
+files AS (
+  SELECT transcript_id, (sent_no - 1) // 5000 AS part_no, string_agg(text, chr(10) ORDER BY sent_no) || chr(10) AS txt
+  FROM all_sentences GROUP BY ALL)""", select="""
+SELECT transcript_id, part_no, CAST(coalesce(sum(octet_length(encode(txt))) OVER (
+         ORDER BY transcript_id, part_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset,
+       octet_length(encode(txt)) AS n_bytes, md5(txt) AS md5 FROM files""")
     counted = "SELECT '{0}' AS output, count(*) AS n_rows, count(DISTINCT transcript_id) AS n_transcripts FROM ({1})"
     found["output_totals"] = "\nUNION ALL ".join(
         counted.format(name, statement)

@@ -1,4 +1,5 @@
 import base64
+import hashlib
 import json
 import mimetypes
 import random
@@ -21,6 +22,7 @@ from cueweave.operators.words import cue_tokens, untimed_words, words_from_trans
 from cueweave.plans import incremental, transform
 from cueweave.plans.writing import write_combined, write_parts, write_table
 from cueweave.schemas import BASIC
+from cueweave.sources.derived import transcripts_from_documents
 from cueweave.sources.files import media_files
 from cueweave.sources.subtitles import read_subtitle_lines, read_subtitles
 from cueweave.sources.transcripts import (
@@ -411,3 +413,17 @@ def test_stream_of_a_table(spark):
     pages = spark.read.parquet(path)
     lines = lambda df: lines_to_cyrillic(text_lines(df, "html", "page_id"))
     assert sorted(run_to_table(lines(stream_table(spark, path))).collect()) == sorted(lines(pages).collect())
+
+
+def test_parts_at_their_offsets_are_the_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = transform.sentences(transcripts_from_documents(docs), script="source")
+    files = transform.sentence_files(found, part_lines=7)
+    texts = {(r.transcript_id, r.part_no): r.txt.encode() for r in files.collect()}
+    whole = "".join(r.line + "\n" for r in transform.combined_lines(found).collect()).encode()
+    rows = transform.combined_manifest(files).collect()
+    assert len(rows) == len(texts) and sum(r.n_bytes for r in rows) == len(whole)
+    for r in rows:
+        text = texts[r.transcript_id, r.part_no]
+        assert whole[r.byte_offset : r.byte_offset + r.n_bytes] == text and r.md5 == hashlib.md5(text).hexdigest()
+    assert transform.combined_manifest(files.limit(0)).count() == 0
