@@ -185,14 +185,18 @@ def insert(exits: DataFrame, trie: DataFrame | None, seqs: DataFrame) -> DataFra
         names = new.filter("d = p + 1").select(F.col("key").alias("name")).distinct()
         cut = stored(trie.join(names, "name", "left_semi").select(*TRIE))
         new = new.unionByName(_unfold(cut.select("owner", "p", "e"), seqs))
-    first = [F.first(c).alias(c) for c in ("d", "up", "w", "upto")]
+    # All rows of a key hang below one compacted node, at depth p.
+    first = [F.first(c).alias(c) for c in ("d", "up", "w", "upto", "p")]
     nodes = stored(new.groupBy("key").agg(F.min("owner").alias("owner"), F.max(F.col("d") == F.col("e")).alias("ends"), *first))
     kids = nodes.groupBy("up").agg(F.count("*").alias("kids")).withColumnRenamed("up", "key")
-    stops = nodes.join(kids, "key", "left").filter("ends OR kids > 1").select("key", "owner", F.col("d").alias("e"), F.col("upto").alias("end"))
-    # An owner's nodes go from some depth to its end; above that depth there is a compacted node.
-    tops = nodes.groupBy("owner").agg((F.min("d") - 1).alias("top"))
-    above = F.lag("e").over(Window.partitionBy("owner").orderBy("e"))
-    edges = stops.withColumn("_above", above).join(tops, "owner").withColumn("p", F.coalesce("_above", "top")).drop("_above", "top")
+    stops = nodes.join(kids, "key", "left").filter("ends OR kids > 1")
+    stops = stops.select("key", "owner", F.col("d").alias("e"), F.col("upto").alias("end"), F.col("p").alias("_below"))
+    # Below one node, an owner's nodes go from some depth to its end; above that depth there is a
+    # compacted node.  An owner of several cut edges has nodes below several, with gaps between.
+    tops = nodes.groupBy("owner", F.col("p").alias("_below")).agg((F.min("d") - 1).alias("top"))
+    above = F.lag("e").over(Window.partitionBy("owner", "_below").orderBy("e"))
+    edges = stops.withColumn("_above", above).join(tops, ["owner", "_below"]).withColumn("p", F.coalesce("_above", "top"))
+    edges = edges.drop("_above", "top", "_below")
     begins = nodes.select("owner", (F.col("d") - 1).alias("p"), F.col("up").alias("parent"), F.col("key").alias("name"), (F.col("upto") - F.col("w")).alias("begin"))
     fats = nodes.select("owner", F.col("d").alias("f"), F.col("key").alias("handle"))
     edges = edges.join(begins, ["owner", "p"]).withColumn("f", two_fattest(F.col("p"), F.col("e"))).join(fats, ["owner", "f"])

@@ -126,3 +126,25 @@ def test_location_asks_few_handles(spark):
     for r in trie.locate(lengths.filter("owner >= 40"), built, paths).collect():
         s = seqs[r.owner]
         assert r.p == max([d for d in range(1, len(s) + 1) if tuple(s[:d]) in explicit], default=0)
+
+
+def test_edges_cut_far_apart(spark):
+    """A batch parts from two edges of one conversation, and leaves the one between them whole."""
+    ids = [r.id for r in spark.range(400).filter(F.pmod(F.xxhash64("id"), F.lit(trie.GROWTH)) == 0).collect()]
+    later = [r.id for r in spark.range(400, 500).filter(F.pmod(F.xxhash64("id"), F.lit(trie.GROWTH)) != 0).collect()]
+    turn = [("user", f"t{d}") for d in range(12)]
+    seqs = {ids[0]: turn}
+    for c, at in zip(ids[1:3], (4, 8), strict=True):  # parts the first conversation into three edges
+        seqs[c] = turn[:at] + [("user", f"first {c}")]
+    for c, at in zip(later[:3], (2, 10, 10), strict=True):
+        seqs[c] = turn[:at] + [("user", f"second {c}")]
+    rng = random.Random(5)
+    for at, c in enumerate(ids[3:] + later[3:]):  # random trees over few turns
+        tree = at % 8
+        seqs[c] = [("user", f"tree {tree}")] + [("user", "x " * rng.choice([1, 1, 1, 1, 2])) for _ in range(rng.randrange(14))]
+    rows = [(c, d, *t) for c, s in seqs.items() for d, t in enumerate(s, 1)]
+    texts = spark.createDataFrame(rows, "conv_id bigint, d bigint, role string, text string")
+    hashed = [F.xxhash64("role", "text").alias("t1"), F.xxhash64("text", F.lit(1), "role").alias("t2")]
+    turns = texts.select("conv_id", "d", *hashed, trie.word_count(F.col("text")).alias("w"))
+    convs = spark.createDataFrame([(c,) for c in seqs], "conv_id bigint")
+    assert found(trie.nodes(turns, convs, 2)) == slow_nodes(seqs)
