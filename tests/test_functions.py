@@ -1,9 +1,11 @@
+import random
+
 import brute
 import pytest
 from pyspark.sql import functions as F
 
 from cueweave.functions.pauses import with_pauses
-from cueweave.functions.script import in_script, to_cyrillic, to_latin
+from cueweave.functions.script import LATIN, LATIN_AS_CYRILLIC, PAIRS, in_script, to_cyrillic, to_latin
 from cueweave.functions.subtitles import (
     cyrillic_file_name,
     is_meta_line,
@@ -11,10 +13,20 @@ from cueweave.functions.subtitles import (
     wrap_two_lines,
 )
 from cueweave.functions.text import (
+    _W,
+    APOSTROPHES,
+    COMMON_WORDS,
+    EDGE,
+    GLUED_CLASS,
+    NOT_SPACE_OR_STOP,
+    PROPER_NOUNS,
     SPACE,
     break_before_markers,
+    capitalize_names,
     clean_text,
     clean_token,
+    repair_apostrophes,
+    replace_common_words,
     strip_space,
     tidy_readable,
     tidy_spaces,
@@ -215,3 +227,52 @@ def test_detected_pauses_split_cues_and_sentences(spark):
 def test_own_markers_are_plain_text(spark):
     got = applied(spark, lambda c: break_before_markers(c, ("A.B", "C")), ["x AxB y", "x A.B y", "x C y"])
     assert got == ["x AxB y", "x. A.B y", "x. C y"]
+
+
+def test_rules_that_look_first_change_what_plain_patterns_change(spark):
+    """Searches before a rule spare passes, and no result: every rule against its patterns alone."""
+    rng = random.Random(8)
+    bits = " |  |\n|\t|\xa0|\u2003|.|,|!|…| .| \n|e|E|sh|ſh|SH|Yo|o'|O‘|ng|NG|man|Manga|mİsofir|bir birİmiz|bir bir|ota onam"
+    bits = (bits + "|iso masih|ıso|İso\nmasih|farg'ona|FARG`ona|o’zbekiston|qur'on|xudoga|Roſſiya|novosibirsK|a|b|1|_|ß|ў").split("|")
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(14))) for _ in range(3_000)] + ["", None, "\n", " \n"]
+
+    def chain(*steps):
+        def change(text):
+            for pattern, form in steps:
+                text = F.regexp_replace(text, pattern, form)
+            return text
+
+        return change
+
+    tidy = chain(
+        (r"[ \t\xa0]+", " "),
+        (rf"{SPACE}+({GLUED_CLASS})", "$1"),
+        (rf"({GLUED_CLASS})(?={NOT_SPACE_OR_STOP})", "$1 "),
+        (rf"{SPACE}*\n{SPACE}*", "\n"),
+        (r" {2,}", " "),
+        (rf"^{SPACE}+|{SPACE}+\z", ""),
+    )
+    apostrophes = chain((rf"(?<=[A-Za-z]){APOSTROPHES}(?=[A-Za-z])", "’"))
+    words, names = (
+        chain(*[(f"(?iu){w}(?<!{_W}{w}){rest}{EDGE}", form) for w, rest, form in rules]) for rules in (COMMON_WORDS, PROPER_NOUNS)
+    )
+    letters = chain((APOSTROPHES, "'"), *PAIRS, (r"(?<!\p{L})e", "э"), (r"(?<!\p{L})E", "Э"))
+    source, target = LATIN + LATIN.upper() + "\u212a'", LATIN_AS_CYRILLIC + LATIN_AS_CYRILLIC.upper() + "Къ"
+    for rule, plain in (
+        (tidy_readable, tidy),
+        (repair_apostrophes, apostrophes),
+        (replace_common_words, words),
+        (capitalize_names, names),
+        (clean_token, lambda t: names(words(apostrophes(t)))),
+        (to_cyrillic, lambda t: F.translate(letters(t), source, target)),
+    ):
+        assert applied(spark, rule, texts) == applied(spark, plain, texts)
+
+
+def test_clean_up_is_a_shallow_expression(spark):
+    """Rules are folded over, not nested: the analyzer's rounds do not run out on a deep use of them."""
+    raw = spark.createDataFrame([("Iso  masih ,keyin manga",)], "text string")
+    deep = F.col("text")
+    for _ in range(2):
+        deep = to_latin(to_cyrillic(clean_text(deep, marker_breaks=True)))
+    assert raw.select(deep).first()[0]
