@@ -18,7 +18,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first document (smallest id) of each group, at 0.8 of shingles of five words in common."""
+    """Keep the first document (smallest id) of each group, at 0.8 of shingles of five words in common.
+
+    SimHash fingerprints bring near texts together first; every link is verified, and those that
+    fingerprints miss are found by an exact join.
+    """
     return jaccard.first_of_groups(docs, shingle=5)
 
 

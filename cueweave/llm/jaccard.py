@@ -4,15 +4,20 @@ Texts whose shingle sets have at least ``SHARE`` of their union in common are li
 connected components are groups.  No link is lost and none is added:
 
 * texts of equal sets are one class (a 64-bit digest of the set) from the start;
+* classes whose SimHash fingerprints are close (``simhash.close_links``, at its own bits) are compared
+  first, and joined into components; fingerprints alone would lose links and add some, so
+  every one of these is verified, and the steps below find those that fingerprints miss;
 * sets are put in one global order, and a set sends its first n - ceil(SHARE n) + 1 shingle
   hashes: two sets that alike have one of these in common, whatever the order.  Shingles
   that are frequent in a sample come last, by their count, so common lines rarely meet;
-* classes of a hash are first compared with its least class only, and joined into
+* classes of a hash are then compared with its least class only, and joined into
   components; then every pair of a hash that is in two components is compared.  A group
   of near copies costs its rows, not its pairs;
 * a pair is dropped early only where it must fail: by the sizes, or because a bitmap of
-  shingle parities differs in more places than the sets may; all others are verified on
-  the shingles themselves.
+  shingle parities differs in more places than the sets may.  A short bitmap of one length
+  is looked at where pairs meet, then one that is as long as its set is large, so that it
+  tells for sets of any size; all others are verified on the shingles themselves, and only for
+  these do texts move.
 
 Defined cases: a text of fewer words than a shingle is one shingle; null, empty and blank
 texts are alike; repeated rows are copies; an empty table gives an empty result.
@@ -25,16 +30,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cueweave.llm import simhash
 from cueweave.llm.common import components, numbered, release_shuffles, slices, stored
 
 SHARE = 4, 5  # 0.8
 SAMPLE = 16_384  # classes that the order is learnt from, in expectation
 FREQUENT = 65_536  # shingles that the order knows of, at most
 WORDS = 4  # of 64 bits in a bitmap
+LONGEST = 1 << 20  # bits of the bitmap of a large set, at most
 HELD = 1 << 20  # hashes sent at a time
 
 
@@ -46,10 +52,33 @@ def stretches(text: str | None, shingle: int = 5) -> list[bytes]:
     return [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))]
 
 
+def distinct(slices_: list[np.ndarray]) -> np.ndarray:
+    """The distinct hashes, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *slices_]))
+
+
 def hashes(text: str | None, shingle: int = 5) -> np.ndarray:
     """The distinct shingle hashes of a text, sorted."""
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(s, 42) for s in stretches(text, shingle)], dtype=np.uint64))
+    return distinct(list(simhash.shingle_hashes(text, shingle)))
+
+
+def parities(found: np.ndarray, bits: int) -> np.ndarray:
+    """A bitmap: whether an odd number of the hashes falls on a bit."""
+    odd = np.bincount((found % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8))
+
+
+def long_bitmap(found: np.ndarray) -> bytes:
+    """Parities in at least two bits a hash, a power of two of them."""
+    return parities(found, min(LONGEST, max(64, 1 << (2 * len(found)).bit_length()))).tobytes()
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """In how many bits two long bitmaps differ, at the length of the shorter one."""
+    x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
+    short = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(z.reshape(-1, short), axis=0) for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
 
 
 def class_of(found: np.ndarray) -> int:
@@ -77,25 +106,29 @@ def prefix(found: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarr
 
 
 def _sets(full: DataFrame, shingle: int) -> DataFrame:
-    """_row, doc_id, key (class), size and bitmap of every row."""
+    """_row, doc_id, key (class), size, bitmaps and fingerprint of every row."""
     bitmap = [f"w{i}" for i in range(WORDS)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            keys, sizes, maps = [], [], []
+            keys, sizes, prints, maps, long_maps = [], [], [], [], []
             for text in batch["text"]:
-                found = hashes(text.as_py(), shingle)
+                votes = list(simhash.shingle_hashes(text.as_py(), shingle))
+                prints.append(simhash.majority(votes))
+                found = distinct(votes)
                 keys.append(class_of(found))
                 sizes.append(len(found))
-                odd = np.bincount((found % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
-                maps.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                maps.append(parities(found, 64 * WORDS).view(np.int64))
+                long_maps.append(long_bitmap(found))
             words = np.array(maps, dtype=np.int64).reshape(-1, WORDS)
             columns = [batch["_row"], batch["doc_id"], pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())]
             columns += [pa.array(words[:, i].copy()) for i in range(WORDS)]
-            yield pa.RecordBatch.from_arrays(columns, names=["_row", "doc_id", "key", "size", *bitmap])
+            columns += [pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), pa.array(long_maps, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["_row", "doc_id", "key", "size", *bitmap, "fingerprint", "bits"])
 
     given = full.select("_row", F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     kinds = "_row bigint, doc_id bigint, key bigint, size bigint, " + ", ".join(f"{w} bigint" for w in bitmap)
+    kinds += ", fingerprint bigint, bits binary"
     return given.mapInArrow(work, kinds)
 
 
@@ -152,9 +185,24 @@ def _may(a: str, b: str):
     return (F.least(m, n) * q >= F.greatest(m, n) * p) & (apart * (p + q) <= (m + n) * (q - p))
 
 
+def _still_possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that sizes and long bitmaps leave possible."""
+    p, q = SHARE
+    left, right = nodes.select("key", "size", "bits").toDF("a", "m", "x"), nodes.select("key", "size", "bits").toDF("b", "n", "y")
+    both = pairs.join(left, "a").join(right, "b").filter(F.least("m", "n") * q >= F.greatest("m", "n") * p)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = zip(*(batch[c].to_pylist() for c in ("m", "n", "x", "y")), strict=True)
+            may = [bits_apart(x, y) * (p + q) <= (m + n) * (q - p) for m, n, x, y in rows]
+            yield batch.select(["a", "b"]).filter(pa.array(may, pa.bool_()))
+
+    return both.select("a", "b", "m", "n", "x", "y").mapInArrow(work, "a bigint, b bigint")
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, full: DataFrame, shingle: int) -> DataFrame:
     """The pairs (a, b) that are alike, by their shingles."""
-    pairs = stored(pairs)
+    pairs = stored(_still_possible(pairs, nodes))
     release_shuffles(full.sparkSession)  # the files that pairs were found with
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     wanted = nodes.select("key", "node").join(ends, "key", "left_semi")
@@ -176,28 +224,44 @@ def _verified(pairs: DataFrame, nodes: DataFrame, full: DataFrame, shingle: int)
     return links
 
 
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes: of equal fingerprints, and of close ones."""
+    least = stored(nodes.groupBy("fingerprint").agg(F.min("key").alias("node")))
+    same = nodes.select("key", "fingerprint").join(least, "fingerprint").filter("key <> node").select(F.col("key").alias("a"), F.col("node").alias("b"))
+    return same.union(simhash.close_links(least))
+
+
+def _labelled(rows: DataFrame, near: DataFrame) -> DataFrame:
+    """Rows (key, ...) with the label of their component; a class without links is its own."""
+    parts = components(near)
+    return rows.join(parts, rows["key"] == parts["node"], "left").select(
+        *rows.columns, F.coalesce("component", "key").alias("label")
+    )
+
+
 def links(full: DataFrame, nodes: DataFrame, shingle: int = 5) -> DataFrame:
     """Links (a, b) between classes: enough of those that are alike for every component.
 
     ``full``: _row, text.  ``nodes``: a row for each class, with node (a _row of it).
     """
+    close = _verified(_by_fingerprint(nodes), nodes, full, shingle)
+
     known, counts = _order(full, nodes.count(), shingle)
     tokens = _tokens(full, shingle, known, counts).repartition("token")  # one exchange for count and join
     shared = tokens.groupBy("token").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least < most")
     met = stored(tokens.join(shared, "token").select("token", "key", "least").distinct())
     release_shuffles(full.sparkSession)
 
-    stars = met.filter("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b")).distinct()
-    near = _verified(_possible(stars, nodes), nodes, full, shingle)
+    apart = _labelled(met.filter("key <> least").select("key", "least").distinct(), close)
+    apart = _labelled(apart.select(F.col("least").alias("key"), F.col("key").alias("a"), F.col("label").alias("a_label")), close)
+    stars = apart.filter("label <> a_label").select("a", F.col("key").alias("b"))
+    near = close.union(_verified(_possible(stars, nodes), nodes, full, shingle))
 
     # What is left: pairs of one hash in two components.  All but the hash's largest component meet all.
-    parts = components(near)
-    labelled = met.join(parts, met["key"] == parts["node"], "left").select(
-        "token", "key", F.coalesce("component", "key").alias("label")
-    )
+    labelled = _labelled(met.select("token", "key"), near)
     sizes = labelled.groupBy("token", "label").count()
     main = sizes.groupBy("token").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("n"))
-    mixed = labelled.join(main.filter("n > 1").drop("n"), "token").join(nodes.drop("node", "best"), "key")
+    mixed = labelled.join(main.filter("n > 1").drop("n"), "token").join(nodes.drop("node", "best", "fingerprint", "bits"), "key")
     one = mixed.filter("label <> main")
     kept = ["token", "key", "label", "main", "size", *[f"w{i}" for i in range(WORDS)]]
     a = one.select(*[F.col(c).alias(f"a_{c}") for c in kept])
@@ -216,8 +280,9 @@ def first_of_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
     full = numbered(docs)
     rows = _sets(full, shingle)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("best")
-    same = [F.first(c).alias(c) for c in ("size", *[f"w{i}" for i in range(WORDS)])]
-    nodes = stored(rows.groupBy("key").agg(F.min("_row").alias("node"), best, *same))
+    same = [F.first(c).alias(c) for c in ("size", *[f"w{i}" for i in range(WORDS)], "bits")]
+    # Repeated shingles vote, so texts of one class may differ in fingerprint: the class takes one of them.
+    nodes = stored(rows.groupBy("key").agg(F.min("_row").alias("node"), best, F.min("fingerprint").alias("fingerprint"), *same))
     parts = components(links(full, nodes, shingle))
     named = nodes.join(parts, nodes["key"] == parts["node"], "left").select("best", F.coalesce("component", "key").alias("part"))
     first = stored(named.groupBy("part").agg(F.min("best").alias("best")).select(F.col("best._row").alias("_row")))

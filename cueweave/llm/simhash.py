@@ -30,7 +30,7 @@ member has an id); repeated rows are kept; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -48,28 +48,37 @@ BLOCK = 2_048
 SLICE = 1 << 15  # shingles counted at a time
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """The 64-bit SimHash of one text."""
-    if not text:
-        return 0
-    data = text.encode("utf-8", "surrogatepass").lower()  # bytes: A-Z only
+def shingle_hashes(text: str | None, shingle: int = 4) -> Iterator[np.ndarray]:
+    """XXH64 of every shingle of one text, repeats included, in slices; nothing for a text without words."""
+    data = (text or "").encode("utf-8", "surrogatepass").lower()  # bytes: A-Z only
     words = data.split()  # splits on space and U+0009 to U+000D
     if not words:
-        return 0
+        return
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - shingle + 1)
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     last = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
-    ones = np.zeros(64, dtype=np.int64)
     for at in range(0, n, SLICE):
         pairs = zip(starts[at : min(at + SLICE, n)].tolist(), last[at : at + SLICE].tolist(), strict=True)
-        votes = np.array([digest(joined[a:b], 42) for a, b in pairs], dtype=np.uint64)
+        yield np.array([digest(joined[a:b], 42) for a, b in pairs], dtype=np.uint64)
+
+
+def majority(slices: Iterable[np.ndarray]) -> int:
+    """64 bits, each 1 if set in over half the hashes; 0 without any."""
+    ones, n = np.zeros(64, dtype=np.int64), 0
+    for votes in slices:
         set_ = np.unpackbits(votes.view(np.uint8), bitorder="little").reshape(-1, 64)
         ones += set_.sum(axis=0, dtype=np.uint16)  # a slice has fewer than 2**16 rows
+        n += len(votes)
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    """The 64-bit SimHash of one text."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """Add ``fingerprint`` (long, the 64 bits) to the columns of ``docs`` other than text."""
     rest = [f for f in docs.schema.fields if f.name != "text"]

@@ -1,5 +1,6 @@
 """The pipeline, stage by stage, against brute force on a small table."""
 
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cueweave.llm import packing
+from cueweave.llm import jaccard, packing
 from test_groups import least_reachable
 
 FOLDER = "/root/testdata/sf0.001"
@@ -125,3 +126,46 @@ def test_run_gives_the_same_again(spark):
         for _ in range(2)
     )
     assert first == again and first[0] > 0
+
+
+def test_fingerprints_come_first_and_texts_move_only_for_likely_pairs(spark, monkeypatch):
+    """Close fingerprints propose pairs; of texts of 2,000 words that share 0.6, no text is read again."""
+    proposed, compared = [], []
+    close, still = jaccard.simhash.close_links, jaccard._still_possible
+
+    def seen(nodes, *args):
+        proposed.append(nodes.count())
+        return close(nodes, *args)
+
+    def left(pairs, nodes):
+        compared.append((pairs.count(), still(pairs, nodes).count()))
+        return still(pairs, nodes)
+
+    monkeypatch.setattr(jaccard.simhash, "close_links", seen)
+    monkeypatch.setattr(jaccard, "_still_possible", left)
+    shared = [f"s{k}" for k in range(1_500)]
+    rows = [(i, " ".join(shared + [f"t{i}x{k}" for k in range(500)])) for i in range(6)]
+    rows.append((9, rows[0][1] + " end"))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = corpus_pipeline.near_duplicates(spark, df, FOLDER).collect()
+    assert sorted(r.doc_id for r in found) == list(range(6))
+    assert len(proposed) == 1 and 6 <= proposed[0] <= 7
+    assert sum(n for n, _ in compared) > 5 and sum(n for _, n in compared) == 1
+
+
+def test_long_bitmaps_never_rule_out_what_is_alike():
+    rng = np.random.default_rng(8)
+    for size in (1, 3, 40, 900, 5_000):
+        a = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
+        for changed in (0, 1, size // 10, size // 5, size):
+            b = np.unique(np.concatenate([a[changed:], rng.integers(0, 2**64, changed // 2, dtype=np.uint64)]))
+            apart = len(np.setxor1d(a, b))
+            assert jaccard.bits_apart(jaccard.long_bitmap(a), jaccard.long_bitmap(b)) <= apart
+
+
+def test_slow_texts_are_those_of_long_stretches():
+    texts = ["", " ", "a b", "a" * 499, "a" * 500, " " * 499, " " * 500, "a" + " \n" * 250 + "b", "a" + " " * 499 + "b"]
+    texts += ["a  b " * 400, " " * 250 + "a" + " " * 250, "x " * 600, "x " * 5 + "y" * 500, "a" * 499 + " " + "b" * 499]
+    for text in texts:
+        assert packing.slow(text) == bool(re.search(r"\S{500}|\s{500}", text))
+        assert packing.encoder(packing.vocabulary_path()).ids(text)[-1] == packing.END
