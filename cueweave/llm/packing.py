@@ -28,6 +28,7 @@ import base64
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,20 @@ END = 1
 #: Splitting rule of the byte-level vocabulary. Fixed value.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPECIAL = {"<|endoftext|>": 50256}  # Fixed value.
-SLOW = re.compile(r"\S{500}|\s{500}")
+STRETCH = 500  # characters without a change from white space to other ones
+
+
+def slow(text: str) -> bool:
+    """Whether a text has a stretch of ``STRETCH`` characters without, or of nothing but, white space."""
+    words = text.split()
+    if len(text) < STRETCH or not words:
+        return len(text) >= STRETCH
+    sizes = list(map(len, words))
+    if max(sizes) >= STRETCH:
+        return True
+    # A long stretch of space leaves more space than one sign between two words.
+    spare = len(text) - sum(sizes) - (len(words) - 1)
+    return spare >= STRETCH - 1 and re.search(rf"\s{{{STRETCH}}}", text) is not None
 
 
 class Encoder:
@@ -57,15 +71,23 @@ class Encoder:
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.array([END], dtype=np.uint32)
-        if SLOW.search(text):
+        if slow(text):
             if self.slow is None:
                 from tokenizers import Tokenizer
 
                 self.slow = Tokenizer.from_file(self.vocabulary)
             found = self.slow.encode(text, add_special_tokens=False).ids
         else:
-            found = self.fast.encode(text, allowed_special="all")
-        return np.array([*found, END], dtype=np.uint32)
+            found = self.fast.encode_to_numpy(text, allowed_special="all")
+        ids = np.full(len(found) + 1, END, dtype=np.uint32)
+        ids[:-1] = found
+        return ids
+
+
+@cache
+def encoder(vocabulary: str) -> Encoder:
+    """One for all tasks of a Python worker: the vocabulary is read once."""
+    return Encoder(vocabulary)
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -78,11 +100,11 @@ def tokens(docs: DataFrame, window: int, vocabulary: str | None = None) -> DataF
     """_row, doc_id, doc_tokens, full_crc32 (of each whole window), rest (ids, two bytes each)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary or vocabulary_path())
+        to_ids = encoder(vocabulary or vocabulary_path()).ids
         for batch in slices(batches):
             count, crcs, rests = [], [], []
             for text in batch["text"]:
-                ids = encoder.ids(text.as_py())
+                ids = to_ids(text.as_py())
                 n = len(ids) - len(ids) % window
                 count.append(len(ids))
                 crcs.append([zlib.crc32(ids[a : a + window].astype("<u4").tobytes()) for a in range(0, n, window)])
