@@ -179,3 +179,17 @@ def test_flow_moves_words_once(spark):
     dealt = [line for line in plan if "REPARTITION_BY_COL" in line and "ReusedExchange" not in line]
     scans = [line for line in plan if "FileScan" in line]
     assert len(dealt) == 1 and len(scans) == 2  # of words, and of segments where there are no words
+
+
+@pytest.mark.parametrize("ranked", [True, False])
+def test_outputs_deal_words_once(spark, ranked):
+    """Tagged lines look at the sentences twice, outputs without speakers read fewer columns: words move once all the same."""
+    documents = spark.createDataFrame([(1, "Bir ikki. Uch to'rt!", "a"), (2, "Besh olti", "b")], "doc_id long, text string, source string")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that reuse shows before the run
+        lines = tagged_lines(transform.sentences(transcripts_from_documents(documents), ranked=ranked), hide_speakers=not ranked)
+        plan = lines._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert len([line for line in plan if "REPARTITION_BY_COL" in line and "ReusedExchange" not in line]) == 1
