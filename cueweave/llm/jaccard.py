@@ -39,7 +39,7 @@ from cueweave.llm.common import components, numbered, release_shuffles, slices,
 SHARE = 4, 5  # 0.8
 SAMPLE = 16_384  # classes that the order is learnt from, in expectation
 FREQUENT = 65_536  # shingles that the order knows of, at most
-WORDS = 4  # of 64 bits in a bitmap
+WORDS = 16  # of 64 bits in a short bitmap
 LONGEST = 1 << 20  # bits of the bitmap of a large set, at most
 HELD = 1 << 20  # hashes sent at a time
 
