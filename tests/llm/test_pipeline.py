@@ -129,7 +129,7 @@ def test_run_gives_the_same_again(spark):
 
 
 def test_fingerprints_come_first_and_texts_move_only_for_likely_pairs(spark, monkeypatch):
-    """Close fingerprints propose pairs; of texts of 2,000 words that share 0.6, no text is read again."""
+    """Close fingerprints propose pairs; of texts of 12,000 words that share 0.68, no text is read again."""
     proposed, compared = [], []
     close, still = jaccard.simhash.close_links, jaccard._still_possible
 
@@ -143,8 +143,8 @@ def test_fingerprints_come_first_and_texts_move_only_for_likely_pairs(spark, mon
 
     monkeypatch.setattr(jaccard.simhash, "close_links", seen)
     monkeypatch.setattr(jaccard, "_still_possible", left)
-    shared = [f"s{k}" for k in range(1_500)]
-    rows = [(i, " ".join(shared + [f"t{i}x{k}" for k in range(500)])) for i in range(6)]
+    shared = [f"s{k}" for k in range(9_720)]
+    rows = [(i, " ".join(shared + [f"t{i}x{k}" for k in range(2_280)])) for i in range(6)]
     rows.append((9, rows[0][1] + " end"))
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     found = corpus_pipeline.near_duplicates(spark, df, FOLDER).collect()
