@@ -13,8 +13,10 @@ connected components are groups.  No link is lost and none is added:
 * classes of a hash are then compared with its least class only, and joined into
   components; then every pair of a hash that is in two components is compared.  A group
   of near copies costs its rows, not its pairs;
-* a pair is dropped early only where it must fail: by the sizes, or because a bitmap of
-  shingle parities differs in more places than the sets may.  A short bitmap of one length
+* a pair is dropped early only where it must fail: by the sizes, because what follows the
+  shared hash in one of the sets is too little for it to be the first they share (the pair
+  then meets at an earlier one), or because a bitmap of shingle parities differs in more
+  places than the sets may.  A short bitmap of one length
   is looked at where pairs meet, then one that is as long as its set is large, so that it
   tells for sets of any size; all others are verified on the shingles themselves, and only for
   these do texts move.
@@ -107,7 +109,6 @@ def prefix(found: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarr
 
 def _sets(full: DataFrame, shingle: int) -> DataFrame:
     """_row, doc_id, key (class), size, bitmaps and fingerprint of every row."""
-    bitmap = [f"w{i}" for i in range(WORDS)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -120,26 +121,25 @@ def _sets(full: DataFrame, shingle: int) -> DataFrame:
                 sizes.append(len(found))
                 maps.append(parities(found, 64 * WORDS).view(np.int64))
                 long_maps.append(long_bitmap(found))
-            words = np.array(maps, dtype=np.int64).reshape(-1, WORDS)
             columns = [batch["_row"], batch["doc_id"], pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())]
-            columns += [pa.array(words[:, i].copy()) for i in range(WORDS)]
-            columns += [pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), pa.array(long_maps, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["_row", "doc_id", "key", "size", *bitmap, "fingerprint", "bits"])
+            columns += [pa.array(maps, pa.list_(pa.int64())), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), pa.array(long_maps, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["_row", "doc_id", "key", "size", "bitmap", "fingerprint", "bits"])
 
     given = full.select("_row", F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    kinds = "_row bigint, doc_id bigint, key bigint, size bigint, " + ", ".join(f"{w} bigint" for w in bitmap)
-    kinds += ", fingerprint bigint, bits binary"
+    kinds = "_row bigint, doc_id bigint, key bigint, size bigint, bitmap array<bigint>, fingerprint bigint, bits binary"
     return given.mapInArrow(work, kinds)
 
 
 def _tokens(full: DataFrame, shingle: int, known: np.ndarray | None, counts: np.ndarray | None) -> DataFrame:
-    """(token, key): the prefix of every text; all its hashes if no order is given."""
+    """(token, key, place): the prefix of every text, in order; all its hashes if no order is given."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sent(tokens: list[np.ndarray], keys: list[int]) -> pa.RecordBatch:
             owner = np.repeat(np.array(keys, dtype=np.int64), [len(t) for t in tokens])
             token = np.concatenate(tokens).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(token), pa.array(owner)], names=["token", "key"])
+            place = np.concatenate([np.arange(len(t), dtype=np.int32) for t in tokens])
+            columns = [pa.array(token), pa.array(owner), pa.array(place)]
+            return pa.RecordBatch.from_arrays(columns, names=["token", "key", "place"])
 
         for batch in slices(batches):
             tokens, keys, held = [], [], 0
@@ -154,7 +154,7 @@ def _tokens(full: DataFrame, shingle: int, known: np.ndarray | None, counts: np.
             if tokens:
                 yield sent(tokens, keys)
 
-    return full.select("text").mapInArrow(work, "token bigint, key bigint")
+    return full.select("text").mapInArrow(work, "token bigint, key bigint, place int")
 
 
 def _order(full: DataFrame, classes: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,7 +170,7 @@ def _order(full: DataFrame, classes: int, shingle: int) -> tuple[np.ndarray, np.
 
 def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) that sizes and bitmaps leave possible."""
-    kept = ["key", "size", *[f"w{i}" for i in range(WORDS)]]
+    kept = ["key", "size", "bitmap"]
     left = nodes.select(*[F.col(c).alias(f"a_{c}") for c in kept])
     right = nodes.select(*[F.col(c).alias(f"b_{c}") for c in kept])
     both = pairs.join(left, F.col("a") == F.col("a_key")).join(right, F.col("b") == F.col("b_key"))
@@ -178,13 +178,25 @@ def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _may(a: str, b: str):
-    """Neither sizes nor bitmaps rule the pair out."""
+    """Neither sizes nor bitmaps rule the pair out.
+
+    A bitmap is one array and not a column a word: the code that Spark makes for joins of so many
+    columns took the JVM hundreds of MB to compile.
+    """
     p, q = SHARE
     m, n = F.col(f"{a}size"), F.col(f"{b}size")
-    apart = sum((F.bit_count(F.col(f"{a}w{i}").bitwiseXOR(F.col(f"{b}w{i}"))) for i in range(WORDS)), F.lit(0))
+    differ = F.zip_with(f"{a}bitmap", f"{b}bitmap", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(differ, F.lit(0), lambda total, n: total + n)
     return (F.least(m, n) * q >= F.greatest(m, n) * p) & (apart * (p + q) <= (m + n) * (q - p))
 
 
+def _may_be_first(a: str, b: str):
+    """A hash at ``place`` in both sets can be the first that two alike sets share."""
+    p, q = SHARE
+    m, n = F.col(f"{a}size"), F.col(f"{b}size")
+    return F.least(m - F.col(f"{a}place"), n - F.col(f"{b}place")) * (p + q) >= (m + n) * p
+
+
 def _still_possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) that sizes and long bitmaps leave possible."""
     p, q = SHARE
@@ -249,7 +261,7 @@ def links(full: DataFrame, nodes: DataFrame, shingle: int = 5) -> DataFrame:
     known, counts = _order(full, nodes.count(), shingle)
     tokens = _tokens(full, shingle, known, counts).repartition("token")  # one exchange for count and join
     shared = tokens.groupBy("token").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least < most")
-    met = stored(tokens.join(shared, "token").select("token", "key", "least").distinct())
+    met = stored(tokens.join(shared, "token").select("token", "key", "place", "least").distinct())
     release_shuffles(full.sparkSession)
 
     apart = _labelled(met.filter("key <> least").select("key", "least").distinct(), close)
@@ -258,16 +270,16 @@ def links(full: DataFrame, nodes: DataFrame, shingle: int = 5) -> DataFrame:
     near = close.union(_verified(_possible(stars, nodes), nodes, full, shingle))
 
     # What is left: pairs of one hash in two components.  All but the hash's largest component meet all.
-    labelled = _labelled(met.select("token", "key"), near)
+    labelled = _labelled(met.select("token", "key", "place"), near)
     sizes = labelled.groupBy("token", "label").count()
     main = sizes.groupBy("token").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("n"))
     mixed = labelled.join(main.filter("n > 1").drop("n"), "token").join(nodes.drop("node", "best", "fingerprint", "bits"), "key")
     one = mixed.filter("label <> main")
-    kept = ["token", "key", "label", "main", "size", *[f"w{i}" for i in range(WORDS)]]
+    kept = ["token", "key", "place", "label", "main", "size", "bitmap"]
     a = one.select(*[F.col(c).alias(f"a_{c}") for c in kept])
     b = mixed.select(*[F.col(c).alias(f"b_{c}") for c in kept])
     once = (F.col("a_label") < F.col("b_label")) | (F.col("b_label") == F.col("b_main"))
-    rest = a.join(b, (F.col("a_token") == F.col("b_token")) & (F.col("a_label") != F.col("b_label")) & once & _may("a_", "b_"))
+    rest = a.join(b, (F.col("a_token") == F.col("b_token")) & (F.col("a_label") != F.col("b_label")) & once & _may_be_first("a_", "b_") & _may("a_", "b_"))
     rest = rest.select(F.col("a_key").alias("a"), F.col("b_key").alias("b")).distinct()
     return near.union(_verified(rest, nodes, full, shingle))
 
@@ -280,7 +292,7 @@ def first_of_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
     full = numbered(docs)
     rows = _sets(full, shingle)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("best")
-    same = [F.first(c).alias(c) for c in ("size", *[f"w{i}" for i in range(WORDS)], "bits")]
+    same = [F.first(c).alias(c) for c in ("size", "bitmap", "bits")]
     # Repeated shingles vote, so texts of one class may differ in fingerprint: the class takes one of them.
     nodes = stored(rows.groupBy("key").agg(F.min("_row").alias("node"), best, F.min("fingerprint").alias("fingerprint"), *same))
     parts = components(links(full, nodes, shingle))

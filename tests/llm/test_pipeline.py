@@ -169,3 +169,28 @@ def test_slow_texts_are_those_of_long_stretches():
     for text in texts:
         assert packing.slow(text) == bool(re.search(r"\S{500}|\s{500}", text))
         assert packing.encoder(packing.vocabulary_path()).ids(text)[-1] == packing.END
+
+
+def test_places_never_rule_out_the_first_hash_that_alike_sets_share(spark):
+    """Pairs meet at the first hash they share at the latest; ends of prefixes bring no others together."""
+    rng, none = np.random.default_rng(5), np.zeros(0, dtype=np.uint64)
+    rows, pairs = [], 0
+    for size in (1, 4, 5, 9, 10, 45, 200):
+        a = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
+        for gone, new in ((0, 0), (size // 10, size // 10), (size // 5, 0), (0, size // 4), (size // 9, size // 9)):
+            b = np.unique(np.concatenate([rng.permutation(a)[gone:], rng.integers(0, 2**64, new, dtype=np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if 5 * both >= 4 * (len(a) + len(b) - both):
+                x, y = ({int(h): i for i, h in enumerate(jaccard.prefix(s, none, none))} for s in (a, b))
+                rows += [(pairs, len(a), x[h], len(b), y[h]) for h in x.keys() & y.keys()]
+                pairs += 1
+    rows.append((-1, 100, 15, 100, 15))
+    given = spark.createDataFrame(rows, "pair int, a_size int, a_place int, b_size int, b_place int")
+    kept = {r.pair for r in given.filter(jaccard._may_be_first("a_", "b_")).collect()}
+    assert pairs > 20 and kept == set(range(pairs))
+
+
+def test_a_short_bitmap_is_one_column(spark):
+    rows = spark.createDataFrame([(0, 1, "a b c"), (1, 2, None)], "_row bigint, doc_id bigint, text string")
+    found = jaccard._sets(rows, 5).collect()
+    assert sorted(len(r["bitmap"]) for r in found) == [jaccard.WORDS] * 2
