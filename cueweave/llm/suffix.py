@@ -39,6 +39,7 @@ from cueweave.llm.common import release_shuffles, stored
 
 LENGTH = 50
 GRAM = 16
+STEP = 7  # bytes that the first order of suffixes tells apart
 RUN = 40  # stretches in a context, at most: one bit each; an anchor that occurs once has fewer
 ANCHOR_ROWS = 20_000
 PIECE = 1 << 20  # bytes handled at a time
@@ -101,6 +102,14 @@ def runs(data: np.ndarray, ends: np.ndarray, length: int = LENGTH):
     return anchor >> ANCHOR_SHIFT, context >> np.uint64(24), start, count
 
 
+def _utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of texts one after the other, and where each begins, and the end."""
+    _, offsets, data = texts.buffers()
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    at = np.frombuffer(offsets, dtype=kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    return np.frombuffer(data or b"", dtype=np.uint8), at
+
+
 def _tie(text: Column) -> Column:
     """Tells texts of one id apart."""
     return F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(F.lit(2**31 - 1)).cast("int")
@@ -125,8 +134,9 @@ def _occurrences(docs: DataFrame, length: int) -> DataFrame:
                 columns = [anchor.view(np.int64), context.view(np.int64), ids[row], ties[row], 64 * start + n]
                 return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "context", "doc", "tie", "place"])
 
-            for row, text in enumerate(batch["text"]):
-                data = np.frombuffer(text.as_py().encode("utf-8", "surrogatepass"), dtype=np.uint8)
+            whole, begins = _utf8(batch["text"])
+            for row in range(batch.num_rows):
+                data = whole[begins[row] : begins[row + 1]]
                 for a in range(0, max(1, len(data) - length + 1), PIECE):
                     part = data[a : a + PIECE + length - 1]
                     group.append((row, a, part))
@@ -142,6 +152,15 @@ def _occurrences(docs: DataFrame, length: int) -> DataFrame:
     return given.mapInArrow(work, "anchor bigint, context bigint, doc bigint, tie int, place bigint")
 
 
+def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of ``key``, and each one's rank, equal for equal keys."""
+    order = np.argsort(key)
+    sorted_ = key[order]
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.cumsum(np.append(False, sorted_[1:] != sorted_[:-1])[: len(key)])
+    return order, rank
+
+
 def shared_groups(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of ``text`` in order, and for each the number of its group of equal first ``length`` bytes.
 
@@ -149,30 +168,38 @@ def shared_groups(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray
     before: a border has common prefix l + 1 if the successors of its two rows were parted
     at level l (threshold-bounded, breadth first; cf. Beller, Gog, Ohlebusch and Schnattinger,
     "Computing the longest common prefix array based on the Burrows-Wheeler transform", 2013).
+    The levels that the ranks of the last sort but one tell apart are marked at once.
     """
     n = len(text)
-    padded = np.concatenate([text, np.zeros(72, np.uint8)]).astype(np.uint64)
-    key = np.zeros(n, np.uint64)
-    for i in range(8):
-        key = (key << np.uint64(8)) | padded[i : i + n]
-    rank, step = np.unique(key, return_inverse=True)[1].astype(np.int64), 8
-    while step < length:  # order by 16, 32, 64, ... bytes
-        after = np.full(n, -1, np.int64)
-        after[: max(0, n - step)] = rank[step:]
-        rank = np.unique(rank * (n + 1) + after + 1, return_inverse=True)[1].astype(np.int64)
-        step *= 2
-    order = np.argsort(rank, kind="stable")
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    padded = np.zeros(n + STEP - 1, np.int64)
+    padded[:n] = text
+    padded[:n] += 1  # 0 is the end of the text
+    key = np.zeros(n, np.int64)
+    for i in range(STEP):
+        key = (key << 9) | padded[i : i + n]
+    known, mark = 1, text.astype(np.int64)  # marks tell suffixes apart that differ in their first bytes, ``known`` of them
+    order, rank = _ranked(key)
+    step, bits = STEP, n.bit_length()
+    while step < length:  # order by 7, 21, 63, ... bytes: as many ranks as go into 63 bits are one key
+        known, mark, key = step, rank, rank + 1
+        for i in range(1, 63 // bits):
+            key <<= bits
+            key[: max(0, n - i * step)] += rank[i * step :] + 1
+        order, rank = _ranked(key)
+        step *= 63 // bits
     place = np.empty(n + 1, np.int32)  # a task's text is far shorter than 2**31
     place[order] = np.arange(n, dtype=np.int32)
     place[n] = n  # the empty suffix, of a group of its own
     successor = place[order + 1]
     border = np.ones(n, dtype=bool)
-    border[1:] = text[order[1:]] != text[order[:-1]]
+    border[1:] = mark[order[1:]] != mark[order[:-1]]
     open_ = np.flatnonzero(~border)
     below, above = successor[open_ - 1], successor[open_]
     group = np.empty(n + 1, np.int32)
     group[n] = n + 1
-    for _ in range(1, length):
+    for _ in range(known, length):
         if not len(open_):
             break
         np.cumsum(border, out=group[:n])
@@ -247,16 +274,24 @@ def _texts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").alias("doc"), _tie(F.col("text")).alias("tie"), "text")
     joined = texts.join(lists, ["doc", "tie"])
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for doc, _, text, places in frame.itertuples(index=False, name=None):
-                data = text.encode("utf-8", "surrogatepass")
-                for p in places:
-                    out.append((p["anchor"], p["context"], doc, p["n"], p["rows"], data[p["start"] : p["start"] + p["n"] + length - 1]))
-            yield pd.DataFrame(out, columns=["anchor", "context", "doc", "n", "rows", "bytes"])
-
-    return joined.mapInPandas(work, "anchor bigint, context bigint, doc bigint, n int, rows bigint, bytes binary")
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["anchor", "context", "doc", "n", "rows", "bytes"]
+        for batch in batches:
+            data, at = _utf8(batch["text"])
+            row = np.repeat(np.arange(batch.num_rows), batch["places"].value_lengths().to_numpy(zero_copy_only=False))
+            fields = dict(zip(("anchor", "context", "start", "n", "rows"), batch["places"].flatten().flatten(), strict=True))
+            begin = at[row] + fields["start"].to_numpy()
+            size = fields["n"].to_numpy() + length - 1
+            for a in range(0, len(row), PIECE // 64):
+                some = slice(a, a + PIECE // 64)
+                ends = np.append(0, np.cumsum(size[some]))
+                byte = np.arange(ends[-1]) + np.repeat(begin[some] - ends[:-1], size[some])
+                buffers = [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data[byte])]
+                cut = pa.Array.from_buffers(pa.binary(), len(ends) - 1, buffers)
+                rest = [fields["anchor"][some], fields["context"][some], batch["doc"].take(pa.array(row[some])), fields["n"][some], fields["rows"][some]]
+                yield pa.RecordBatch.from_arrays([*rest, cut], names=names)
+
+    return joined.select("doc", "text", "places").mapInArrow(work, "anchor bigint, context bigint, doc bigint, n int, rows bigint, bytes binary")
 
 
 def _masks(texts: DataFrame, length: int) -> DataFrame:
@@ -274,7 +309,7 @@ def _masks(texts: DataFrame, length: int) -> DataFrame:
 
         for batch in batches:  # sorted by anchor; an anchor's contexts stay together
             held.append(batch.to_pandas())
-            if sum(map(len, held)) >= PIECE // 64:
+            if sum(map(len, held)) >= PIECE // 256:
                 frame = pd.concat(held, ignore_index=True)
                 whole = (frame["anchor"] != frame["anchor"].iloc[-1]).to_numpy()
                 held = [frame[~whole]]
@@ -348,40 +383,60 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            places = batch["places"]
-            flat = places.flatten()
-            start, n, mask = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-            offsets = places.offsets.to_numpy()
-            missing = places.is_null().to_numpy(zero_copy_only=False)
-            shift = offsets[0]
-            for i, text in enumerate(batch["text"]):
-                data = np.frombuffer(text.as_py().encode("utf-8", "surrogatepass"), dtype=np.uint8)
-                gone = np.zeros(len(data) + 1, dtype=np.int32)
-                if not missing[i]:
-                    part = slice(offsets[i] - shift, offsets[i + 1] - shift)
-                    for a, b in _ranges(start[part], n[part], mask[part], length):
-                        np.add.at(gone, a, 1)
-                        np.add.at(gone, b, -1)
-                out = np.cumsum(gone[:-1]) > 0
-                spans = int(out[:1].sum() + (out[1:] & ~out[:-1]).sum())
-                kept = data[~out].tobytes()
-                rows.append((batch["doc_id"][i].as_py(), len(data), int(out.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=names)
+            places, (data, at) = batch["places"], _utf8(batch["text"])
+            start, n, mask = (c.to_numpy(zero_copy_only=False) for c in places.flatten().flatten())
+            sizes = np.diff(at)
+            number = np.where(places.is_null(), 0, np.diff(places.offsets.to_numpy()))
+            upto = np.append(0, np.cumsum(number))
+            low = 0
+            while low < batch.num_rows:  # documents of about PIECE bytes together, one at least
+                high = max(low + 1, int(np.searchsorted(at, at[low] + PIECE, side="right")) - 1)
+                # A place for every byte, and one for the end of each document.
+                slot = at[low : high + 1] - at[low] + np.arange(high - low + 1)
+                part = slice(upto[low], upto[high])
+                base = np.repeat(slot[:-1], number[low:high])
+                gone = np.zeros(slot[-1] + 1, dtype=np.int32)
+                for which, a, b in _ranges(start[part], n[part], mask[part], length):
+                    np.add.at(gone, base[which] + a, 1)
+                    np.add.at(gone, base[which] + b, -1)
+                out = np.cumsum(gone, dtype=np.int32) > 0
+                removed, spans, kept = [], [], []
+                for i in range(low, high):
+                    own = data[at[i] : at[i + 1]]
+                    if number[i]:
+                        away = out[slot[i - low] : slot[i - low] + sizes[i]]
+                        removed.append(int(np.count_nonzero(away)))
+                        spans.append(int(np.count_nonzero(away[:1])) + int(np.count_nonzero(away[1:] & ~away[:-1])))
+                        own = own[~away]
+                    else:
+                        removed.append(0)
+                        spans.append(0)
+                    kept.append(own.tobytes())
+                columns = [
+                    batch["doc_id"].slice(low, high - low).cast(pa.int64()),
+                    pa.array(sizes[low:high]),
+                    pa.array(removed, pa.int64()),
+                    pa.array(spans, pa.int64()),
+                    pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
+                    pa.array(kept, pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                low = high
 
     return joined.mapInArrow(
         work, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
     )
 
 
-def _ranges(start: np.ndarray, n: np.ndarray, mask: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Byte ranges (from, to) that runs remove."""
-    whole = np.isnan(mask) if mask.dtype.kind == "f" else np.zeros(len(mask), bool)
-    yield start[whole], start[whole] + n[whole] + length - 1
-    bits = np.where(whole, 0, mask).astype(np.int64)
-    for i in range(RUN):
-        at = start[(bits >> i) & 1 == 1] + i
-        yield at, at + length
+def _ranges(start: np.ndarray, n: np.ndarray, mask: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Byte ranges that runs remove: numbers of the runs, from, to.  Neighbouring bits of a mask are one range."""
+    whole = np.flatnonzero(np.isnan(mask) if mask.dtype.kind == "f" else np.zeros(len(mask), bool))
+    yield whole, start[whole], start[whole] + n[whole] + length - 1
+    bits = np.nan_to_num(mask).astype(np.int64)
+    some = np.flatnonzero(bits)
+    bits = bits[some]
+    first, last = bits & ~(bits << 1), bits & ~(bits >> 1)
+    which, low = np.nonzero((first[:, None] >> np.arange(RUN)) & 1)
+    high = np.nonzero((last[:, None] >> np.arange(RUN)) & 1)[1]
+    which = some[which]
+    yield which, start[which] + low, start[which] + high + length

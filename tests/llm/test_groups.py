@@ -233,3 +233,22 @@ def test_groups_by_interval_expansion():
         assert heads == sorted(heads)
         same = [a == b for a, b in zip(heads, heads[1:], strict=False)]
         assert (np.diff(group) == 0).tolist() == same
+
+
+def test_neighbouring_stretches_are_one_range():
+    """Forty removed stretches of a run cost one range, not forty; and so do a run's that goes whole."""
+    start, n = np.array([5, 100, 300]), np.array([40, 40, 7])
+    mask = np.array([2.0**40 - 1, 2.0**3 + 2.0**4 + 2.0**39, np.nan])
+    found = [r for ranges in suffix._ranges(start, n, mask, 50) for r in zip(*(x.tolist() for x in ranges), strict=True)]
+    assert sorted(found) == [(0, 5, 94), (1, 103, 154), (1, 139, 189), (2, 300, 356)]
+
+
+def test_ends_of_texts_are_told_apart():
+    """Zero bytes at the end of a text are bytes, and not its end."""
+    text = np.frombuffer(b"ab\x00\x00ab\x00\x00ab\x00", dtype=np.uint8)
+    for length in (2, 3, 8, 50):
+        order, group = suffix.shared_groups(text, length)
+        heads = [text[i : i + length].tobytes() for i in order]
+        assert heads == sorted(heads)
+        same = [a == b for a, b in zip(heads, heads[1:], strict=False)]
+        assert (np.diff(group) == 0).tolist() == same
