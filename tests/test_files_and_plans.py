@@ -3,12 +3,14 @@ import hashlib
 import json
 import mimetypes
 import random
+import re
 
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from cueweave.operators import attachments as att
+from cueweave.operators import ordered
 from cueweave.functions.text import clean_text
 from cueweave.operators.cues import cue_runs, words_to_cues
 from cueweave.operators.subtitles import (
@@ -25,6 +27,7 @@ from cueweave.schemas import BASIC
 from cueweave.sources.derived import transcripts_from_documents
 from cueweave.sources.files import media_files
 from cueweave.sources.subtitles import read_subtitle_lines, read_subtitles
+from cueweave.sources.tables import words_from_turns
 from cueweave.sources.transcripts import (
     land_words,
     quarantine,
@@ -427,3 +430,34 @@ def test_parts_at_their_offsets_are_the_text(spark):
         text = texts[r.transcript_id, r.part_no]
         assert whole[r.byte_offset : r.byte_offset + r.n_bytes] == text and r.md5 == hashlib.md5(text).hexdigest()
     assert transform.combined_manifest(files.limit(0)).count() == 0
+
+
+@pytest.fixture
+def stored_documents(spark, tmp_path):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["Kitob", "oldim.", "u", "keldi,", "!"]) for _ in range(rng.randrange(400))) for _ in range(60)]
+    rows = [(i, text if i % 10 else None, "s") for i, text in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents")
+    return spark.read.parquet(f"{tmp_path}/documents")
+
+
+def _same_in_many_parts(monkeypatch, documents, flow):
+    """Rows of a flow with the session's parts, and then with parts by the size of the files; that plan, and its parts."""
+    plain = sorted(flow().collect())
+    monkeypatch.setattr(ordered, "TASK_BYTES", ordered.bytes_read(documents) // 12)
+    parts = ordered.task_parts(documents)
+    assert 12 <= parts <= 13
+    found = flow()
+    assert sorted(found.collect()) == plain
+    return found._jdf.queryExecution().executedPlan().toString(), parts
+
+
+@pytest.mark.parametrize("kind", ["subtitles", "turns"])
+def test_cues_are_made_in_parts_that_fit_a_task(spark, monkeypatch, stored_documents, kind):
+    def flow():
+        if kind == "subtitles":
+            return transform.subtitles(transcripts_from_documents(stored_documents), script="source")
+        return words_to_cues(words_from_turns(stored_documents, "doc_id", None, "source", "text"), oversize=False)
+
+    plan, parts = _same_in_many_parts(monkeypatch, stored_documents, flow)
+    assert set(re.findall(r"hashpartitioning\(transcript_id#\d+, (\d+)\), REPARTITION", plan)) == {str(parts)}
