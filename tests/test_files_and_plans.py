@@ -20,6 +20,7 @@ from cueweave.operators.subtitles import (
     subtitle_files,
     text_lines,
 )
+from cueweave.operators.speakers import tagged_lines
 from cueweave.operators.words import cue_tokens, untimed_words, words_from_transcripts
 from cueweave.plans import incremental, transform
 from cueweave.plans.writing import write_combined, write_parts, write_table
@@ -461,3 +462,13 @@ def test_cues_are_made_in_parts_that_fit_a_task(spark, monkeypatch, stored_docum
 
     plan, parts = _same_in_many_parts(monkeypatch, stored_documents, flow)
     assert set(re.findall(r"hashpartitioning\(transcript_id#\d+, (\d+)\), REPARTITION", plan)) == {str(parts)}
+
+
+def test_sentences_are_made_in_parts_that_fit_a_task(spark, monkeypatch, stored_documents):
+    """And no join deals the words a second time, into other parts."""
+
+    def flow():
+        return tagged_lines(transform.sentences(transcripts_from_documents(stored_documents), script="source"))
+
+    plan, parts = _same_in_many_parts(monkeypatch, stored_documents, flow)
+    assert set(re.findall(r"hashpartitioning\(transcript_id#\d+, block#\d+L, (\d+)\), REPARTITION", plan)) == {str(parts)}
